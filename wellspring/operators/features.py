@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from wellspring.functions.nulls import holds
 from wellspring.operators.keyed import attach_by_key
-from wellspring.session import settle
+from wellspring.operators.ordered import global_index
 
 EPSILON = 1e-6
 
@@ -48,13 +47,12 @@ def add_features(df: DataFrame, formation_features: bool = True) -> tuple[DataFr
 
 def encode_label(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """Index of each label in sorted order, from 0; null stays null. Only the distinct labels are sorted."""
-    name = name or f"{column}_index"
-    return attach_by_key(df, label_index(df, column, name), [column])
+    return attach_by_key(df, label_index(df, column, name or f"{column}_index"), [column])
 
 
 def label_index(df: DataFrame, column: str, name: str = "label_index") -> DataFrame:
     labels = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return settle(labels.withColumn(name, F.row_number().over(Window.orderBy(column)).cast("long") - 1))
+    return global_index(labels, [column], name)
 
 
 def decode_label(df: DataFrame, index_column: str, labels: DataFrame, name: str) -> DataFrame:

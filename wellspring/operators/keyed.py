@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -12,17 +12,22 @@ CELL_BYTES = 16
 SALTS_IN_TOTAL = 1000
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join on equal keys where two nulls count as equal; keeps the left key columns."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
+                   also: Column | None = None) -> DataFrame:
+    """Join on equal keys where two nulls count as equal; keeps the left key columns.
+
+    ``also`` is a further condition over column names that only one side has.
+    """
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     matches = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
-    joined = left.join(renamed, matches, how)
+    joined = left.join(renamed, matches if also is None else [*matches, also], how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{k}" for k in keys])
 
 
 def attach_by_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight: str | None = None,
-                  how: str = "left", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Join one-row-per-key ``facts`` to ``rows``.
+                  how: str = "left", also: Column | None = None,
+                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join ``facts`` about keys, mostly one row for each, to ``rows``.
 
     ``facts`` should be settled, as it is counted to decide. Up to ``broadcast_bytes`` the rows
     stay where they are. Beyond that both sides are shuffled, and each key with more than a
@@ -31,7 +36,7 @@ def attach_by_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight
     row count of the key; without it the keys of ``rows`` are counted.
     """
     if facts.count() * len(facts.columns) * CELL_BYTES <= broadcast_bytes:
-        return null_safe_join(rows, F.broadcast(facts), keys, how)
+        return null_safe_join(rows, F.broadcast(facts), keys, how, also)
     heavy = heavy_keys(facts if weight else rows, keys, weight)
     salted_rows = (
         null_safe_join(rows, F.broadcast(heavy), keys)
@@ -43,7 +48,7 @@ def attach_by_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
         .drop("_salts")
     )
-    return null_safe_join(salted_rows, salted_facts, [*keys, "_salt"], how).drop("_salt")
+    return null_safe_join(salted_rows, salted_facts, [*keys, "_salt"], how, also).drop("_salt")
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:

@@ -88,6 +88,22 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return counted.withColumn(name, F.col(name).cast("long"))
 
 
+def global_index(df: DataFrame, order: Sequence[str], name: str = "index") -> DataFrame:
+    """Number all rows from 0 in the given order, of any column type.
+
+    The rows are range-sorted and written once, which fixes their partition and place in it; the
+    rows before each partition come from one count per partition.
+    """
+    placed = settle(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = settle(counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    numbered_rows = attach_by_key(placed.withColumn("_part", part), offsets, ["_part"])
+    inside = F.col("_id") - F.shiftleft(F.col("_part"), 33)
+    return numbered_rows.withColumn(name, (F.col("_before") + inside).cast("long")).drop("_id", "_part", "_before")
+
+
 def first_rows_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows of each key; Spark trims every input partition to n rows per key before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -179,3 +179,14 @@ def _percentiles_by_counting(df, keys, columns, shares, rows_per_run) -> DataFra
     return found.withColumn("_values", values).groupBy(*keys).agg(*[
         F.max(F.when(F.col("column") == c, F.col("_values"))).alias(f"{c}_p") for c in columns
     ])
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, int], exact_limit: int = EXACT_LIMIT,
+                     accuracy: int = SKETCH_ACCURACY) -> dict[str, float]:
+    """Value at a rank (from 0) among the non-null values of each column."""
+    if not ranks:
+        return {}
+    sizes = df.agg(*[F.count(c).alias(c) for c in ranks]).first()
+    searches = [_Search(c, r, sizes[c]) for c, r in ranks.items()]
+    _find(df, searches, exact_limit, accuracy)
+    return {s.column: s.value for s in searches}
