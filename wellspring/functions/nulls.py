@@ -19,6 +19,11 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
+def has_column(df: DataFrame, name: str) -> bool:
+    """Whether the column is there, whatever the case of its letters."""
+    return name.lower() in {c.lower() for c in df.columns}
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN becomes NULL: Spark sorts NaN above all numbers and lets it poison averages."""
     floating = [f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))]

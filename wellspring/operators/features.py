@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.functions.nulls import holds
+from wellspring.functions.nulls import has_column, holds
 from wellspring.operators.keyed import attach_by_key
 from wellspring.operators.ordered import global_index
 
@@ -40,7 +40,7 @@ def add_features(df: DataFrame, formation_features: bool = True) -> tuple[DataFr
     """Add every feature whose columns are present; returns the names that were added."""
     made = {
         name: expression() for name, needs, expression, formation in FEATURES
-        if all(c in df.columns for c in needs) and (formation_features or not formation)
+        if all(has_column(df, c) for c in needs) and (formation_features or not formation)
     }
     return (df.withColumns(made) if made else df), list(made)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wellspring.functions.nulls import holds
+from wellspring.functions.nulls import has_column, holds
 from wellspring.functions.text import same_text
 
 # Columns a processing run needs, with the kind of value in each.
@@ -32,7 +32,11 @@ class InvalidData(ValueError):
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
-    return [c for c in required if c not in df.columns]
+    return [c for c in required if not has_column(df, c)]
+
+
+def _type_of(df: DataFrame, column: str) -> T.DataType:
+    return df.select(column).schema[0].dataType
 
 
 def validate_structure(df: DataFrame, required: Mapping[str, str] = REQUIRED) -> tuple[bool, str]:
@@ -41,8 +45,8 @@ def validate_structure(df: DataFrame, required: Mapping[str, str] = REQUIRED) ->
     if gone:
         return False, f"Missing required columns: {gone}"
     wrong = [
-        f"{c} should be {kind} but found {df.schema[c].dataType.simpleString()}"
-        for c, kind in required.items() if not isinstance(df.schema[c].dataType, KINDS[kind])
+        f"{c} should be {kind} but found {_type_of(df, c).simpleString()}"
+        for c, kind in required.items() if not isinstance(_type_of(df, c), KINDS[kind])
     ]
     return (False, "Type errors:\n" + "\n".join(wrong)) if wrong else (True, "Data validation passed")
 
@@ -57,7 +61,7 @@ def required_columns_report(df: DataFrame, required: Mapping[str, str] = REQUIRE
     """One row per required column: whether it is there, its type and whether the kind fits."""
     rows = []
     for c, kind in required.items():
-        found = df.schema[c].dataType if c in df.columns else None
+        found = _type_of(df, c) if has_column(df, c) else None
         rows.append((c, kind, found is not None, found.simpleString() if found is not None else None,
                      found is not None and isinstance(found, KINDS[kind])))
     return df.sparkSession.createDataFrame(
@@ -69,7 +73,7 @@ def range_violations(df: DataFrame, ranges: Mapping[str, tuple[float, float]] =
     cells = [
         F.struct(F.lit(c).alias("column"), F.count_if(F.col(c) < low).alias("below_min"),
                  F.count_if(F.col(c) > high).alias("above_max"))
-        for c, (low, high) in ranges.items() if c in df.columns
+        for c, (low, high) in ranges.items() if has_column(df, c)
     ]
     if not cells:
         return df.sparkSession.createDataFrame([], "column string, below_min bigint, above_max bigint")

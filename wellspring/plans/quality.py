@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wellspring.functions.nulls import has_column
 from wellspring.operators.combination_rules import flag_combinations, skipped_rules
 from wellspring.operators.profile import null_profile
 from wellspring.operators.validation import RANGES, missing_columns, range_violations, suspicious_summary
@@ -32,7 +33,7 @@ def quality_report(df: DataFrame, ranges: Mapping[str, tuple[float, float]] = RA
         _rows(nulls.agg(F.sum("n_missing").alias("n")), "missing_values", F.lit(None).cast("string"), {"total": "n"}),
         _rows(nulls, "missing_values", F.col("column"), {"missing": "n_missing"}),
     ]
-    if any(c in df.columns for c in ranges):
+    if any(has_column(df, c) for c in ranges):
         parts.append(_rows(range_violations(df, ranges), "value_range_violations", F.col("column"),
                            {"below_min": "below_min", "above_max": "above_max"}))
     if not missing_columns(df, TRIPLE):

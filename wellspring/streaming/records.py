@@ -59,12 +59,19 @@ def alerts(records: DataFrame, critical: Sequence[str] = ()) -> DataFrame:
 
 def alert_rate(flagged: DataFrame, well: str, moment: str, width: str = "10 minutes", lateness: str = "5 minutes",
                flag: str = "is_alert") -> DataFrame:
-    """Records and alerts per well and time window; rows later than ``lateness`` are not waited for."""
-    timed = flagged.withWatermark(moment, lateness) if flagged.isStreaming else flagged
+    """Records and alerts per well and time window; a stream does not wait for rows later than ``lateness``.
+
+    Event time must be a TIMESTAMP in a stream, so a time without zone is read in the session's zone.
+    """
+    kind = flagged.schema[moment].dataType
+    timed = flagged
+    if flagged.isStreaming:
+        timed = flagged.withColumn(moment, F.col(moment).cast("timestamp")).withWatermark(moment, lateness)
     return (
         timed.groupBy(F.col(well), F.window(moment, width).alias("_w"))
         .agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col(flag)).alias("n_alerts"))
-        .select(well, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "n_records", "n_alerts")
+        .select(well, F.col("_w.start").cast(kind).alias("window_start"), F.col("_w.end").cast(kind).alias("window_end"),
+                "n_records", "n_alerts")
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wellspring.sources.readers import read_file_stream
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -17,7 +19,15 @@ def pick(number: Column, *texts: str) -> Column:
 
 def telemetry(spark: SparkSession, folder: str) -> DataFrame:
     """One telemetry row per line item; all readings follow from its numbers."""
-    li = table(spark, folder, "lineitem")
+    return telemetry_of(table(spark, folder, "lineitem"))
+
+
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream of its files. The pattern covers a single file as well as a folder of parts."""
+    return read_file_stream(spark, f"{folder}/{name}.parquet*", table(spark, folder, name).schema)
+
+
+def telemetry_of(li: DataFrame) -> DataFrame:
     o, p, s, n = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     q, price, discount, tax = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
     formation = pick(p % 4, "Shale", "Limestone", "Sandstone", "Salt")
