@@ -164,7 +164,7 @@ def forest_impute(df: DataFrame, columns: Sequence[str] | None = None, trees: in
         else:
             target = known.withColumn("_y", F.col(f"`{c}`").cast("double"))
             model = RandomForestRegressor(featuresCol="_features", labelCol="_y", predictionCol="_guess", numTrees=trees,
-                                          maxDepth=max_depth, seed=seed).fit(target)
+                                          maxDepth=max_depth, seed=seed, featureSubsetStrategy="all").fit(target)
             guessed = model.transform(ready)
             if isinstance(clean.schema[c].dataType, T.BooleanType):
                 value = F.coalesce(F.col(f"`{c}`"), F.col("_guess") >= 0.5)

@@ -357,7 +357,7 @@ FROM ({_event_limits("'all'")}) GROUP BY 1, 2""",
   round_even(count(*) FILTER (WHERE {_ANY_RULE}) / count(*) * 100, 4) AS percentage FROM tel GROUP BY 1""",
     "damage_types": over(TELEMETRY) + f"SELECT {DAMAGE_CASE} AS damage, count(*) AS n_rows FROM tel GROUP BY 1",
     "damage_all_matches": over(TELEMETRY) + " UNION ALL ".join(
-        f"SELECT '{n}' AS damage, count(*) AS n_rows FROM tel WHERE {c}" for n, c in DAMAGE_SQL),
+        f"SELECT '{n}' AS damage, count(*) AS n_rows FROM tel WHERE {c} HAVING count(*) > 0" for n, c in DAMAGE_SQL),
     "controllable_share": over(TELEMETRY) + f"""SELECT well_id, ROUND(avg(CASE WHEN {DAMAGE_CASE} IN ({", ".join(
         f"'{n}'" for n, _ in DAMAGE_SQL[:7])}) THEN 1e0 ELSE 0e0 END), 6) AS controllable_share FROM tel GROUP BY 1""",
     "damage_scores": over(TELEMETRY) + """, scored AS (SELECT well_id, least(0.95e0, rop / 100
