@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wellspring.functions.nulls import numeric_columns
 from wellspring.operators.quantiles import EXACT_LIMIT, column_percentiles
-from wellspring.session import settle
+from wellspring.session import settle, spread
 
 TREES = 100
 SAMPLE = 256
@@ -109,7 +109,7 @@ def isolation_scores(df: DataFrame, columns: Sequence[str] | None = None, trees:
             total += nodes[at, 4]
         return pd.Series(np.power(2.0, -total / len(grown) / scale))
 
-    return ready.withColumn(name, score(*[F.col(n) for n in names])).drop(*names)
+    return spread(ready).withColumn(name, score(*[F.col(n) for n in names])).drop(*names)
 
 
 def isolation_flags(df: DataFrame, columns: Sequence[str] | None = None, contamination: float = 0.05,

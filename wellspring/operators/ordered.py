@@ -22,7 +22,7 @@ from wellspring.operators.keyed import attach_by_key, null_safe_join
 from wellspring.session import settle
 
 ROWS_PER_RUN = 1_000_000
-MAX_RUNS = 2048
+MAX_RUNS = 10_000
 RUN = "_run"
 MAIN = "_main"
 

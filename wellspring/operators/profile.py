@@ -13,7 +13,7 @@ from wellspring.functions.nulls import holds
 MISSING_LINE = 30.0
 
 
-def _missing(df: DataFrame, column: str):
+def missing(df: DataFrame, column: str):
     gone = F.col(column).isNull()
     if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
         gone = gone | F.isnan(column)
@@ -23,7 +23,7 @@ def _missing(df: DataFrame, column: str):
 def null_profile(df: DataFrame) -> DataFrame:
     """One row per column: missing cells, rows, share in percent; NaN counts as missing."""
     cells = [
-        F.struct(F.lit(c).alias("column"), F.count_if(_missing(df, c)).alias("n_missing"),
+        F.struct(F.lit(c).alias("column"), F.count_if(missing(df, c)).alias("n_missing"),
                  F.count(F.lit(1)).alias("n_rows"))
         for c in df.columns
     ]
@@ -63,7 +63,7 @@ def contract_nulls(df: DataFrame, required: Sequence[str]) -> DataFrame:
     present = [c for c in required if c in df.columns]
     absent = [c for c in required if c not in df.columns]
     counted = df.agg(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(True).alias("present"), F.count_if(_missing(df, c)).alias("n_missing"))
+        F.struct(F.lit(c).alias("column"), F.lit(True).alias("present"), F.count_if(missing(df, c)).alias("n_missing"))
         for c in present
     ], *[
         F.struct(F.lit(c).alias("column"), F.lit(False).alias("present"), F.count(F.lit(1)).alias("n_missing"))

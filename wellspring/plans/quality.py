@@ -1,55 +1,50 @@
-"""The quality report of a table as rows (check, column, metric, value)."""
+"""The quality report of a table as rows (check, column, metric, value), made in one pass."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.functions.nulls import has_column
-from wellspring.operators.combination_rules import flag_combinations, skipped_rules
-from wellspring.operators.profile import null_profile
-from wellspring.operators.validation import RANGES, missing_columns, range_violations, suspicious_summary
+from wellspring.operators.combination_rules import combination_flag, flag_combinations, skipped_rules
+from wellspring.operators.profile import missing
+from wellspring.operators.validation import RANGES, missing_columns, suspicious_triple
 from wellspring.sources.writers import write_report_json
 
 FLAG = "Feature_Inconsistency"
 TRIPLE = ["Fluid_Type", "Formation_Type", "Completion_Type"]
 
 
-def _rows(df: DataFrame, check: str, column, metrics: Mapping[str, str]) -> DataFrame:
-    cells = F.array(*[
-        F.struct(F.lit(metric).alias("metric"), F.col(source).cast("double").alias("value"))
-        for metric, source in metrics.items()
-    ])
-    return df.select(F.lit(check).alias("check"), column.alias("column"), F.inline(cells))
+def _share(count: Column) -> Column:
+    return F.bround(F.try_divide(count, F.count(F.lit(1))) * 100, 2)
 
 
 def quality_report(df: DataFrame, ranges: Mapping[str, tuple[float, float]] = RANGES) -> tuple[DataFrame, DataFrame]:
     """(rows with the flag ``Feature_Inconsistency``, report). Checks whose columns are absent are left out."""
-    flagged = flag_combinations(df, FLAG)
-    nulls = null_profile(df)
-    parts = [
-        _rows(nulls.agg(F.sum("n_missing").alias("n")), "missing_values", F.lit(None).cast("string"), {"total": "n"}),
-        _rows(nulls, "missing_values", F.col("column"), {"missing": "n_missing"}),
+    gaps = {c: F.count_if(missing(df, c)) for c in df.columns}
+    cells: list[tuple[str, str | None, str, Column]] = [
+        ("missing_values", None, "total", sum(gaps.values(), F.lit(0))),
+        *[("missing_values", c, "missing", n) for c, n in gaps.items()],
     ]
-    if any(has_column(df, c) for c in ranges):
-        parts.append(_rows(range_violations(df, ranges), "value_range_violations", F.col("column"),
-                           {"below_min": "below_min", "above_max": "above_max"}))
+    for c, (low, high) in ranges.items():
+        if has_column(df, c):
+            cells += [("value_range_violations", c, "below_min", F.count_if(F.col(c) < low)),
+                      ("value_range_violations", c, "above_max", F.count_if(F.col(c) > high))]
     if not missing_columns(df, TRIPLE):
-        parts.append(_rows(suspicious_summary(df), "logical_inconsistencies", F.lit(None).cast("string"), {
-            "suspicious_combinations_count": "suspicious_combinations_count",
-            "suspicious_percentage": "suspicious_percentage"}))
-    hit = F.count_if(FLAG)
-    counts = flagged.agg(
-        hit.alias("total"), F.bround(F.try_divide(hit, F.count(F.lit(1))) * 100, 2).alias("percentage"),
-        F.lit(len(skipped_rules(df))).alias("skipped_rules"))
-    parts.append(_rows(counts, "feature_inconsistencies", F.lit(None).cast("string"),
-                       {"total": "total", "percentage": "percentage", "skipped_rules": "skipped_rules"}))
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return flagged, report
+        odd = F.count_if(suspicious_triple(*TRIPLE))
+        cells += [("logical_inconsistencies", None, "suspicious_combinations_count", odd),
+                  ("logical_inconsistencies", None, "suspicious_percentage", _share(odd))]
+    hit = F.count_if(combination_flag(df))
+    cells += [("feature_inconsistencies", None, "total", hit), ("feature_inconsistencies", None, "percentage", _share(hit)),
+              ("feature_inconsistencies", None, "skipped_rules", F.lit(len(skipped_rules(df))))]
+    report = df.agg(F.array(*[
+        F.struct(F.lit(check).alias("check"), F.lit(column).cast("string").alias("column"), F.lit(metric).alias("metric"),
+                 value.cast("double").alias("value"))
+        for check, column, metric, value in cells
+    ]).alias("_cells")).select(F.inline("_cells"))
+    return flag_combinations(df, FLAG), report
 
 
 def save_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -8,11 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The JVM does not compile methods above 8000 bytes, and the wide rule and physics expressions make such
+# methods. Below this limit Spark generates a method per expression instead, which is several times faster.
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+METHOD_LIMIT_BYTES = "8000"
+METHOD_LIMIT_DEFAULT = "65535"
+
+
 def build_session(app_name: str = "wellspring", master: str | None = None, **settings: str) -> SparkSession:
     """A session with the settings the operators expect.
 
-    Adaptive execution coalesces shuffle partitions, splits skewed join partitions and
-    switches to a broadcast join when a side turns out small at run time.
+    Adaptive execution coalesces shuffle partitions, splits skewed join partitions and switches to a
+    broadcast join when a side turns out small at run time. Without it the operators still work.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -23,12 +30,19 @@ def build_session(app_name: str = "wellspring", master: str | None = None, **set
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        METHOD_LIMIT: METHOD_LIMIT_BYTES,
     }
     for name, value in {**defaults, **settings}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 
 
+def tune_session(spark: SparkSession) -> None:
+    """Lower the method limit of a session made elsewhere, unless its owner has changed it."""
+    if spark.conf.get(METHOD_LIMIT) == METHOD_LIMIT_DEFAULT:
+        spark.conf.set(METHOD_LIMIT, METHOD_LIMIT_BYTES)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
@@ -52,6 +66,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the scratch folder and read it from there.
+
+    The lineage ends at files that outlive any executor. Later passes read only the columns they need,
+    and the optimizer knows the size of the table.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input comes in fewer partitions than there are cores; else unchanged.
+
+    For steps whose work per row outweighs moving the row. Large inputs have many partitions and stay put.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SOURCE_FILE = "source_file"
+FOOTERS_AT_ONCE = 16
 
 
 def read_parquet(spark: SparkSession, *paths: str, merge_schema: bool = False, with_file: bool = False,
@@ -50,20 +52,22 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
 def check_files(spark: SparkSession, folder: str, required: Sequence[str]) -> tuple[list[str], DataFrame]:
     """Files of a folder that have the required columns, and a table of the others with the reason.
 
-    Only the footers are read, file after file in name order; the list of files is all the driver holds.
+    Only the footers are read, many at a time; the list of files is all the driver holds.
     """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("path")
-    usable, skipped = [], []
-    for path in sorted(r["path"] for r in listed.collect()):
+    paths = sorted(r["path"] for r in listed.collect())
+
+    def problem_of(path: str) -> str | None:
         try:
             gone = [c for c in required if c not in spark.read.parquet(path).columns]
         except Exception as problem:  # an unreadable file must not stop the others
-            skipped.append((path, f"unreadable: {type(problem).__name__}"))
-            continue
-        if gone:
-            skipped.append((path, f"missing columns: {', '.join(gone)}"))
-        else:
-            usable.append(path)
+            return f"unreadable: {type(problem).__name__}"
+        return f"missing columns: {', '.join(gone)}" if gone else None
+
+    with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:
+        problems = list(pool.map(problem_of, paths))
+    skipped = [(path, problem) for path, problem in zip(paths, problems) if problem]
+    usable = [path for path, problem in zip(paths, problems) if problem is None]
     return usable, spark.createDataFrame(skipped, "file string, reason string")
 
 
