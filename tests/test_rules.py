@@ -127,9 +127,11 @@ def test_layer_lookup_edges(spark):
     rows = spark.createDataFrame(
         [(1, 0.0, False), (1, 10.0, False), (1, 499.9, None), (1, 5000.0, False), (1, 700.0, True), (2, 20.0, True), (3, 5.0, False), (1, -1.0, False), (1, None, False)],
         "well_id long, depth double, flat boolean")
-    got = {(r["well_id"], r["depth"]): r["formation"] for r in layer_lookup(rows, layers, horizontal="flat").collect()}
-    assert got == {(1, 0.0): "Topsoil", (1, 10.0): "Shale", (1, 499.9): "Shale", (1, 5000.0): "Sandstone", (1, 700.0): "Shale",
+    want = {(1, 0.0): "Topsoil", (1, 10.0): "Shale", (1, 499.9): "Shale", (1, 5000.0): "Sandstone", (1, 700.0): "Shale",
                    (2, 20.0): "Shale", (3, 5.0): None, (1, -1.0): None, (1, None): None}
+    for few in (64, 0):
+        found = layer_lookup(rows, layers, horizontal="flat", few_layers=few).collect()
+        assert {(r["well_id"], r["depth"]): r["formation"] for r in found} == want and len(found) == 9
     kinds = {r["well_id"]: (r["completion_type"], r["density_perforation"]) for r in completion_by_well(layers).collect()}
     assert kinds == {1: ("Cased", 30), 2: ("Open Hole", 10)}
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wellspring.session import settle
+
 BROADCAST_BYTES = 32 * 1024 * 1024
 CELL_BYTES = 16
 SALTS_IN_TOTAL = 1000
@@ -25,22 +27,25 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def attach_by_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight: str | None = None,
-                  how: str = "left", also: Column | None = None,
+                  how: str = "left", also: Column | None = None, salt_by: Sequence[str] | None = None,
                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join ``facts`` about keys, mostly one row for each, to ``rows``.
 
     ``facts`` should be settled, as it is counted to decide. Up to ``broadcast_bytes`` the rows
     stay where they are. Beyond that both sides are shuffled, and each key with more than a
-    thousandth of all rows is spread over salts in proportion to its share, so that no task gets
-    more than about a thousandth of the rows. ``weight`` names the column of ``facts`` with the
-    row count of the key; without it the keys of ``rows`` are counted.
+    thousandth of all rows is spread over salts in proportion to its share. ``weight`` names the
+    column of ``facts`` with the row count of the key; without it the keys of ``rows`` are counted.
+
+    The salt is a hash of ``salt_by``, of all columns if not given. It is the same when a task runs again,
+    as a random one would not be. Rows alike in those columns stay together; a partition of many such
+    rows is split by Spark's skew join, which cuts by origin and not by content.
     """
-    if facts.count() * len(facts.columns) * CELL_BYTES <= broadcast_bytes:
+    if fits_broadcast(facts, broadcast_bytes):
         return null_safe_join(rows, F.broadcast(facts), keys, how, also)
-    heavy = heavy_keys(facts if weight else rows, keys, weight)
+    heavy = settle(heavy_keys(facts if weight else rows, keys, weight))
     salted_rows = (
         null_safe_join(rows, F.broadcast(heavy), keys)
-        .withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_salts", F.lit(1))).cast("int"))
+        .withColumn("_salt", F.pmod(F.xxhash64(*(salt_by or rows.columns)), F.coalesce("_salts", F.lit(1))).cast("int"))
         .drop("_salts")
     )
     salted_facts = (
@@ -51,6 +56,10 @@ def attach_by_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight
     return null_safe_join(salted_rows, salted_facts, [*keys, "_salt"], how, also).drop("_salt")
 
 
+def fits_broadcast(facts: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> bool:
+    return facts.count() * len(facts.columns) * CELL_BYTES <= broadcast_bytes
+
+
 def heavy_keys(df: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
     """Keys with more than a thousandth of all rows and the salts for each: at most a thousand rows."""
     size = F.sum(weight) if weight else F.count(F.lit(1))

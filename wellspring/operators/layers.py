@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.functions.nulls import holds, lookup
-from wellspring.operators.keyed import attach_by_key
+from wellspring.operators.keyed import attach_by_key, fits_broadcast, null_safe_join
 from wellspring.session import settle
 
-BUCKETS = 512
+BUCKETS = 64
+FEW_LAYERS = 64
 
 # Attributes of the known formations; a missing entry has no value of its own.
 FORMATIONS = {
@@ -48,34 +49,38 @@ def formation_additives(formation: Column) -> Column:
 
 
 def layer_lookup(rows: DataFrame, layers: DataFrame, well: str = "well_id", depth: str = "depth",
-                 horizontal: str | None = None) -> DataFrame:
+                 horizontal: str | None = None, few_layers: int = FEW_LAYERS) -> DataFrame:
     """Add the columns of the layer with top <= depth < bottom in the row's well.
 
     Below the last bottom the last layer counts. A row marked ``horizontal`` takes the topmost layer
     marked ``reservoir``, if the well has one. ``layers`` has ``well``, ``top``, ``bottom`` and any
     further columns; a row above all layers keeps nulls.
 
-    Layers are put into depth buckets, so the join has (well, bucket) as equal keys and looks at the
-    few layers of one bucket.
+    A small layer table with few layers per well is broadcast. Otherwise layers are put into depth
+    buckets, so the join has (well, bucket) as equal keys and looks at the few layers of one bucket.
     """
     layers = settle(layers)
-    deepest = layers.agg(F.max("bottom")).first()[0] or 1.0
-    width = float(deepest) / BUCKETS
     reservoir_top = F.min(F.when(holds(F.col("reservoir")), F.col("top"))) if "reservoir" in layers.columns else F.lit(None)
     wells = settle(layers.groupBy(well).agg(
         F.max_by("top", F.struct("bottom", "top")).alias("_last_top"),
         F.max("bottom").alias("_last_bottom"),
-        reservoir_top.cast("double").alias("_reservoir_top"),
+        reservoir_top.cast("double").alias("_reservoir_top"), F.count(F.lit(1)).alias("_layers"),
     ))
-    known = attach_by_key(rows, wells, [well])
+    deepest, most = wells.agg(F.max("_last_bottom"), F.max("_layers")).first()
+    known = attach_by_key(rows, wells.drop("_layers"), [well], salt_by=[depth])
     searched = F.when(F.col(depth) >= F.col("_last_bottom"), F.col("_last_top")).otherwise(F.col(depth))
     if horizontal is not None:
         searched = F.when(holds(F.col(horizontal)) & F.col("_reservoir_top").isNotNull(), F.col("_reservoir_top")).otherwise(searched)
-    known = known.withColumn("_searched", searched).withColumn("_bucket", F.floor(F.col("_searched") / width))
-    spread = layers.where(F.col("bottom") > F.col("top")).withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(F.col("top") / width), F.floor(F.col("bottom") / width))))
+    known = known.withColumn("_searched", searched)
     inside = (F.col("_searched") >= F.col("top")) & (F.col("_searched") < F.col("bottom"))
-    found = attach_by_key(known, spread, [well, "_bucket"], also=inside)
+    if (most or 0) <= few_layers and fits_broadcast(layers):
+        found = null_safe_join(known, F.broadcast(layers), [well], "left", inside)
+    else:
+        width = float(deepest or 1.0) / BUCKETS
+        bucketed = layers.where(F.col("bottom") > F.col("top")).withColumn(
+            "_bucket", F.explode(F.sequence(F.floor(F.col("top") / width), F.floor(F.col("bottom") / width))))
+        placed = known.withColumn("_bucket", F.floor(F.col("_searched") / width))
+        found = attach_by_key(placed, bucketed, [well, "_bucket"], also=inside, salt_by=[depth])
     return found.drop("_last_top", "_last_bottom", "_reservoir_top", "_searched", "_bucket")
 
 

@@ -55,7 +55,7 @@ def flag_outliers(df: DataFrame, columns: Sequence[str] | None = None, keys: Seq
     clean = nan_to_null(df)
     if keys:
         stats = outlier_statistics(clean, keys, columns, exact_limit, accuracy)
-        known = attach_by_key(clean, stats, keys, weight="n_rows")
+        known = attach_by_key(clean, stats, keys, weight="n_rows", salt_by=columns)
         at = lambda c, what: F.col(f"{c}_{what}")
         extra = [n for n in stats.columns if n not in keys]
     else:
