@@ -12,7 +12,7 @@ from wellspring.session import build_session  # noqa: E402
 def spark():
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.default.parallelism": "4"})
+        "spark.default.parallelism": "4", "spark.sql.maxMetadataStringLength": "10000", "spark.sql.debug.maxToStringFields": "1000"})
     session.sparkContext.setLogLevel("ERROR")
     return session
 

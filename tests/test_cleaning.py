@@ -78,7 +78,7 @@ def test_knn_equals_brute_force(spark, hot):
     x[:, 1] = np.round(x[:, 1])
     if hot:
         x[:100] = x[0]  # a third of the rows are copies
-        x[100:200, 0] = 3.0
+        x[100:220, 0] = 3.0  # a further third shares the widest-spread value
     x[rng.random(x.shape) < 0.2] = np.nan
     x[7] = np.nan
     rows = [tuple(None if np.isnan(v) else float(v) for v in r) + (i,) for i, r in enumerate(x)]

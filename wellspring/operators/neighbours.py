@@ -9,7 +9,7 @@ has (the *guide*), in slabs of that column's value. A row with a gap looks under
 column, then, among rows that lack this column, under its next one, and so on, so every possible
 neighbour is met exactly once. The first look takes the slab the row falls into; the k-th distance
 found there bounds the difference in the guide column, and the second look takes just the slabs
-within that bound.
+within that bound. A slab of many rows is divided in the same way by the row's next column.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from wellspring.session import settle
 
 MAX_CUTS = 2048
 ROWS_PER_SLAB = 256
+LONG = 4
 
 
 def knn_impute(df: DataFrame, columns: Sequence[str], k: int = 5, rows_per_slab: int = ROWS_PER_SLAB) -> DataFrame:
@@ -63,60 +64,79 @@ def _neighbour_values(values: DataFrame, d: int, k: int, rows_per_slab: int, n:
     """(_id, _target, _value) for every gap that has a comparable row."""
     slab = _slab_function(values, d, n, rows_per_slab)
     has = [F.col(f"v{i}").isNotNull() for i in range(d)]
-    incomplete = values.where(~_all(has))
 
-    # Where a row looks: guide column p, and the first column f the neighbours have.
+    # Where a row looks: guide column p, the first column f the neighbours have, and its next own column s.
     looks = []
     for p in range(d):
+        later = F.coalesce(*[F.when(has[i], F.lit(i)) for i in range(p + 1, d)], F.lit(-1))
+        later_value = F.coalesce(*[F.col(f"v{i}") for i in range(p + 1, d)], F.lit(None).cast("double"))
+        avoid = sum((F.when(has[e], F.lit(1 << e)).otherwise(0) for e in range(p)), F.lit(0)).cast("long")
         for f in range(p + 1):
-            applies = has[p] if f == p else has[p] & ~has[f]
-            avoid = sum((F.when(has[e], F.lit(1 << e)).otherwise(0) for e in range(p)), F.lit(0)).cast("long")
-            looks.append(F.when(applies, F.struct(
-                F.lit(p).alias("_p"), F.lit(f).alias("_f"), F.col(f"v{p}").alias("_x"), avoid.alias("_avoid"))))
+            looks.append(F.when(has[p] if f == p else has[p] & ~has[f], F.struct(
+                F.lit(p).alias("_p"), F.lit(f).alias("_f"), later.alias("_s"), F.col(f"v{p}").alias("_x"),
+                later_value.alias("_x2"), avoid.alias("_avoid"))))
     targets = F.array_compact(F.array(*[F.when(~has[t], F.lit(t)) for t in range(d)]))
-    queries = (
-        incomplete.withColumn("_target", F.explode(targets))
+    queries = settle(
+        values.where(~_all(has)).withColumn("_target", F.explode(targets))
         .withColumn("_look", F.explode(F.array_compact(F.array(*looks))))
         .select("_id", "_target", "_look.*", *[F.col(f"v{i}").alias(f"q{i}") for i in range(d)])
-        .withColumn("_slab", slab("_p", "_x"))
-    )
-    queries = settle(queries)
-    pairs = {(r["_p"], r["_f"]) for r in queries.select("_p", "_f").distinct().collect()}
+        .withColumn("_slab", slab("_p", "_x")))
+    wanted = [tuple(r) for r in queries.select("_p", "_f", "_s").distinct().collect()]
 
     first = F.coalesce(*[F.when(has[i], F.lit(i)) for i in range(d)])
     mask = sum((F.when(has[e], F.lit(1 << e)).otherwise(0) for e in range(d)), F.lit(0)).cast("long")
     entries = [
-        F.when(has[p] & first.isin([f for g, f in pairs if g == p] or [-1]),
-               F.struct(F.lit(p).alias("_p"), F.col(f"v{p}").alias("_y")))
-        for p in range(d)
-    ]
-    listed = (
-        values.withColumns({"_f": first, "_mask": mask})
+        F.when(has[p] & (first == f), F.struct(
+            F.lit(p).alias("_p"), F.lit(f).alias("_f"), F.lit(s).alias("_s"), F.col(f"v{p}").alias("_y"),
+            (F.col(f"v{s}") if s >= 0 else F.lit(None).cast("double")).alias("_y2")))
+        for p, f, s in wanted
+    ] or [F.lit(None).cast("struct<_p:int,_f:int,_s:int,_y:double,_y2:double>")]
+    listed = settle(
+        values.withColumn("_mask", mask)
         .withColumn("_entry", F.explode(F.array_compact(F.array(*entries))))
-        .withColumn("_p", F.col("_entry._p"))
-        .withColumn("_slab", slab("_p", "_entry._y"))
-        .select("_p", "_f", "_slab", "_mask", "_copies", *[f"v{i}" for i in range(d)])
-    )
+        .select("_entry.*", "_mask", "_copies", *[f"v{i}" for i in range(d)])
+        .withColumn("_slab", slab("_p", "_y")))
+
+    # A slab of many rows, as where they share the guide value, is divided by the second column.
+    place = ["_p", "_f", "_s", "_slab"]
+    long = settle(
+        listed.where(F.col("_s") >= 0).groupBy(*place)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_y2").alias("_from"), F.max("_y2").alias("_to"))
+        .where(F.col("_rows") > LONG * rows_per_slab)
+        .withColumn("_parts", F.ceil(F.col("_rows") / rows_per_slab).cast("int")))
+
+    def part(value: Column) -> Column:
+        inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - F.col("_from")) / F.nullif(F.col("_to") - F.col("_from"), F.lit(0.0))))
+        return F.coalesce(F.least(F.col("_parts") - 1, F.floor(inside * F.col("_parts")).cast("int")), F.lit(0))
+
+    whole, unknown = F.lit(0), F.lit(-1)
+    listed = attach_by_key(listed, long, place, weight="_rows", salt_by=[f"v{i}" for i in range(d)]).withColumn(
+        "_part", F.when(F.col("_parts").isNull(), whole).when(F.col("_y2").isNull(), unknown).otherwise(part(F.col("_y2"))),
+    ).drop("_rows", "_from", "_to", "_parts", "_y", "_y2")
     listed = settle(listed)
 
-    near = settle(_nearest(_compare(queries, listed, d), k))
+    seen = F.when(F.col("_parts").isNull(), F.array(whole)).otherwise(F.array(unknown, part(F.col("_x2"))))
+    queried = settle(attach_by_key(queries, long, place, salt_by=["_id", "_target"]).withColumn("_seen", seen).drop(
+        "_rows", "_from", "_to", "_parts"))
+    near = settle(_nearest(_compare(queried.withColumn("_part", F.explode("_seen")), listed, d), k))
+
     bound = near.groupBy("_id", "_target").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("_distance")).alias("_bound"))
-    wider = (
-        queries.join(bound, ["_id", "_target"], "left")
-        .withColumn("_low", slab("_p", F.coalesce(F.col("_x") - F.col("_bound") * (1 + 1e-9), F.lit(float("-inf")))))
-        .withColumn("_high", slab("_p", F.coalesce(F.col("_x") + F.col("_bound") * (1 + 1e-9), F.lit(float("inf")))))
-        .withColumn("_home", F.col("_slab"))
-        .withColumn("_slab", F.explode(F.sequence("_low", "_high")))
-        .where(F.col("_slab") != F.col("_home"))
-        .drop("_bound", "_low", "_high", "_home")
-    )
+        F.when(F.count(F.lit(1)) >= k, F.max("_distance") * (1 + 1e-9)).alias("_bound"))
+    bounded = queried.join(bound, ["_id", "_target"], "left").withColumns({
+        "_bound": F.coalesce("_bound", F.lit(float("inf"))), "_home": F.col("_slab")})
+    reached = (
+        bounded.withColumn("_low", slab("_p", F.col("_x") - F.col("_bound"))).withColumn("_high", slab("_p", F.col("_x") + F.col("_bound")))
+        .withColumn("_slab", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high"))
+    parts = F.when(F.col("_parts").isNull(), F.array(whole)).otherwise(
+        F.concat(F.array(unknown), F.sequence(part(F.col("_x2") - F.col("_bound")), part(F.col("_x2") + F.col("_bound")))))
+    left = F.when(F.col("_slab") == F.col("_home"), F.array_except(parts, F.col("_seen"))).otherwise(parts)
+    wider = attach_by_key(reached, long, place, salt_by=["_id", "_target"]).withColumn("_part", F.explode(left))
     best = _nearest(near.unionByName(_compare(wider, listed, d)), k)
-    place = Window.partitionBy("_id", "_target").orderBy("_distance", "_value")
+    order = Window.partitionBy("_id", "_target").orderBy("_distance", "_value")
     taken = best.withColumn(
         "_weight",
         F.greatest(F.lit(0.0), F.least(F.col("_copies"), k - F.coalesce(
-            F.sum("_copies").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))))
+            F.sum("_copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))))
     return taken.groupBy("_id", "_target").agg(
         (F.sum(F.col("_value") * F.col("_weight")) / F.sum("_weight")).alias("_value"))
 
@@ -130,7 +150,7 @@ def _all(tests: Sequence[Column]) -> Column:
 
 def _compare(queries: DataFrame, listed: DataFrame, d: int) -> DataFrame:
     """Distances of the rows in the looked-at slabs that have the wanted value."""
-    met = queries.join(listed, ["_p", "_f", "_slab"])
+    met = queries.join(listed, ["_p", "_f", "_s", "_slab", "_part"])
     both = [F.col(f"q{i}").isNotNull() & F.col(f"v{i}").isNotNull() for i in range(d)]
     shared = sum((F.when(b, 1.0).otherwise(0.0) for b in both), F.lit(0.0))
     squares = sum(
