@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wellspring.operators.isolation import isolation_flags, isolation_scores
 from wellspring.operators.keyed import attach_by_key
 from wellspring.operators.outliers import flag_outliers, outlier_counts, split_by_flag
+from wellspring.operators import quantiles
 from wellspring.operators.quantiles import approximate_percentiles, column_percentiles, grouped_percentiles, order_statistics
 
 
@@ -29,6 +30,23 @@ def test_grouped_percentiles_of_a_hot_key(skewed):
         np.testing.assert_allclose(plain[k], counted[k], rtol=1e-12)
 
 
+def test_grouped_percentiles_when_the_sketch_misses(skewed, monkeypatch):
+    """A sketch this coarse cannot enclose the ranks, so the keys are counted again without bounds."""
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 10**9)
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda c, shares, accuracy: F.percentile(c, [min(1.0, s + 0.3) for s in shares]))
+    got = as_dict(grouped_percentiles(skewed, ["k"], ["v", "w"], [0.1, 0.5], exact_limit=1000), "v_p", "w_p")
+    want = as_dict(skewed.groupBy("k").agg(*[F.percentile(c, [0.1, 0.5]).alias(f"{c}_p") for c in "vw"]), "v_p", "w_p")
+    for k in want:
+        np.testing.assert_allclose(got[k], want[k], rtol=1e-12)
+
+
+def test_grouped_percentiles_with_an_empty_column(spark):
+    df = spark.range(100).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
+    got = {r["k"]: r for r in grouped_percentiles(df, ["k"], ["a", "b"], [0.5], exact_limit=10).collect()}
+    assert got[0]["a_p"] == [49.0] and got[1]["a_p"] == [50.0]
+    assert got[0]["b_p"] in (None, [None])
+
+
 @pytest.mark.parametrize("limit,accuracy", [(10**6, 10_000), (100, 50), (20, 20)])
 def test_column_percentiles_by_narrowing(skewed, limit, accuracy):
     shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.operators.keyed import null_safe_join
+from wellspring.operators.keyed import attach_by_key, null_safe_join
 from wellspring.operators.ordered import running_totals
 from wellspring.session import settle
 
@@ -136,10 +136,11 @@ def grouped_percentiles(df: DataFrame, keys: Sequence[str], columns: Sequence[st
                         accuracy: int | None = None) -> DataFrame:
     """Percentiles per key as array columns ``<column>_p``; exact unless ``accuracy`` is given.
 
-    Groups up to ``exact_limit`` rows use the built-in aggregate. The rows of longer groups are counted
-    per distinct value first, and the wanted ranks are read off running counts over the values, which
-    are cut into runs; a group of any length and any repeated value stays spread over many tasks.
-    ``sizes`` may give the settled row count per key as column ``n_rows``.
+    Groups up to ``exact_limit`` rows use the built-in aggregate. For longer groups a quantile sketch per
+    key encloses each percentile between two values; only the cells between them, about 4/SKETCH_ACCURACY
+    of all, are counted per distinct value, and the wanted ranks are read off running counts over these.
+    A group of any length and any repeated value stays spread over many tasks. ``sizes`` may give the
+    settled row count per key as column ``n_rows``.
     """
     shares = list(probabilities)
     if accuracy is not None:
@@ -152,32 +153,66 @@ def grouped_percentiles(df: DataFrame, keys: Sequence[str], columns: Sequence[st
     long_keys = sizes.where(F.col("n_rows") > exact_limit).select(*keys)
     ordinary = null_safe_join(df, long_keys, keys, "left_anti").groupBy(*keys).agg(*built_in)
     long = null_safe_join(df, long_keys, keys, "left_semi")
-    return ordinary.unionByName(_percentiles_by_counting(long, keys, columns, shares, exact_limit))
-
-
-def _percentiles_by_counting(df, keys, columns, shares, rows_per_run) -> DataFrame:
-    stacked = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
-    ])).alias("_cell")).select(*keys, "_cell.column", "_cell.value")
+    return ordinary.unionByName(_long_group_percentiles(long, keys, columns, shares, exact_limit))
+
+
+def _long_group_percentiles(df, keys, columns, shares, exact_limit) -> DataFrame:
+    """Percentiles by enclosing and counting. A key whose sketch missed a rank is done again without bounds."""
+    margin = 2.0 / SKETCH_ACCURACY + 2.0 / exact_limit
+    sketched = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(columns):
+        edges = [min(1.0, max(0.0, p + side)) for p in shares for side in (-margin, margin)]
+        sketched += [F.count(c).alias(f"_n{i}"), F.percentile_approx(c, edges, SKETCH_ACCURACY).alias(f"_e{i}")]
+    bounds = settle(df.groupBy(*keys).agg(*sketched))
+    enclosed = settle(_ranks_by_counting(df, keys, columns, shares, exact_limit, bounds, True))
+    wanted = F.lit(True)
+    for i, c in enumerate(columns):
+        wanted = wanted & ((F.col(f"_n{i}") == 0) | F.forall(f"{c}_p", lambda v: v.isNotNull()))
+    checked = null_safe_join(bounds.select(*keys, *[f"_n{i}" for i in range(len(columns))]), enclosed, keys)
+    missed = settle(checked.where(~F.coalesce(wanted, F.lit(False))).select(*keys))
+    result = [f"{c}_p" for c in columns]
+    if missed.isEmpty():
+        return checked.select(*keys, *result)
+    again = null_safe_join(df, missed, keys, "left_semi")
+    return null_safe_join(checked, missed, keys, "left_anti").select(*keys, *result).unionByName(
+        _ranks_by_counting(again, keys, columns, shares, exact_limit, bounds, False).select(*keys, *result))
+
+
+def _ranks_by_counting(df, keys, columns, shares, rows_per_run, bounds, enclosed) -> DataFrame:
+    """Read the ranks off running counts over the distinct values of each (key, column, share)."""
+    rows = attach_by_key(df.select(*keys, *columns), bounds, keys, weight="_rows", salt_by=columns)
+    targets = [(i, j) for i in range(len(columns)) for j in range(len(shares))]
+    below, inside = {}, {}
+    for i, j in targets:
+        v, low, high = F.col(columns[i]), F.col(f"_e{i}")[2 * j], F.col(f"_e{i}")[2 * j + 1]
+        below[i, j] = v < low if enclosed else F.lit(False)
+        inside[i, j] = (v >= low) & (v <= high) if enclosed else v.isNotNull()
+    cells = F.array_compact(F.array(*[
+        F.when(inside[i, j], F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(columns[i]).cast("double").alias("_value")))
+        for i, j in targets
+    ]))
+    groups = [*keys, "_i", "_j"]
     counted = settle(
-        stacked.where(F.col("value").isNotNull()).groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("_n")))
-    groups = [*keys, "column"]
-    reached = running_totals(counted, groups, ["value"], {"_upto": F.col("_n")}, True, rows_per_run)
-    lengths = counted.groupBy(*groups).agg(F.sum("_n").alias("_length"))
-    placed = null_safe_join(reached, lengths, groups)
-    picks = []
-    for i, share in enumerate(shares):
-        place = F.lit(share) * (F.col("_length") - 1)
-        for side, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
-            here = (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
-            picks.append(F.max(F.when(here, F.col("value"))).alias(f"_{side}{i}"))
-        picks.append(F.max(place - F.floor(place)).alias(f"_part{i}"))
-    found = placed.groupBy(*groups).agg(*picks)
-    values = F.array(*[
-        F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}") for i in range(len(shares))
-    ])
-    return found.withColumn("_values", values).groupBy(*keys).agg(*[
-        F.max(F.when(F.col("column") == c, F.col("_values"))).alias(f"{c}_p") for c in columns
+        rows.select(*keys, F.explode(cells).alias("_cell")).groupBy(*keys, "_cell._i", "_cell._j", "_cell._value")
+        .agg(F.count(F.lit(1)).alias("_copies")))
+    before = rows.groupBy(*keys).agg(*[F.count_if(below[t]).alias(f"_b{t[0]}_{t[1]}") for t in targets])
+    starts = null_safe_join(bounds, before, keys).select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"_b{i}_{j}").alias("_before"),
+                 (F.lit(shares[j]) * (F.col(f"_n{i}") - 1)).alias("_place"))
+        for i, j in targets
+    ])))
+    reached = running_totals(counted, groups, ["_value"], {"_upto": F.col("_copies")}, True, rows_per_run)
+    placed = null_safe_join(reached, starts, groups).withColumn("_upto", F.col("_upto") + F.col("_before"))
+
+    def at(rank):
+        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_copies")), F.col("_value")))
+
+    found = placed.groupBy(*groups).agg(
+        at(F.floor("_place")).alias("_low"), at(F.ceil("_place")).alias("_high"), F.max(F.col("_place") - F.floor("_place")).alias("_part"))
+    valued = found.withColumn("_v", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part"))
+    return valued.groupBy(*keys).agg(*[
+        F.array(*[F.max(F.when((F.col("_i") == i) & (F.col("_j") == j), F.col("_v"))) for j in range(len(shares))]).alias(f"{c}_p")
+        for i, c in enumerate(columns)
     ])
 
 
