@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wellspring.jobs import arguments, run
 from wellspring.operators import learning
 from wellspring.operators.outliers import flag_outliers
 from wellspring.plans import folder_jobs
@@ -90,6 +91,18 @@ def test_flag_and_disturb_folder(spark, sf, tmp_path):
     assert 0.03 < share < 0.07
 
 
+def test_jobs(spark, sf, folder, three_wells, tmp_path):
+    out = str(tmp_path / "jobs")
+    run(spark, arguments(["split-outliers", "--input", folder, "--output", f"{out}/split", "--columns", "temperature", "pressure"]))
+    assert spark.read.parquet(f"{out}/split/outliers").count() == 7 and spark.read.json(f"{out}/split/skipped").count() == 2
+    three_wells.write.parquet(str(tmp_path / "wells"))
+    run(spark, arguments(["process", "--input", str(tmp_path / "wells"), "--output", f"{out}/done", "--outlier-method", "iqr"]))
+    assert "PT_Ratio" in spark.read.parquet(f"{out}/done/data").columns
+    assert spark.read.json(f"{out}/done/history").count() > 0 and spark.read.json(f"{out}/done/report").count() > 0
+    with pytest.raises(SystemExit):
+        arguments(["flag"])
+
+
 def test_readers_and_writers(spark, sf, tmp_path):
     df = spark.createDataFrame([(1, "x", 2.5), (2, None, None)], "a int, b string, c double")
     writers.write_summary_csv(df, str(tmp_path / "csv"))

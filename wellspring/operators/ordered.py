@@ -211,7 +211,7 @@ def contamination_step(formation: Column, additives: Column | None = None) -> Co
 
 def bit_wear(df: DataFrame, keys: Sequence[str], order: Sequence[str], layer: str, formation: str,
              name: str = "bit_wear", cap: float = 1.0, wear_scale: float = 1.0,
-             rows_per_run: int = ROWS_PER_RUN, fan_out: int = 256) -> DataFrame:
+             rows_per_run: int = ROWS_PER_RUN, fan_out: int = 64) -> DataFrame:
     """Wear before each row: grows by the step of the formation up to ``cap``, shrinks at each layer change.
 
     A segment is a stretch of rows in one layer. Inside it the wear is the wear at its start plus the
@@ -238,7 +238,7 @@ def bit_wear(df: DataFrame, keys: Sequence[str], order: Sequence[str], layer: st
         "_changed", "_segment", "_with_own", "_before", "_base", "start", "a", "_rows")
 
 
-def capped_walk(steps: DataFrame, keys: Sequence[str], position: str, fan_out: int = 256,
+def capped_walk(steps: DataFrame, keys: Sequence[str], position: str, fan_out: int = 64,
                 first: float = 0.0) -> DataFrame:
     """State before each step of x -> min(c, a*x + b), starting from ``first`` at position 0.
 

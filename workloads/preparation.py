@@ -24,6 +24,13 @@ def scan_count(spark, folder):
     return count_rows(table(spark, folder, "lineitem"))
 
 
+def sql_count(spark, folder):
+    """Count and value range by SQL over a view, as after a load."""
+    telemetry(spark, folder).createOrReplaceTempView("well_records")
+    return spark.sql("SELECT well_id, count(*) AS n_rows, min(depth_measured) AS top, max(depth_measured) AS bottom "
+                     "FROM well_records GROUP BY well_id")
+
+
 def file_lineage(spark, folder):
     rows = read_parquet(spark, f"{folder}/lineitem.parquet", f"{folder}/lineitem.parquet", with_file=True)
     return rows.groupBy(SOURCE_FILE).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -141,7 +148,7 @@ def known_unknown_split(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_count, file_lineage, alias_rename, yes_no_map, contract_cast, contract_null_counts, head_per_key, head_of_table,
+    scan_count, sql_count, file_lineage, alias_rename, yes_no_map, contract_cast, contract_null_counts, head_per_key, head_of_table,
     json_encode_publish, null_counts, null_percent_ranked, null_total, impute_median, impute_mean, impute_custom,
     impute_history, modes, dedup_rows, dedup_count, dropna_subset, known_unknown_split)}
 
@@ -170,6 +177,8 @@ def _median(c: str) -> str:
 
 SQL = {
     "scan_count": "SELECT count(*) AS n_rows FROM lineitem",
+    "sql_count": over(TELEMETRY) + """SELECT well_id, count(*) AS n_rows, min(depth_measured) AS top, max(depth_measured) AS bottom
+FROM tel GROUP BY 1""",
     "file_lineage": "SELECT 'lineitem.parquet' AS source_file, 2 * count(*) AS n_rows FROM lineitem",
     "alias_rename": over(TELEMETRY) + """SELECT well_id AS api_well_id, formation_type,
   ROUND(avg(clay_content_percent), 6) AS clay_content_percent, ROUND(avg(rop), 6) AS rop,
