@@ -76,5 +76,16 @@ def test_first_rows_and_global_index(spark, steps):
     assert {r["count"] for r in first.groupBy("user_id").count().collect()} == {3}
     texts = spark.createDataFrame([(t,) for t in "fbdaec"], "t string").repartition(3)
     assert [tuple(r) for r in ordered.global_index(texts, ["t"]).orderBy("t").collect()] == [(t, i) for i, t in enumerate("abcdef")]
-    with pytest.raises(TypeError):
-        ordered.cut_into_runs(texts, ["t"], 2)
+
+
+def test_runs_stay_short_whatever_the_order_column(spark, steps):
+    """Text as the order, one time for a third of the rows, and one time for all rows."""
+    one_time = steps.withColumn("ts", F.lit("2024-01-03").cast("timestamp_ntz"))
+    for rows, order in ((steps, ["event_type", "event_id"]), (steps, ORDER), (one_time, ORDER)):
+        cut, several = ordered.cut_into_runs(rows, KEYS, order, 20)
+        assert several and cut.count() == steps.count()
+        assert cut.groupBy(*KEYS, ordered.RUN).count().agg(F.max("count")).first()[0] <= 4 * 20
+        window = Window.partitionBy(*KEYS).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        got = ordered.running_totals(rows, KEYS, order, {"t": F.col("value")}, True, 20)
+        want = rows.withColumn("t", F.sum("value").over(window))
+        assert same(got.select("event_id", F.round("t", 6)), want.select("event_id", F.round("t", 6)))

@@ -1,7 +1,7 @@
 """Order-dependent operators that never put a whole well into one task.
 
-The rows of all keys are cut into runs at quantiles of the ordering column, so a window works on
-one (key, run) at a time. What a run must know about its past - a total so far, the last value -
+The rows of all keys are cut into runs at quantiles of the ordering column, or by their place in a
+global sort where that column is too uneven, so a window works on one (key, run) at a time. What a run must know about its past - a total so far, the last value -
 comes as one extra *carry row* that sorts before the rows of the run and is dropped again at the
 end. The carry rows need only one aggregated row per (key, run).
 """
@@ -23,40 +23,54 @@ from wellspring.session import settle
 
 ROWS_PER_RUN = 1_000_000
 MAX_RUNS = 10_000
+UNEVEN = 4
+POSITION_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType, T.NumericType)
 RUN = "_run"
 MAIN = "_main"
 
 
 def order_position(df: DataFrame, column: str) -> Column:
     """A double that never decreases along the ordering column; nulls come first."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        position = epoch_seconds(F.col(column).cast("timestamp_ntz"))
-    elif isinstance(kind, T.NumericType):
+    if isinstance(df.schema[column].dataType, T.NumericType):
         position = F.col(column).cast("double")
     else:
-        raise TypeError(f"cannot cut runs along {column} of type {kind.simpleString()}")
+        position = epoch_seconds(F.col(column).cast("timestamp_ntz"))
     return F.coalesce(position, F.lit(float("-inf")))
 
 
-def cut_into_runs(df: DataFrame, order: Sequence[str], rows_per_run: int = ROWS_PER_RUN) -> tuple[DataFrame, bool]:
+def cut_into_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                  rows_per_run: int = ROWS_PER_RUN) -> tuple[DataFrame, bool]:
     """Add the run number and tell whether there is more than one run.
 
-    One job over the ordering column finds the cuts; the plan holds them as constants.
+    One job over the first ordering column finds quantiles as cuts; the plan holds them as constants. A
+    second job counts the rows per (key, run). Where many rows of a key share one value of that column, or
+    it is no number or time, the rows are instead sorted once by key and all ordering columns and cut at
+    equal numbers of rows.
     """
-    position = order_position(df, order[0])
     total = df.count()
     runs = min(MAX_RUNS, math.ceil(total / rows_per_run))
     if runs <= 1:
-        return df.withColumn(RUN, F.lit(0)), False
+        return df.withColumn(RUN, F.lit(0).cast("long")), False
+    if not isinstance(df.schema[order[0]].dataType, POSITION_TYPES):
+        return _cut_by_place(df, keys, order, rows_per_run), True
+    position = order_position(df, order[0])
     shares = [i / runs for i in range(1, runs)]
     found = df.agg(F.percentile_approx(position, shares, 10 * runs)).first()[0]
-    cuts = sorted({c for c in found if not math.isinf(c)})
-    if not cuts:
-        return df.withColumn(RUN, F.lit(0)), False
-    bucketizer = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_position", outputCol=RUN)
-    cut = bucketizer.transform(df.withColumn("_position", position))
-    return cut.withColumn(RUN, F.col(RUN).cast("int")).drop("_position"), True
+    splits = [float("-inf"), *sorted({c for c in found if not math.isinf(c)}), float("inf")]
+    if len(splits) > 2:
+        bucketizer = Bucketizer(splits=splits, inputCol="_position", outputCol=RUN)
+        cut = bucketizer.transform(df.withColumn("_position", position)).withColumn(RUN, F.col(RUN).cast("long")).drop("_position")
+    else:
+        cut = df.withColumn(RUN, F.lit(0).cast("long"))
+    longest = cut.groupBy(*keys, RUN).count().agg(F.max("count")).first()[0]
+    if longest > UNEVEN * max(rows_per_run, total // runs):
+        return _cut_by_place(df, keys, order, rows_per_run), True
+    return cut, True
+
+
+def _cut_by_place(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_run: int) -> DataFrame:
+    placed = global_index(df, [*keys, *order], "_index")
+    return placed.withColumn(RUN, F.floor(F.col("_index") / rows_per_run).cast("long")).drop("_index")
 
 
 def _run_window(keys: Sequence[str], order: Sequence[str]):
@@ -67,7 +81,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], tot
                    include_current: bool = True, rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
     """Running sums per key in the given order, with or without the row's own value."""
     valued = df.withColumns({f"_v_{n}": v.cast("double") for n, v in totals.items()})
-    cut, several = cut_into_runs(valued, order, rows_per_run)
+    cut, several = cut_into_runs(valued, keys, order, rows_per_run)
     rows = cut.withColumn(MAIN, F.lit(True))
     if several:
         per_run = cut.groupBy(*keys, RUN).agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in totals])
@@ -113,7 +127,7 @@ def first_rows_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str,
                   rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
     """Add the value of ``column`` in the preceding row of the key, and ``<name>_known`` (false in the first row)."""
-    cut, several = cut_into_runs(df, order, rows_per_run)
+    cut, several = cut_into_runs(df, keys, order, rows_per_run)
     rows = cut.withColumns({"_seen": F.col(column), MAIN: F.lit(True)})
     if several:
         last = cut.groupBy(*keys, RUN).agg(F.max_by(F.struct(column), F.struct(*order)).alias("_last"))

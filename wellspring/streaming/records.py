@@ -31,8 +31,9 @@ def decode_records(messages: DataFrame, schema: T.StructType | None = None) -> D
     readable = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
     text = F.col("value").cast("string")
     parsed = F.from_json(text, readable, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    # Through the explode a later filter on is_readable stays above it; else it would parse the text again.
     return (
-        messages.select(F.col("key").cast("string").alias("key"), text.alias("raw_value"), parsed.alias("_r"))
+        messages.select(F.col("key").cast("string").alias("key"), text.alias("raw_value"), F.explode(F.array(parsed)).alias("_r"))
         .select("key", "raw_value", *[F.col(f"_r.{f.name}").alias(f.name) for f in schema],
                 (F.col("_r").isNotNull() & F.col("_r._broken").isNull()).alias("is_readable"))
     )
