@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wellspring.operators.isolation import isolation_flags, isolation_scores
-from wellspring.operators.keyed import attach_by_key
+from wellspring.operators.keyed import attach_by_key, fits_broadcast
 from wellspring.operators.outliers import flag_outliers, outlier_counts, split_by_flag
 from wellspring.operators import quantiles
 from wellspring.operators.quantiles import approximate_percentiles, column_percentiles, grouped_percentiles, order_statistics
@@ -93,6 +93,14 @@ def test_keyed_join_with_salts_equals_broadcast(spark, skewed):
     assert salted.where("id = -1").first()["m"] == 9.0
 
 
+def test_long_texts_are_not_broadcast(spark):
+    few_but_long = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    assert fits_broadcast(few_but_long, 11_000) and not fits_broadcast(few_but_long, 10_000)
+    assert fits_broadcast(few_but_long.limit(0), 0)
+    nested = spark.range(10).select(F.array_repeat(F.lit("abcdefghij"), 100).alias("a"))
+    assert not fits_broadcast(nested, 10_000)
+
+
 def test_isolation_forest_finds_planted_rows(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(1500, 2)))]

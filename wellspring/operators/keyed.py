@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wellspring.session import settle
 
@@ -57,7 +58,16 @@ def attach_by_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight
 
 
 def fits_broadcast(facts: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> bool:
-    return facts.count() * len(facts.columns) * CELL_BYTES <= broadcast_bytes
+    """Whether the measured size of a settled table is within the bound: fixed-size cells and lengths of texts."""
+    size = F.count(F.lit(1)) * (len(facts.columns) * CELL_BYTES)
+    for field in facts.schema:
+        cell = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            cell = F.to_json(F.struct(cell))
+        elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            continue
+        size = size + F.coalesce(F.sum(F.octet_length(cell).cast("long")), F.lit(0))
+    return facts.agg(size).first()[0] <= broadcast_bytes
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:

@@ -77,9 +77,11 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input comes in fewer partitions than there are cores; else unchanged.
+    """Rows over all cores when the input comes in fewer files than there are cores; else unchanged.
 
-    For steps whose work per row outweighs moving the row. Large inputs have many partitions and stay put.
+    For steps whose work per row outweighs moving the row. The number of input files stands for that of
+    the partitions, as it is known without running anything; tables of many files stay put.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    files = len(df._jdf.inputFiles())  # the names stay in the JVM, only their number is wanted
+    return df.repartition(cores) if 0 < files < cores else df
