@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from wellspring.functions import physics
@@ -183,8 +185,8 @@ def layer_changes(spark, folder):
 
 
 def bit_wear_walk(spark, folder):
-    rows = ordered.bit_wear(event_steps(spark, folder), KEYS, ORDER, "event_type", "formation", wear_scale=3411 / 7, rows_per_run=RUN, fan_out=32)
-    return rows.select("event_id", F.round("bit_wear", 8).alias("bit_wear"))
+    rows = ordered.bit_wear(event_steps(spark, folder), KEYS, ORDER, "event_type", "formation", wear_scale=math.sqrt(237443), rows_per_run=RUN, fan_out=32)
+    return rows.select("event_id", F.round("bit_wear", 6).alias("bit_wear"))
 
 
 def row_numbers(spark, folder):
@@ -337,13 +339,13 @@ SELECT CAST(p_partkey % 7 AS DOUBLE) AS guess, l.p_brand AS guessed_brand, count
     "efficiency_floor": f"SELECT event_id, ROUND(greatest(0.5e0, 1e0 - COALESCE(sum(0.008e0) {_BEFORE}, 0e0)), 6) AS efficiency FROM events",
     "layer_changes": f"SELECT event_id, COALESCE(event_type <> lag(event_type) {_OVER}), false) AS changed FROM events",
     "bit_wear_walk": "WITH RECURSIVE " + STEPS.strip() + f""", n AS (SELECT *, row_number() {_OVER}) AS rn,
-  {_WEAR.format("0.0003e0", "0.0005e0", "0.0008e0", "0.0001e0", "0.0004e0")} * (3411e0 / 7) AS step,
+  {_WEAR.format("0.0003e0", "0.0005e0", "0.0008e0", "0.0001e0", "0.0004e0")} * sqrt(237443e0) AS step,
   {_WEAR.format("0.6e0", "0.7e0", "0.5e0", "0.9e0", "0.7e0")} AS kept FROM steps)
 , walk AS (SELECT user_id, rn, event_id, event_type, step, 0e0 AS wear FROM n WHERE rn = 1
   UNION ALL SELECT n.user_id, n.rn, n.event_id, n.event_type, n.step,
     least(1e0, walk.wear + walk.step) * CASE WHEN n.event_type <> walk.event_type THEN n.kept ELSE 1e0 END
   FROM walk JOIN n ON n.user_id = walk.user_id AND n.rn = walk.rn + 1)
-SELECT event_id, ROUND(wear, 8) AS bit_wear FROM walk""",
+SELECT event_id, ROUND(wear, 6) AS bit_wear FROM walk""",
     "row_numbers": f"SELECT event_id, row_number() {_OVER}) AS place FROM events",
     "sequence_window": f"""SELECT event_id, array_to_string(list_transform(w, lambda v: CAST(ROUND(v * 100) AS BIGINT)), ',') AS steps, next_label FROM (
   SELECT event_id, list(value) {_OVER} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS w, lead(event_type) {_OVER}) AS next_label FROM events)
