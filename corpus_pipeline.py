@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wellspring.llm import exact_dedup, mixing, quality_rules
+from wellspring.llm import exact_dedup, jaccard, mixing, packing, quality_rules
 from wellspring.session import settle
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,13 +22,24 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that are alike: five words, a similarity of 0.8 or more."""
+    return jaccard.keep_one(docs, rule=jaccard.Rule(5, 80, 100), terms="shingles")
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that the sources meet their weights."""
     return mixing.apply_mix(docs)
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 1024 tokens."""
+    return packing.pack_documents(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", quality_stage), ("exact_dedup", exact_stage), ("mixing", mixing_stage),
+    ("quality_rules", quality_stage), ("exact_dedup", exact_stage), ("ngram_jaccard", near_stage), ("mixing", mixing_stage),
+    ("packing", packing_stage),
 ]
 ORACLE_SQL = None  # the label model is fitted by iteration
 
