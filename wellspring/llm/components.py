@@ -11,13 +11,12 @@ from wellspring.session import settle
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (u, v); the component is its smallest node.
 
-    Alternating large and small stars: each round ties every node to the smallest node known around it, until nothing
-    changes, after a number of rounds that grows with the logarithm of the nodes. Minima are combined before the
+    Alternating large and small stars: each round ties every node to the smallest node known around it, until all
+    are stars, after a number of rounds that grows with the logarithm of the nodes. Minima are combined before the
     shuffle, and each round is written as a table.
     """
     edges = settle(_edges(links))
-    before = _mark(edges)
-    while True:
+    while not _stars(edges):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -25,10 +24,6 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         edges = settle(_edges(small))
-        now = _mark(edges)
-        if now == before:
-            break
-        before = now
     tied = edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return tied.unionAll(tied.select(F.col("component").alias("node"), "component").distinct())
 
@@ -38,5 +33,8 @@ def _edges(links: DataFrame) -> DataFrame:
     return links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either a smallest node or tied to one of them only."""
+    seen = edges.select(F.col("u").alias("node"), F.lit(0).alias("ties"), F.lit(1).alias("centre")).unionAll(
+        edges.select(F.col("v").alias("node"), F.lit(1).alias("ties"), F.lit(0).alias("centre")))
+    return seen.groupBy("node").agg(F.sum("ties").alias("ties"), F.max("centre").alias("centre")).where("ties + centre > 1").isEmpty()

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.llm.components import components
@@ -26,11 +26,12 @@ from wellspring.session import settle
 MOST_SUBSETS = 500  # of a small set
 LIST_COST = 4  # of one entry in an inverted list, in subsets
 SPARE_BLOCKS = 2
+PARITY_BITS = 1024
 SKETCH_BITS = 20
 SKETCH_SLICES = 16
 MERGE = 32
-STAR_ROUNDS = 4
-PAIRS_PER_ENTRY = 8
+STAR_ROUNDS = 2
+PAIRS_PER_ENTRY = 256
 _LIGHT, _HEAVY, _SECOND = np.uint64(0x632BE59BD9B4E019), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -166,7 +167,7 @@ def frequency_classes(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     parts, many = settle(texts.mapInArrow(count, schema)), texts.rdd.getNumPartitions()
     while many > 1:
-        parts = settle(parts.groupBy("slice", F.floor(F.col("part") / MERGE).alias("part")).applyInArrow(add, schema))
+        parts = settle(parts.withColumn("part", F.floor(F.col("part") / MERGE)).groupBy("slice", "part").applyInArrow(add, schema))
         many = -(-many // MERGE)
     counts = np.zeros(cells, "i8")
     for row in parts.collect():  # a fixed number of slices
@@ -234,56 +235,74 @@ def link_sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, rows: Dat
     lists = settle(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot")).where("c > 1"))
     shared = settle(attach_by_key(entries, lists, ["key"], weight="c", how="inner", salt_by=["rep"]))
     sets = _sets(docs, id_col, text_col, rule, settle(shared.select("rep").distinct()))
-    open_, links, checked, tied = shared, None, None, None
-    for number in itertools.count():
-        if number:
-            labels = shared.select("rep").distinct().join(tied, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-            open_ = open_.select("rep", "n", "key").join(labels, "rep")
-            ends = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-            open_ = settle(open_.join(ends, "key", "left_semi"))
-            parts = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-            entries_left, pairs_left = parts.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()
-            if not entries_left:
-                break
-        every = number > STAR_ROUNDS or (number and pairs_left <= PAIRS_PER_ENTRY * entries_left)
+    pairs = settle(shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    checked = settle(_verify(pairs, sets, rule))
+    tied = settle(components(_links(checked)))
+    open_ = shared.select("rep", "n", "key")
+    for number in itertools.count(1):
+        comp = F.coalesce("component", "rep").alias("comp")
+        open_ = open_.select("rep", "n", "key").join(tied, F.col("rep") == F.col("node"), "left").select("rep", "n", "key", comp)
+        ends = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        open_ = settle(open_.join(ends, "key", "left_semi"))
+        parts = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+        entries_left, pairs_left = parts.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()
+        if not entries_left:
+            break
+        every = number > STAR_ROUNDS or pairs_left <= PAIRS_PER_ENTRY * entries_left
+        marked = open_.join(sets.select("rep", "odd"), "rep")
         if every:
-            other = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"))
-            pairs = open_.join(other, "key").where("rep < b AND comp <> comp_b").select(F.col("rep").alias("a"), "b", F.col("n").alias("na"), "nb")
-        elif number:
-            centre = open_.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("rep", F.lit(number))).alias("p"))
-            pairs = open_.join(centre.select("key", F.col("p.rep").alias("p"), F.col("p.n").alias("np"), F.col("p.comp").alias("cp")), "key").where("comp <> cp")
-            pairs = pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb"))
+            other = marked.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"), F.col("odd").alias("odd_b"))
+            pairs = marked.join(other, (marked["key"] == other["key"]) & (marked["rep"] < other["b"]) & (marked["comp"] != other["comp_b"])
+                                & may_link(rule, "odd", "odd_b", "n", "nb")).select(F.col("rep").alias("a"), "b")
         else:
-            pairs = shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.lit(None).cast("bigint").alias("na"), F.lit(None).cast("bigint").alias("nb"))
-        fits = F.coalesce(rule.num * F.greatest("na", "nb") <= rule.den * F.least("na", "nb"), F.lit(True))
-        pairs = pairs.where(fits).select("a", "b").distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        verified = settle(_verify(pairs, sets, rule))
-        new = verified.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = new if links is None else links.unionAll(new)
-        checked = verified.select("a", "b") if checked is None else checked.unionAll(verified.select("a", "b"))
-        tied = settle(components(links if tied is None else new.unionAll(tied.select(F.col("node").alias("u"), F.col("component").alias("v")))))
+            centre = marked.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp", "odd"), F.xxhash64("rep", F.lit(number))).alias("p"))
+            centre = centre.select("key", F.col("p.rep").alias("b"), F.col("p.n").alias("nb"), F.col("p.comp").alias("comp_b"), F.col("p.odd").alias("odd_b"))
+            pairs = marked.join(centre, (marked["key"] == centre["key"]) & (marked["comp"] != centre["comp_b"]) & may_link(rule, "odd", "odd_b", "n", "nb"))
+            pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+        pairs = settle(pairs.distinct().join(checked, ["a", "b"], "left_anti"))
+        found = settle(_verify(pairs, sets, rule))
+        new = _links(found)
+        checked = checked.unionAll(found)
+        if not new.isEmpty():
+            tied = settle(components(new.unionAll(tied.select(F.col("node").alias("u"), F.col("component").alias("v")))))
         if every:
             break
     return classes.select("d1", "d2", "rep", "copies"), tied
 
 
+def _links(verified: DataFrame) -> DataFrame:
+    return verified.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, ids: DataFrame) -> DataFrame:
-    """(rep, n, h): the sets of the given documents, from their texts."""
+    """(rep, h, odd): the sets of the given documents, from their texts, and the parities of the counts in hash cells.
+
+    Two sets differ in at least as many elements as their parities differ in bits.
+    """
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, rows, hashes in document_sets(batch.column(1), rule):
-                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=end - first))])
-                yield pa.record_batch([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view("i8")))],
-                                      names=["rep", "h"])
+                many = end - first
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=many))])
+                cell = rows * PARITY_BITS + (hashes & np.uint64(PARITY_BITS - 1)).astype("i8")
+                odd = np.packbits((np.bincount(cell, minlength=many * PARITY_BITS) & 1).astype(bool)).view("i8")
+                yield pa.record_batch([
+                    batch.column(0).slice(first, many), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view("i8"))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(many + 1) * (PARITY_BITS // 64), pa.int32()), pa.array(odd))], names=["rep", "h", "odd"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("rep"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     rows = attach_by_key(rows, ids, ["rep"], how="left_semi", salt_by=["rep"])
-    found = rows.mapInArrow(sets, f"rep {ids.schema['rep'].dataType.simpleString()}, h array<bigint>")
+    found = rows.mapInArrow(sets, f"rep {ids.schema['rep'].dataType.simpleString()}, h array<bigint>, odd array<bigint>")
     return settle(found.dropDuplicates(["rep"]))
 
 
+def may_link(rule: Rule, odd_a: str, odd_b: str, n_a: str, n_b: str) -> Column:
+    """False for pairs that cannot link by their sizes or by the parities of their sets."""
+    apart = " + ".join(f"bit_count(get({odd_a}, {k}) ^ get({odd_b}, {k}))" for k in range(PARITY_BITS // 64))
+    sizes = f"{rule.num} * greatest({n_a}, {n_b}) <= {rule.den} * least({n_a}, {n_b})"
+    return F.expr(f"{sizes} AND {rule.den + rule.num} * ({apart}) <= {rule.den - rule.num} * ({n_a} + {n_b})")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, linked). The smaller rows go through the first join, the repeated pivot comes last."""
     joined = pairs.join(sets.select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a")
