@@ -26,7 +26,7 @@ from wellspring.session import settle
 MOST_SUBSETS = 500  # of a small set
 LIST_COST = 4  # of one entry in an inverted list, in subsets
 SPARE_BLOCKS = 2
-PARITY_BITS = 1024
+PARITY_BITS = 512
 SKETCH_BITS = 20
 SKETCH_SLICES = 16
 MERGE = 32
@@ -178,9 +178,10 @@ def frequency_classes(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -
 
 
 def set_rows(docs: DataFrame, id_col: str, text_col: str, rule: Rule, classes: np.ndarray | None) -> DataFrame:
-    """(_id, n, d1, d2, light, heavy): size and 128-bit digest of each document's set and the keys of both searches.
+    """(_id, n, d1, d2, odd, light, heavy): size, 128-bit digest and parities of each document's set, keys of both searches.
 
-    Sets near the boundary, which is chosen later, carry the keys of both.
+    Sets near the boundary, which is chosen later, carry the keys of both. ``odd`` has a bit for each of ``PARITY_BITS`` hash
+    cells, set if the cell holds an odd number of elements: two sets differ in at least as many elements as in bits.
     """
     limit = rule.boundary_limit()
     spread = docs.sparkSession.sparkContext.broadcast(classes)  # one byte for each cell of the sketch, or None
@@ -200,14 +201,17 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, rule: Rule, classes: n
                 row, key = block_keys(rows, hashes, sizes, rule) if spread.value is None else rare_keys(rows, hashes, sizes, rule, spread.value)
                 order = np.argsort(row, kind="stable")
                 heavy = pa.array(key[order].view("i8"))
+                cell = rows * PARITY_BITS + (hashes & np.uint64(PARITY_BITS - 1)).astype("i8")
+                odd = np.packbits((np.bincount(cell, minlength=many * PARITY_BITS) & 1).astype(bool)).view("i8")
                 light_ends, heavy_ends = np.cumsum([0, *map(len, light)]), np.concatenate([[0], np.cumsum(np.bincount(row, minlength=many))])
                 yield pa.record_batch([
                     batch.column(0).slice(first, many), pa.array(sizes.astype("i8")), pa.array(digests[0].view("i8")), pa.array(digests[1].view("i8")),
+                    pa.ListArray.from_arrays(pa.array(np.arange(many + 1) * (PARITY_BITS // 64), pa.int32()), pa.array(odd)),
                     pa.ListArray.from_arrays(pa.array(light_ends, pa.int32()), pa.array(np.concatenate([hashes[:0], *light]).view("i8"))),
-                    pa.ListArray.from_arrays(pa.array(heavy_ends, pa.int32()), heavy)], names=["_id", "n", "d1", "d2", "light", "heavy"])
+                    pa.ListArray.from_arrays(pa.array(heavy_ends, pa.int32()), heavy)], names=["_id", "n", "d1", "d2", "odd", "light", "heavy"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
-    return rows.mapInArrow(keys, f"_id {rows.schema['_id'].dataType.simpleString()}, n bigint, d1 bigint, d2 bigint, light array<bigint>, heavy array<bigint>")
+    return rows.mapInArrow(keys, f"_id {rows.schema['_id'].dataType.simpleString()}, n bigint, d1 bigint, d2 bigint, odd array<bigint>, light array<bigint>, heavy array<bigint>")
 
 
 def choose_boundary(rows: DataFrame, rule: Rule) -> int:
@@ -230,18 +234,19 @@ def link_sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, rows: Dat
     none = F.array().cast("array<bigint>")
     keys = F.concat(F.when(F.col("n") <= rule.reach(x), F.col("light")).otherwise(none), F.when(F.col("n") > x, F.col("heavy")).otherwise(none))
     classes = settle(rows.where("n > 0").withColumn("keys", keys).groupBy("d1", "d2").agg(
-        F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    entries = classes.where("rep IS NOT NULL").select("rep", "n", F.explode("keys").alias("key"))
+        F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("keys").alias("keys")))
+    entries = classes.where("rep IS NOT NULL").select("rep", F.explode("keys").alias("key"))
     lists = settle(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot")).where("c > 1"))
-    shared = settle(attach_by_key(entries, lists, ["key"], weight="c", how="inner", salt_by=["rep"]))
-    sets = _sets(docs, id_col, text_col, rule, settle(shared.select("rep").distinct()))
-    pairs = settle(shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
-    checked = settle(_verify(pairs, sets, rule))
+    shared = settle(attach_by_key(entries, lists, ["key"], weight="c", how="inner", salt_by=["rep"]).select("rep", "key", "pivot"))
+    facts = classes.where("rep IS NOT NULL").select("rep", "n", "odd")
+    pairs = shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = pairs.join(facts.withColumnsRenamed({"rep": "b", "n": "nb", "odd": "odd_b"}), "b").join(facts.withColumnRenamed("rep", "a"), "a")
+    checked = settle(_verify(settle(pairs.where(may_link(rule, "odd", "odd_b", "n", "nb")).select("a", "b")), docs, id_col, text_col, rule))
     tied = settle(components(_links(checked)))
-    open_ = shared.select("rep", "n", "key")
+    open_ = shared.select("rep", "key")
     for number in itertools.count(1):
         comp = F.coalesce("component", "rep").alias("comp")
-        open_ = open_.select("rep", "n", "key").join(tied, F.col("rep") == F.col("node"), "left").select("rep", "n", "key", comp)
+        open_ = open_.select("rep", "key").join(tied, F.col("rep") == F.col("node"), "left").select("rep", "key", comp)
         ends = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
         open_ = settle(open_.join(ends, "key", "left_semi"))
         parts = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
@@ -249,7 +254,7 @@ def link_sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, rows: Dat
         if not entries_left:
             break
         every = number > STAR_ROUNDS or pairs_left <= PAIRS_PER_ENTRY * entries_left
-        marked = open_.join(sets.select("rep", "odd"), "rep")
+        marked = open_.join(facts, "rep")
         if every:
             other = marked.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"), F.col("odd").alias("odd_b"))
             pairs = marked.join(other, (marked["key"] == other["key"]) & (marked["rep"] < other["b"]) & (marked["comp"] != other["comp_b"])
@@ -260,7 +265,7 @@ def link_sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, rows: Dat
             pairs = marked.join(centre, (marked["key"] == centre["key"]) & (marked["comp"] != centre["comp_b"]) & may_link(rule, "odd", "odd_b", "n", "nb"))
             pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
         pairs = settle(pairs.distinct().join(checked, ["a", "b"], "left_anti"))
-        found = settle(_verify(pairs, sets, rule))
+        found = settle(_verify(pairs, docs, id_col, text_col, rule))
         new = _links(found)
         checked = checked.unionAll(found)
         if not new.isEmpty():
@@ -275,25 +280,18 @@ def _links(verified: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, ids: DataFrame) -> DataFrame:
-    """(rep, h, odd): the sets of the given documents, from their texts, and the parities of the counts in hash cells.
-
-    Two sets differ in at least as many elements as their parities differ in bits.
-    """
+    """(rep, h): the sets of the given documents, from their texts. Rows that repeat an id give equal rows."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, rows, hashes in document_sets(batch.column(1), rule):
                 many = end - first
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=many))])
-                cell = rows * PARITY_BITS + (hashes & np.uint64(PARITY_BITS - 1)).astype("i8")
-                odd = np.packbits((np.bincount(cell, minlength=many * PARITY_BITS) & 1).astype(bool)).view("i8")
-                yield pa.record_batch([
-                    batch.column(0).slice(first, many), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view("i8"))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(many + 1) * (PARITY_BITS // 64), pa.int32()), pa.array(odd))], names=["rep", "h", "odd"])
+                yield pa.record_batch([batch.column(0).slice(first, many), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view("i8")))],
+                                      names=["rep", "h"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("rep"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     rows = attach_by_key(rows, ids, ["rep"], how="left_semi", salt_by=["rep"])
-    found = rows.mapInArrow(sets, f"rep {ids.schema['rep'].dataType.simpleString()}, h array<bigint>, odd array<bigint>")
-    return settle(found.dropDuplicates(["rep"]))
+    return settle(rows.mapInArrow(sets, f"rep {ids.schema['rep'].dataType.simpleString()}, h array<bigint>"))
 
 
 def may_link(rule: Rule, odd_a: str, odd_b: str, n_a: str, n_b: str) -> Column:
@@ -303,12 +301,13 @@ def may_link(rule: Rule, odd_a: str, odd_b: str, n_a: str, n_b: str) -> Column:
     return F.expr(f"{sizes} AND {rule.den + rule.num} * ({apart}) <= {rule.den - rule.num} * ({n_a} + {n_b})")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, linked). The smaller rows go through the first join, the repeated pivot comes last."""
+def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
+    """(a, b, linked) of settled pairs. The smaller rows go through the first join, the repeated pivot comes last."""
+    sets = _sets(docs, id_col, text_col, rule, settle(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
     joined = pairs.join(sets.select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a")
     both = F.size(F.array_intersect("ha", "hb"))
     counted = joined.select("a", "b", (F.size("ha") + F.size("hb")).alias("all"), both.alias("both"))
-    return counted.select("a", "b", (rule.den * F.col("both") >= rule.num * (F.col("all") - F.col("both"))).alias("linked"))
+    return counted.select("a", "b", (rule.den * F.col("both") >= rule.num * (F.col("all") - F.col("both"))).alias("linked")).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(), terms: str = "shingles") -> DataFrame:
