@@ -236,10 +236,13 @@ def link_sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, rows: Dat
     classes = settle(rows.where("n > 0").withColumn("keys", keys).groupBy("d1", "d2").agg(
         F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("keys").alias("keys")))
     entries = classes.where("rep IS NOT NULL").select("rep", F.explode("keys").alias("key"))
-    lists = settle(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot")).where("c > 1"))
-    shared = settle(attach_by_key(entries, lists, ["key"], weight="c", how="inner", salt_by=["rep"]).select("rep", "key", "pivot"))
+    # A list of two members is their pair. Only the longer ones are looked up by their members.
+    lists = settle(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot"), F.max("rep").alias("other")).where("c > 1"))
+    longer = settle(lists.where("c > 2").select("key", "c", "pivot"))
+    shared = settle(attach_by_key(entries, longer, ["key"], weight="c", how="inner", salt_by=["rep"]).where("rep <> pivot").select("rep", "key", "pivot"))
     facts = classes.where("rep IS NOT NULL").select("rep", "n", "odd")
-    pairs = shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = lists.where("c = 2").select(F.col("pivot").alias("a"), F.col("other").alias("b")).unionAll(
+        shared.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))).distinct()
     pairs = pairs.join(facts.withColumnsRenamed({"rep": "b", "n": "nb", "odd": "odd_b"}), "b").join(facts.withColumnRenamed("rep", "a"), "a")
     checked = settle(_verify(settle(pairs.where(may_link(rule, "odd", "odd_b", "n", "nb")).select("a", "b")), docs, id_col, text_col, rule))
     tied = settle(components(_links(checked)))

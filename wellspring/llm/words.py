@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GAP = "[\\x20\\x09-\\x0D]+"
 GAP_CHARS = " \t\n\x0b\f\r"
-CHUNK_BYTES = 4 * 1024 * 1024
+CHUNK_BYTES = 2 * 1024 * 1024
 
 
 def lower_az(text: Column) -> Column:
