@@ -233,9 +233,14 @@ def link_sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, rows: Dat
     x = choose_boundary(rows, rule)
     none = F.array().cast("array<bigint>")
     keys = F.concat(F.when(F.col("n") <= rule.reach(x), F.col("light")).otherwise(none), F.when(F.col("n") > x, F.col("heavy")).otherwise(none))
-    classes = settle(rows.where("n > 0").withColumn("keys", keys).groupBy("d1", "d2").agg(
-        F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("keys").alias("keys")))
-    entries = classes.where("rep IS NOT NULL").select("rep", F.explode("keys").alias("key"))
+    classes = settle(rows.where("n > 0").groupBy("d1", "d2").agg(
+        F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("odd").alias("odd")))
+    copied = settle(classes.where("copies > 1").select("d1", "d2", "copies", "rep"))
+    # The keys stay where they are: only rows of copied sets have to learn whether they stand for their class.
+    first = attach_by_key(rows.where("n > 0 AND _id IS NOT NULL").select("_id", "d1", "d2", keys.alias("keys")), copied, ["d1", "d2"], weight="copies", salt_by=["_id"])
+    entries = first.where("rep IS NULL OR rep = _id").select(F.col("_id").alias("rep"), F.explode(F.array_distinct("keys")).alias("key"))
+    if not settle(rows.groupBy("_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 AND _id IS NOT NULL")).isEmpty():
+        entries = entries.distinct()
     # A list of two members is their pair. Only the longer ones are looked up by their members.
     lists = settle(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot"), F.max("rep").alias("other")).where("c > 1"))
     longer = settle(lists.where("c > 2").select("key", "c", "pivot"))
@@ -283,18 +288,18 @@ def _links(verified: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, ids: DataFrame) -> DataFrame:
-    """(rep, h): the sets of the given documents, from their texts. Rows that repeat an id give equal rows."""
+    """(rep, is_a, is_b, h): the sets of the given documents, from their texts. Rows that repeat an id give equal rows."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, rows, hashes in document_sets(batch.column(1), rule):
                 many = end - first
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=many))])
-                yield pa.record_batch([batch.column(0).slice(first, many), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view("i8")))],
-                                      names=["rep", "h"])
+                h = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view("i8")))
+                yield pa.record_batch([*[batch.column(c).slice(first, many) for c in ("rep", "is_a", "is_b")], h], names=["rep", "is_a", "is_b", "h"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("rep"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
-    rows = attach_by_key(rows, ids, ["rep"], how="left_semi", salt_by=["rep"])
-    return settle(rows.mapInArrow(sets, f"rep {ids.schema['rep'].dataType.simpleString()}, h array<bigint>"))
+    rows = attach_by_key(rows, ids, ["rep"], how="inner", salt_by=["rep"])
+    return settle(rows.mapInArrow(sets, f"rep {ids.schema['rep'].dataType.simpleString()}, is_a boolean, is_b boolean, h array<bigint>"))
 
 
 def may_link(rule: Rule, odd_a: str, odd_b: str, n_a: str, n_b: str) -> Column:
@@ -306,8 +311,10 @@ def may_link(rule: Rule, odd_a: str, odd_b: str, n_a: str, n_b: str) -> Column:
 
 def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
     """(a, b, linked) of settled pairs. The smaller rows go through the first join, the repeated pivot comes last."""
-    sets = _sets(docs, id_col, text_col, rule, settle(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
-    joined = pairs.join(sets.select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a")
+    ends = pairs.select(F.col("a").alias("rep"), F.lit(True).alias("pivot")).distinct().unionAll(pairs.select(F.col("b").alias("rep"), F.lit(False).alias("pivot")).distinct())
+    sets = _sets(docs, id_col, text_col, rule, settle(ends.groupBy("rep").agg(F.bool_or("pivot").alias("is_a"), F.bool_or(~F.col("pivot")).alias("is_b"))))
+    joined = pairs.join(sets.where("is_b").select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b")
+    joined = joined.join(sets.where("is_a").select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a")
     both = F.size(F.array_intersect("ha", "hb"))
     counted = joined.select("a", "b", (F.size("ha") + F.size("hb")).alias("all"), both.alias("both"))
     return counted.select("a", "b", (rule.den * F.col("both") >= rule.num * (F.col("all") - F.col("both"))).alias("linked")).distinct()
