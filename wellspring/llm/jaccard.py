@@ -88,7 +88,7 @@ def subset_keys(hashes: np.ndarray, rule: Rule) -> np.ndarray:
     n, total, keys = len(values), values.sum(dtype="u8"), []
     for left_out in range(rule.spare(n) + 1):
         combos = np.array(list(itertools.combinations(range(n), left_out)), "i8").reshape(math.comb(n, left_out), left_out)
-        keys.append(mix(total - values[combos].sum(axis=1, dtype="u8") + np.uint64(n - left_out) * _LIGHT))
+        keys.append(mix(total - values[combos].sum(axis=1, dtype="u8") + np.array([n - left_out], "u8") * _LIGHT))
     return np.concatenate(keys)
 
 
@@ -121,7 +121,7 @@ def block_keys(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, rule: Ru
         for r in np.flatnonzero(used & (many - filled > SPARE_BLOCKS)):
             empty = np.setdiff1d(np.arange(many[r], dtype="u8"), block[row == r])
             out_rows.append(np.full(len(empty), r))
-            out_keys.append(mix(mix(np.uint64(level[r]) * _HEAVY + empty)))
+            out_keys.append(mix(mix(level[r:r + 1].astype("u8") * _HEAVY + empty)))
     if not out_rows:
         return np.zeros(0, "i8"), np.zeros(0, "u8")
     return np.concatenate(out_rows), np.concatenate(out_keys)

@@ -17,6 +17,7 @@ LEVEL = 9
 RANKED = 3
 LEAST_GAIN = 0.25
 LEAST_WORDING = 0.9
+SHORT_WORDS = 25  # a wording below this must be met exactly
 
 # Wordings of public licence notices. {0} stands for words that differ from notice to notice.
 TEMPLATES = {
@@ -117,7 +118,8 @@ def identify(block: str) -> tuple[tuple[str | None, float, float, tuple[str, ...
     """(licence, gain, wording, differences) of each licence confirmed in a block, or one row without a licence.
 
     Gain: bytes that the template saves when it is the dictionary, as a share of what it takes by itself. Of every
-    licence the ``RANKED`` best-ranked wordings of the block are compared word by word. A number that differs never passes.
+    licence the ``RANKED`` best-ranked wordings of the block are compared word by word. A short
+    wording passes only without any difference, a long one never with a number that differs.
     """
     data, words = block.lower().encode(), _words(block)
     ranked = []
@@ -132,7 +134,8 @@ def identify(block: str) -> tuple[tuple[str | None, float, float, tuple[str, ...
             break
         share, differences = wording(template, words)
         numbers = any(d[1:].isdigit() for d in differences)
-        if share >= LEAST_WORDING and not numbers and gain > 0 and (name not in best or share > best[name][1]):
+        sound = not differences if len(template) < SHORT_WORDS else share >= LEAST_WORDING and not numbers
+        if sound and gain > 0 and (name not in best or share > best[name][1]):
             best[name] = (gain, share, tuple(differences))
     if best:
         return tuple((name, *best[name]) for name in sorted(best))

@@ -150,7 +150,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prior, good, bad = label_model(patterns, names, rounds)
     p = F.expr(posterior(names, prior, good, bad))
     return counted.select(F.col("_id").alias(id_col), *COUNTS, "base_failed", (~F.col("base_failed") & (p >= MIN_POSTERIOR)).alias("kept"),
-                          F.round(p, 6).alias("quality"))
+                          F.round(p, 6).alias("posterior"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
