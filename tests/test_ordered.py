@@ -89,3 +89,19 @@ def test_runs_stay_short_whatever_the_order_column(spark, steps):
         got = ordered.running_totals(rows, KEYS, order, {"t": F.col("value")}, True, 20)
         want = rows.withColumn("t", F.sum("value").over(window))
         assert same(got.select("event_id", F.round("t", 6)), want.select("event_id", F.round("t", 6)))
+
+
+def test_runs_across_a_clock_change(spark):
+    """The order of instants holds where the wall clock runs back, and NaN is last, with runs and without."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        rows = spark.range(240).select(F.lit("w").alias("well"), F.timestamp_seconds(F.lit(1_603_576_800) + F.col("id") * 60).alias("at"), F.col("id").cast("double").alias("x"))
+        for few in (7, 1_000):
+            got = ordered.running_totals(rows, ["well"], ["at"], {"total": F.col("x")}, rows_per_run=few).orderBy("at").collect()
+            assert [r["total"] for r in got] == [i * (i + 1) / 2 for i in range(240)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    odd = spark.createDataFrame([("w", float(i) if i % 9 else float("nan"), 1.0) for i in range(1, 60)], "well string, at double, x double")
+    got = ordered.running_totals(odd, ["well"], ["at"], {"total": F.col("x")}, rows_per_run=5)
+    assert sorted(r["total"] for r in got.collect()) == [float(i) for i in range(1, 60)]

@@ -162,3 +162,20 @@ def test_physics_limits(spark):
     assert list(row)[:2] == pytest.approx([8.5, 0.9 / 0.052])
     assert row[2] == pytest.approx(0.6 / 0.052 * 0.9) and row[3] == 0.1
     assert row[4] == 10.5 and row[5] == 65.0 and row[6] is None and row[7] == pytest.approx(0.3 * 0.7 * 0.6)
+
+
+def test_nan_fires_no_rule_and_breaks_no_range(spark):
+    from wellspring.operators.combination_rules import flag_combinations
+    from wellspring.operators.damage import damage_type
+    from wellspring.operators.features import standard_scale
+    from wellspring.operators.validation import range_violations
+
+    nan = float("nan")
+    rows = spark.createDataFrame([("Shale", nan, nan), ("Shale", 60.0, 20.0), ("Shale", 10.0, None)], "Formation_Type string, Formation_Permeability double, x double")
+    assert [r["Combination_Anomaly"] for r in flag_combinations(rows).collect()] == [False, True, False]
+    assert [tuple(r) for r in range_violations(rows, {"x": (0.0, 10.0)}).collect()] == [("x", 0, 1)]
+    assert [r["x_scaled"] for r in standard_scale(rows, ["x"]).collect()] == [None, 0.0, None]
+    needs = "clay_content_percent fluid_loss_api chloride_content solid_content mud_ph overbalance viscosity formation_permeability reservoir_temperature mud_weight_in".split()
+    broken = rows.limit(1).select(*[F.lit(nan).alias(c) for c in needs], *[F.lit(t).alias(c) for c, t in (
+        ("clay_mineralogy_type", "Montmorillonite"), ("mud_type", "Water-based"), ("completion_type", "Cased"), ("formation_type", "Shale"))])
+    assert broken.select(damage_type().alias("d")).first()["d"] == "Generic Damage"

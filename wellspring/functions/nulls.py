@@ -30,6 +30,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floating}) if floating else df
 
 
+def number(column: Column) -> Column:
+    """A numeric column with NaN read as unknown: comparisons would take it for larger than everything."""
+    return F.when(~F.isnan(column), column)
+
+
 def holds(predicate: Column) -> Column:
     """The predicate with unknown read as false, so that its complement keeps the row."""
     return F.coalesce(predicate, F.lit(False))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.functions.nulls import any_of, holds
+from wellspring.functions.nulls import any_of, holds, number
 from wellspring.vocabulary import resolve
 
 Read = Callable[[str], Column]
@@ -25,7 +25,8 @@ class Rule:
     test: Callable[..., Column]
 
     def predicate(self, names: dict[str, str]) -> Column:
-        return holds(self.test(*[F.col(f"`{names[c]}`") for c in self.columns]))
+        cells = [F.col(f"`{names[c]}`") for c in self.columns]
+        return holds(self.test(*[x if c.endswith("_type") or c == "phase_operation" else number(x) for c, x in zip(self.columns, cells)]))
 
 
 def _rule(name: str, columns: str, test: Callable[..., Column]) -> Rule:

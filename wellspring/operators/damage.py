@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.functions.nulls import holds, lookup
+from wellspring.functions.nulls import holds, lookup, number
 
 
 @dataclass(frozen=True)
@@ -39,17 +39,21 @@ DAMAGE_TYPES = [
 DEFAULT_DAMAGE = "Generic Damage"
 
 
+def _reading(name: str) -> Column:
+    return F.col(name) if name.endswith("_type") else number(F.col(name))
+
+
 def damage_type(types: list[DamageType] = DAMAGE_TYPES, default: str = DEFAULT_DAMAGE) -> Column:
     """The first damage type, in list order, whose condition holds."""
     chain = F
     for t in types:
-        chain = chain.when(holds(t.test(F.col)), F.lit(t.name))
+        chain = chain.when(holds(t.test(_reading)), F.lit(t.name))
     return chain.otherwise(F.lit(default))
 
 
 def all_damage_types(types: list[DamageType] = DAMAGE_TYPES) -> Column:
     """Every damage type whose condition holds."""
-    return F.array_compact(F.array(*[F.when(holds(t.test(F.col)), F.lit(t.name)) for t in types]))
+    return F.array_compact(F.array(*[F.when(holds(t.test(_reading)), F.lit(t.name)) for t in types]))
 
 
 def is_controllable(kind: Column, types: list[DamageType] = DAMAGE_TYPES) -> Column:

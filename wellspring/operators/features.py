@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.functions.nulls import has_column, holds
+from wellspring.functions.nulls import has_column, holds, number
 from wellspring.operators.keyed import attach_by_key
 from wellspring.operators.ordered import global_index
 
@@ -64,11 +64,11 @@ def decode_label(df: DataFrame, index_column: str, labels: DataFrame, name: str)
 
 
 def standard_scale(df: DataFrame, columns: Sequence[str], ending: str = "_scaled") -> DataFrame:
-    """(x - mean) / population deviation; 0 for a constant column."""
-    row = df.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    """(x - mean) / population deviation; 0 for a constant column. NaN counts as unknown and gives null."""
+    row = df.agg(*[f(number(F.col(c))).alias(f"{c}_{n}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     scaled = {}
     for c in columns:
         mean, std = row[f"{c}_m"], row[f"{c}_s"]
         spread = F.lit(std if std else 1.0)
-        scaled[f"{c}{ending}"] = (F.col(c) - F.lit(mean).cast("double")) / spread
+        scaled[f"{c}{ending}"] = (number(F.col(c)) - F.lit(mean).cast("double")) / spread
     return df.withColumns(scaled)

@@ -30,9 +30,16 @@ MAIN = "_main"
 
 
 def order_position(df: DataFrame, column: str) -> Column:
-    """A double that never decreases along the ordering column; nulls come first."""
-    if isinstance(df.schema[column].dataType, T.NumericType):
-        position = F.col(column).cast("double")
+    """A double that never decreases along the ordering column; nulls come first, NaN last, as in a sort.
+
+    A timestamp is its instant, as the sort takes it: a wall clock runs back where the zone changes.
+    """
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.NumericType):
+        value = F.col(column).cast("double")
+        position = F.when(F.isnan(value), F.lit(float("inf"))).otherwise(value)
+    elif isinstance(kind, T.TimestampType):
+        position = F.unix_micros(column).cast("double")
     else:
         position = epoch_seconds(F.col(column).cast("timestamp_ntz"))
     return F.coalesce(position, F.lit(float("-inf")))
@@ -48,10 +55,10 @@ def cut_into_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     equal numbers of rows.
     """
     total = df.count()
-    runs = min(MAX_RUNS, math.ceil(total / rows_per_run))
+    runs = math.ceil(total / rows_per_run)
     if runs <= 1:
         return df.withColumn(RUN, F.lit(0).cast("long")), False
-    if not isinstance(df.schema[order[0]].dataType, POSITION_TYPES):
+    if runs > MAX_RUNS or not isinstance(df.schema[order[0]].dataType, POSITION_TYPES):
         return _cut_by_place(df, keys, order, rows_per_run), True
     position = order_position(df, order[0])
     shares = [i / runs for i in range(1, runs)]

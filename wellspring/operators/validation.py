@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wellspring.functions.nulls import has_column, holds
+from wellspring.functions.nulls import has_column, holds, number
 from wellspring.functions.text import same_text
 
 # Columns a processing run needs, with the kind of value in each.
@@ -69,10 +69,10 @@ def required_columns_report(df: DataFrame, required: Mapping[str, str] = REQUIRE
 
 
 def range_violations(df: DataFrame, ranges: Mapping[str, tuple[float, float]] = RANGES) -> DataFrame:
-    """Per column: values below and above the range; absent columns are left out."""
+    """Per column: values below and above the range, NaN is neither; absent columns are left out."""
     cells = [
-        F.struct(F.lit(c).alias("column"), F.count_if(F.col(c) < low).alias("below_min"),
-                 F.count_if(F.col(c) > high).alias("above_max"))
+        F.struct(F.lit(c).alias("column"), F.count_if(number(F.col(c)) < low).alias("below_min"),
+                 F.count_if(number(F.col(c)) > high).alias("above_max"))
         for c, (low, high) in ranges.items() if has_column(df, c)
     ]
     if not cells:

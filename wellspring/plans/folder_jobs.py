@@ -22,8 +22,9 @@ ANOMALY = "Combination_Anomaly"
 def flag_folder(spark: SparkSession, folder: str, output: str, summary: str, mode: str = "errorifexists") -> DataFrame:
     """Flag rule combinations in all files; one output folder per file and a summary row per file."""
     flagged = flag_combinations(read_parquet(spark, folder, with_file=True), ANOMALY)
+    flagged = settle(flagged)  # the output folder may hold rows of earlier runs
     write_parquet(flagged, output, [SOURCE_FILE], mode)
-    counted = settle(anomaly_summary(spark.read.parquet(output), [SOURCE_FILE], ANOMALY))
+    counted = settle(anomaly_summary(flagged, [SOURCE_FILE], ANOMALY))
     write_summary_csv(counted, summary, mode)
     return counted
 
@@ -49,14 +50,18 @@ def disturb_folder(spark: SparkSession, folder: str, output: str, keys: Sequence
     write_parquet(mask_and_noise(rows, keys, percent, noise_mean, noise_std, seed), output, [SOURCE_FILE], mode)
 
 
-def rows_for_database(df: DataFrame, keys: Sequence[str], order: Sequence[str], per_key: int | None = 500) -> DataFrame:
-    """The first rows of each well in the shape of the target table; all rows if ``per_key`` is None."""
+def rows_for_database(df: DataFrame, keys: Sequence[str], order: Sequence[str], per_key: int | None = None) -> DataFrame:
+    """All rows in the shape of the target table, or the first ``per_key`` of each well."""
     chosen = df if per_key is None else first_rows_per_key(df, keys, order, per_key)
     return for_database(chosen)
 
 
 def load_folder_to_database(spark: SparkSession, folder: str, url: str, user: str, password: str,
-                            order: Sequence[str] = ("DateTime",), per_file: int | None = 500) -> None:
-    usable, _ = check_files(spark, folder, list(order))
+                            order: Sequence[str] = ("DateTime",), per_file: int | None = None) -> DataFrame:
+    """Append the rows of all usable files, or the first ``per_file`` of each; returns the skipped files with the reason."""
+    usable, skipped = check_files(spark, folder, list(order))
+    if not usable:
+        return skipped
     rows = read_parquet(spark, *usable, merge_schema=True, with_file=True)
     append_jdbc(rows_for_database(rows, [SOURCE_FILE], order, per_file), url, user, password)
+    return skipped

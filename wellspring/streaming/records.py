@@ -88,7 +88,8 @@ def start_to_folder(stream: DataFrame, path: str, checkpoint: str, mode: str = "
     )
 
 
-def start_to_console(stream: DataFrame, checkpoint: str, rows: int = 20) -> StreamingQuery:
+def start_to_console(stream: DataFrame, checkpoint: str, rows: int = 2**31 - 1) -> StreamingQuery:
+    """Print every record; ``rows`` limits those of a batch."""
     return (
         stream.writeStream.format("console").option("truncate", "false").option("numRows", rows)
         .option("checkpointLocation", checkpoint).start()
