@@ -27,6 +27,7 @@ MOST_SUBSETS = 500  # of a small set
 LIST_COST = 4  # of one entry in an inverted list, in subsets
 SPARE_BLOCKS = 2
 PARITY_BITS = 512
+PIVOT_SHARE = 64  # comparisons with one pivot that go to the same group
 SKETCH_BITS = 20
 SKETCH_SLICES = 16
 MERGE = 32
@@ -177,11 +178,19 @@ def frequency_classes(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -
     return np.where(counts > mean + 4 * math.sqrt(mean) + 4, np.ceil(np.log2(over)) + 1, 0).astype("u1")
 
 
+def parities(rows: np.ndarray, hashes: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set a bit for each of its ``cells`` (a power of two, 64 at least), set if that cell of the hash holds an odd number of
+    elements; all bits as 64-bit words and where each set's words begin."""
+    begin = np.concatenate([[0], np.cumsum(cells)])
+    cell = begin[rows] + (hashes & (cells[rows] - 1).astype("u8")).astype("i8")
+    return np.packbits((np.bincount(cell, minlength=begin[-1]) & 1).astype(bool)).view("i8"), begin // 64
+
+
 def set_rows(docs: DataFrame, id_col: str, text_col: str, rule: Rule, classes: np.ndarray | None) -> DataFrame:
-    """(_id, n, d1, d2, odd, light, heavy): size, 128-bit digest and parities of each document's set, keys of both searches.
+    """(_id, n, d1, d2, odd, wide, light, heavy): size, 128-bit digest and parities of each document's set, keys of both searches.
 
-    Sets near the boundary, which is chosen later, carry the keys of both. ``odd`` has a bit for each of ``PARITY_BITS`` hash
-    cells, set if the cell holds an odd number of elements: two sets differ in at least as many elements as in bits.
+    Sets near the boundary, which is chosen later, carry the keys of both. Two sets differ in at least as many elements as in
+    parities. ``odd`` has ``PARITY_BITS`` of them, ``wide`` at least one for each element, as few cells say little of large sets.
     """
     limit = rule.boundary_limit()
     spread = docs.sparkSession.sparkContext.broadcast(classes)  # one byte for each cell of the sketch, or None
@@ -201,17 +210,18 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, rule: Rule, classes: n
                 row, key = block_keys(rows, hashes, sizes, rule) if spread.value is None else rare_keys(rows, hashes, sizes, rule, spread.value)
                 order = np.argsort(row, kind="stable")
                 heavy = pa.array(key[order].view("i8"))
-                cell = rows * PARITY_BITS + (hashes & np.uint64(PARITY_BITS - 1)).astype("i8")
-                odd = np.packbits((np.bincount(cell, minlength=many * PARITY_BITS) & 1).astype(bool)).view("i8")
+                odd, odd_ends = parities(rows, hashes, np.full(many, PARITY_BITS))
+                wide, wide_ends = parities(rows, hashes, 1 << np.ceil(np.log2(np.maximum(sizes, PARITY_BITS))).astype("i8"))
                 light_ends, heavy_ends = np.cumsum([0, *map(len, light)]), np.concatenate([[0], np.cumsum(np.bincount(row, minlength=many))])
                 yield pa.record_batch([
                     batch.column(0).slice(first, many), pa.array(sizes.astype("i8")), pa.array(digests[0].view("i8")), pa.array(digests[1].view("i8")),
-                    pa.ListArray.from_arrays(pa.array(np.arange(many + 1) * (PARITY_BITS // 64), pa.int32()), pa.array(odd)),
+                    pa.ListArray.from_arrays(pa.array(odd_ends, pa.int32()), pa.array(odd)),
+                    pa.ListArray.from_arrays(pa.array(wide_ends, pa.int32()), pa.array(wide)),
                     pa.ListArray.from_arrays(pa.array(light_ends, pa.int32()), pa.array(np.concatenate([hashes[:0], *light]).view("i8"))),
-                    pa.ListArray.from_arrays(pa.array(heavy_ends, pa.int32()), heavy)], names=["_id", "n", "d1", "d2", "odd", "light", "heavy"])
+                    pa.ListArray.from_arrays(pa.array(heavy_ends, pa.int32()), heavy)], names=["_id", "n", "d1", "d2", "odd", "wide", "light", "heavy"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
-    return rows.mapInArrow(keys, f"_id {rows.schema['_id'].dataType.simpleString()}, n bigint, d1 bigint, d2 bigint, odd array<bigint>, light array<bigint>, heavy array<bigint>")
+    return rows.mapInArrow(keys, f"_id {rows.schema['_id'].dataType.simpleString()}, n bigint, d1 bigint, d2 bigint, odd array<bigint>, wide array<bigint>, light array<bigint>, heavy array<bigint>")
 
 
 def choose_boundary(rows: DataFrame, rule: Rule) -> int:
@@ -234,7 +244,7 @@ def link_sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, rows: Dat
     none = F.array().cast("array<bigint>")
     keys = F.concat(F.when(F.col("n") <= rule.reach(x), F.col("light")).otherwise(none), F.when(F.col("n") > x, F.col("heavy")).otherwise(none))
     classes = settle(rows.where("n > 0").groupBy("d1", "d2").agg(
-        F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("odd").alias("odd")))
+        F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("wide").alias("wide")))
     copied = settle(classes.where("copies > 1").select("d1", "d2", "copies", "rep"))
     # The keys stay where they are: only rows of copied sets have to learn whether they stand for their class.
     first = attach_by_key(rows.where("n > 0 AND _id IS NOT NULL").select("_id", "d1", "d2", keys.alias("keys")), copied, ["d1", "d2"], weight="copies", salt_by=["_id"])
@@ -249,7 +259,8 @@ def link_sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, rows: Dat
     pairs = lists.where("c = 2").select(F.col("pivot").alias("a"), F.col("other").alias("b")).unionAll(
         shared.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))).distinct()
     pairs = pairs.join(facts.withColumnsRenamed({"rep": "b", "n": "nb", "odd": "odd_b"}), "b").join(facts.withColumnRenamed("rep", "a"), "a")
-    checked = settle(_verify(settle(pairs.where(may_link(rule, "odd", "odd_b", "n", "nb")).select("a", "b")), docs, id_col, text_col, rule))
+    close = _close(settle(pairs.where(may_link(rule, "odd", "odd_b", "n", "nb")).select("a", "b")), classes, rule)
+    checked = settle(_verify(close, docs, id_col, text_col, rule))
     tied = settle(components(_links(checked)))
     open_ = shared.select("rep", "key")
     for number in itertools.count(1):
@@ -273,7 +284,7 @@ def link_sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, rows: Dat
             pairs = marked.join(centre, (marked["key"] == centre["key"]) & (marked["comp"] != centre["comp_b"]) & may_link(rule, "odd", "odd_b", "n", "nb"))
             pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
         pairs = settle(pairs.distinct().join(checked, ["a", "b"], "left_anti"))
-        found = settle(_verify(pairs, docs, id_col, text_col, rule))
+        found = settle(_verify(_close(pairs, classes, rule), docs, id_col, text_col, rule))
         new = _links(found)
         checked = checked.unionAll(found)
         if not new.isEmpty():
@@ -287,21 +298,6 @@ def _links(verified: DataFrame) -> DataFrame:
     return verified.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, ids: DataFrame) -> DataFrame:
-    """(rep, is_a, is_b, h): the sets of the given documents, from their texts. Rows that repeat an id give equal rows."""
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, rows, hashes in document_sets(batch.column(1), rule):
-                many = end - first
-                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=many))])
-                h = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view("i8")))
-                yield pa.record_batch([*[batch.column(c).slice(first, many) for c in ("rep", "is_a", "is_b")], h], names=["rep", "is_a", "is_b", "h"])
-
-    rows = docs.select(F.col(f"`{id_col}`").alias("rep"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
-    rows = attach_by_key(rows, ids, ["rep"], how="inner", salt_by=["rep"])
-    return settle(rows.mapInArrow(sets, f"rep {ids.schema['rep'].dataType.simpleString()}, is_a boolean, is_b boolean, h array<bigint>"))
-
-
 def may_link(rule: Rule, odd_a: str, odd_b: str, n_a: str, n_b: str) -> Column:
     """False for pairs that cannot link by their sizes or by the parities of their sets."""
     apart = " + ".join(f"bit_count(get({odd_a}, {k}) ^ get({odd_b}, {k}))" for k in range(PARITY_BITS // 64))
@@ -309,15 +305,66 @@ def may_link(rule: Rule, odd_a: str, odd_b: str, n_a: str, n_b: str) -> Column:
     return F.expr(f"{sizes} AND {rule.den + rule.num} * ({apart}) <= {rule.den - rule.num} * ({n_a} + {n_b})")
 
 
+def _close(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs, settled, that can link by all parities of their sets.
+
+    Sets that may link have as many cells or one has twice as many; its halves then fold into one.
+    """
+    wide = classes.where("rep IS NOT NULL").select("rep", "n", "wide")
+    joined = pairs.join(wide.withColumnsRenamed({"rep": "b", "n": "nb", "wide": "wide_b"}), "b").join(wide.withColumnRenamed("rep", "a"), "a")
+
+    def folded(own: str, other: str) -> str:
+        half = f"size({other})"
+        return f"IF(size({own}) > {half}, zip_with(slice({own}, 1, {half}), slice({own}, {half} + 1, {half}), (p, q) -> p ^ q), {own})"
+
+    apart = f"aggregate(zip_with({folded('wide', 'wide_b')}, {folded('wide_b', 'wide')}, (p, q) -> bit_count(p ^ q)), 0, (x, y) -> x + y)"
+    return settle(joined.where(f"{rule.den + rule.num} * {apart} <= {rule.den - rule.num} * (n + nb)").select("a", "b"))
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
-    """(a, b, linked) of settled pairs. The smaller rows go through the first join, the repeated pivot comes last."""
-    ends = pairs.select(F.col("a").alias("rep"), F.lit(True).alias("pivot")).distinct().unionAll(pairs.select(F.col("b").alias("rep"), F.lit(False).alias("pivot")).distinct())
-    sets = _sets(docs, id_col, text_col, rule, settle(ends.groupBy("rep").agg(F.bool_or("pivot").alias("is_a"), F.bool_or(~F.col("pivot")).alias("is_b"))))
-    joined = pairs.join(sets.where("is_b").select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b")
-    joined = joined.join(sets.where("is_a").select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a")
-    both = F.size(F.array_intersect("ha", "hb"))
-    counted = joined.select("a", "b", (F.size("ha") + F.size("hb")).alias("all"), both.alias("both"))
-    return counted.select("a", "b", (rule.den * F.col("both") >= rule.num * (F.col("all") - F.col("both"))).alias("linked")).distinct()
+    """(a, b, linked) of settled pairs, from the sets of their texts.
+
+    Sets are made once and shuffled once: that of each b goes to a group of its pivot a, whose own set goes to all its groups
+    and comes first there. A task holds the pivot's set and one batch.
+    """
+    pivots = settle(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).withColumn("parts", F.ceil(F.col("c") / PIVOT_SHARE).cast("int")))
+    roles = attach_by_key(pairs, pivots, ["a"], weight="c", salt_by=["b"]).select(
+        F.col("b").alias("rep"), "a", F.expr("pmod(xxhash64(b), parts)").cast("int").alias("part"), F.lit(False).alias("pivot"), F.lit(1).alias("one"))
+    roles = settle(roles.unionAll(pivots.select(
+        F.col("a").alias("rep"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("pivot"), F.lit(1).alias("one"))))
+    kind = roles.schema["rep"].dataType.simpleString()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, rows, hashes in document_sets(batch.column(1), rule):
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=end - first))])
+                h = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view("i8")))
+                yield pa.record_batch([batch.column(0).slice(first, end - first), h], names=["rep", "h"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, of = np.zeros(0, "u8"), None
+        for batch in batches:
+            a, part, pivot = (batch.column(c).to_pylist() for c in ("a", "part", "pivot"))
+            lists, kept, linked = batch.column("h"), [], []
+            for row in range(batch.num_rows):
+                own = lists[row].values.to_numpy().view("u8")
+                if pivot[row]:
+                    centre, of = own.copy(), (a[row], part[row])
+                elif of != (a[row], part[row]):
+                    raise RuntimeError("the set of a pivot is missing")
+                else:
+                    place = np.minimum(np.searchsorted(centre, own), max(len(centre) - 1, 0))
+                    both = int(np.count_nonzero(centre[place] == own)) if len(centre) else 0
+                    kept.append(row)
+                    linked.append(rule.den * both >= rule.num * (len(centre) + len(own) - both))
+            at = pa.array(kept, pa.int64())
+            yield pa.record_batch([batch.column("a").take(at), batch.column("rep").take(at), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("rep"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    rows = attach_by_key(rows, settle(roles.select("rep").distinct()), ["rep"], how="inner", salt_by=["rep"])
+    members = attach_by_key(rows.mapInArrow(sets, f"rep {kind}, h array<bigint>"), roles, ["rep"], weight="one", how="inner", salt_by=["rep"])
+    members = members.select("a", "part", "pivot", "rep", "h").repartition("a", "part").sortWithinPartitions("a", "part", F.desc("pivot"))
+    return members.mapInArrow(compare, f"a {kind}, b {kind}, linked boolean").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(), terms: str = "shingles") -> DataFrame:
