@@ -93,6 +93,24 @@ def test_searches_meet_every_linked_pair():
                     assert set(jaccard.subset_keys(a, rule).tolist()) & set(jaccard.subset_keys(b, rule).tolist())
 
 
+def test_parities_of_large_sets(spark):
+    """Sets on both sides of a power of two: near ones pass the parities and link, others with half of their words alike do not pass."""
+    rule, random = jaccard.Rule(5, 80, 100), np.random.default_rng(5)
+    base = [f"w{k}" for k in random.integers(0, 5000, 1000)]
+    longer = base + [f"x{k}" for k in range(60)]
+    half = base[:500] + [f"y{k}" for k in range(560)]
+    rows = [(1, " ".join(base)), (2, " ".join(longer)), (3, " ".join(half)), (4, " ".join(reversed(base)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_groups(docs, rule=rule).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4}
+    sets = jaccard.set_rows(docs, "doc_id", "text", rule, None)
+    assert [len(r["wide"]) * 64 for r in sets.orderBy("_id").collect()] == [1024, 2048, 2048, 1024]
+    classes = jaccard.settle(sets.selectExpr("_id AS rep", "n", "wide"))
+    pairs = jaccard.settle(classes.selectExpr("rep AS a").join(classes.selectExpr("rep AS b")).where("a < b"))
+    kept = {(r["a"], r["b"]) for r in jaccard._close(pairs, classes, rule).collect()}
+    assert kept == {(1, 2)}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
