@@ -71,11 +71,11 @@ def test_rules_with_gaps_other_names_and_missing_columns(spark):
 
 
 def test_structure_and_ranges(spark, three_wells):
-    assert validate_structure(three_wells) == (True, "Data validation passed")
+    assert validate_structure(three_wells) == (True, "structure is valid")
     ok, message = validate_structure(three_wells.drop("Formation"))
     assert not ok and "Formation" in message
     ok, message = validate_structure(three_wells.withColumn("Formation", F.lit(1)).withColumn("Pressure_psi", F.lit("x")))
-    assert not ok and message.count("should be") == 2
+    assert not ok and message.count("expected") == 2
     report = {r["column"]: (r["present"], r["fits"]) for r in required_columns_report(three_wells.drop("Formation")).collect()}
     assert report == {"Temperature_C": (True, True), "Pressure_psi": (True, True), "Formation": (False, False)}
     with pytest.raises(InvalidData):

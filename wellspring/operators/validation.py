@@ -24,7 +24,7 @@ IMPORTANT_FEATURES = [
     "RPM_rev_min", "Torque_Nm", "Mud_Weight_In_ppg", "Mud_Temperature_In_C", "Pressure_Standpipe_psi",
     "Pressure_Annulus_psi",
 ]
-SUSPICIOUS_ADVICE = "Review acidic fluid usage in shale formations with open hole completion."
+SUSPICIOUS_ADVICE = "Acid in an open hole through shale: check whether this fluid is meant."
 
 
 class InvalidData(ValueError):
@@ -43,12 +43,12 @@ def validate_structure(df: DataFrame, required: Mapping[str, str] = REQUIRED) ->
     """(ok, message): first the columns that are missing, else all columns of the wrong kind."""
     gone = missing_columns(df, list(required))
     if gone:
-        return False, f"Missing required columns: {gone}"
+        return False, f"columns not found: {', '.join(gone)}"
     wrong = [
-        f"{c} should be {kind} but found {_type_of(df, c).simpleString()}"
+        f"{c}: {kind} expected, {_type_of(df, c).simpleString()} given"
         for c, kind in required.items() if not isinstance(_type_of(df, c), KINDS[kind])
     ]
-    return (False, "Type errors:\n" + "\n".join(wrong)) if wrong else (True, "Data validation passed")
+    return (False, "columns of another kind\n" + "\n".join(wrong)) if wrong else (True, "structure is valid")
 
 
 def require_rows(df: DataFrame, what: str = "input") -> DataFrame:
