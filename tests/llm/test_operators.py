@@ -274,6 +274,20 @@ def test_ids_equal_the_full_pipeline(text):
     assert np.frombuffer(own.encode(text), "<u4").tolist() == own.full.encode(text, add_special_tokens=False).ids
 
 
+def test_blocks_of_long_texts_give_the_same_ids_and_words(monkeypatch):
+    from wellspring.llm import tokens, words
+
+    text = "Über  den\n \nWolken, \x1c don't stop at 1984 and " * 40 + "x" * 300 + " end"
+    whole = encoder().encode(text)
+    monkeypatch.setattr(tokens, "BLOCK_CHARS", 50)
+    assert len(list(tokens._blocks(text))) > 20 and encoder().encode(text) == whole
+    data = np.frombuffer(text.encode(), "u1")
+    for offsets in ([0, len(data)], [0, 7, 7, 100, len(data)]):
+        for limit in (1, 16, 100):
+            for got, want in zip(words.word_hashes(data, np.array(offsets), limit), words.word_hashes(data, np.array(offsets), len(data))):
+                assert got.tolist() == want.tolist()
+
+
 def test_training_order(docs, empty, rows):
     from wellspring.session import settle
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,9 @@ NEARLY_FULL = 0.98
 FAN_IN = 8
 GROUP_UNITS = 100_000
 TRIES = 3
+ROWS_AT_ONCE = 500
 PIECE = "piece: int, start: bigint, length: bigint, ids_crc32: bigint"
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, vocabulary: str | None = None,
@@ -28,8 +30,18 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A cut document has full pieces but for the first. Null text is empty: one piece with only the end id.
     """
+    rows, kind = _texts(docs, id_col, text_col)
+    return rows.mapInArrow(_cutter(size, vocabulary, ranks), f"_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    return rows, rows.schema["_id"].dataType.simpleString()
+
+
+def _cutter(size: int, vocabulary: str | None, ranks: str | None) -> Step:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             owner, piece, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(token_bytes(batch.column(1).to_pylist(), vocabulary, ranks)):
                 n, at, k = len(ids) // 4, 0, 0
@@ -43,10 +55,16 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     at, until, k = until, until + size, k + 1
             yield pa.record_batch([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                                    pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["_id", "piece", "start", "length", "ids_crc32"])
+    return cut
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+
+def _as_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each piece as a unit of its own."""
+    for batch in batches:
+        n = batch.num_rows
+        items = pa.StructArray.from_arrays([*batch.columns, pa.array(np.zeros(n, "i8"))], [*batch.schema.names, "offset"])
+        yield pa.record_batch([batch.column("length").cast(pa.int32()), pa.array(np.zeros(n, "i4")),
+                               pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="i4")), items)], names=["fill", "tries", "items"])
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +131,12 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
     An empty table gives an empty result.
     """
-    kind = pieces.schema["_id"].dataType.simpleString()
+    columns = ["_id", "piece", "start", "length", "ids_crc32"]
+    return _pack(pieces.select(*columns), pieces.schema["_id"].dataType.simpleString(), size, _as_units)
+
+
+def _pack(rows_in: DataFrame, kind: str, size: int, units_of: Step) -> DataFrame:
+    """The rounds. ``units_of`` makes the first units within the tasks of round 0, so these need one Python process each."""
     item = f"struct<_id: {kind}, {PIECE}, offset: bigint>"
     schema = f"_bin bigint, fill int, tries int, closed boolean, items array<{item}>"
 
@@ -129,7 +152,7 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
                     first, held, rows = first + done.num_rows, [], 0
                     yield done
 
-            for batch in batches:
+            for batch in units_of(batches) if number == 0 else batches:
                 held.append(batch)
                 rows += batch.num_rows
                 if rows >= GROUP_UNITS:
@@ -137,9 +160,7 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
             yield from flush()
         return pack
 
-    units = pieces.select(F.col("length").cast("int").alias("fill"), F.lit(0).alias("tries"), F.array(F.struct(
-        "_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("bigint").alias("offset"))).alias("items"))
-    groups, number, done = units.rdd.getNumPartitions(), 0, []
+    units, groups, number, done = rows_in, rows_in.rdd.getNumPartitions(), 0, []
     while True:
         last = number > 0 and groups == 1
         round_ = settle(units.mapInArrow(packer(number, last), schema))
@@ -161,5 +182,6 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null text is empty, and an empty document is its end id alone. Repeated rows are packed as often as they
     occur. Further columns are ignored.
     """
-    packed = pack_pieces(token_pieces(docs, id_col, text_col, size, vocabulary, ranks), size)
+    cut = _cutter(size, vocabulary, ranks)
+    packed = _pack(*_texts(docs, id_col, text_col), size, lambda batches: _as_units(cut(batches)))
     return packed.select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 
 END_ID = 2
 CACHED_PIECES = 400_000
 CACHED_CHARS = 48
+BLOCK_CHARS = 65_536
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ODD = re.compile(r"\s ")
 
@@ -21,24 +24,34 @@ class Encoder:
     The vocabulary splits a text before it merges: a space that follows a visible character begins a new piece, so
     the ids of a text are those of its pieces cut there, one after another. Words repeat, and their ids are kept
     (up to ``CACHED_PIECES``). The pieces are encoded from the same vocabulary's ranks, which is faster than
-    the full pipeline; a text with a special token's string goes to the full pipeline.
+    the full pipeline; a text with a special token's string goes to the full pipeline, which is loaded when one comes.
+    Longer texts are cut in the same places into blocks, so that only one block is held as pieces.
     """
 
     def __init__(self, vocabulary: str, ranks: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.full = Tokenizer.from_file(vocabulary)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.vocabulary = vocabulary
+        with open(vocabulary, encoding="utf-8") as described:
+            self.special = [token["content"] for token in json.load(described)["added_tokens"]]
         self.pieces = _Pieces(self.plain)
 
+    @cached_property
+    def full(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self._encode_block, _blocks(text)))
+
+    def _encode_block(self, text: str) -> bytes:
         if _ODD.search(text):
             pieces = _CUT.split(text)
         else:
@@ -49,6 +62,14 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, pieces))
 
 
+def _blocks(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > BLOCK_CHARS and (cut := _CUT.search(text, at + BLOCK_CHARS)):
+        yield text[at:cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 class _Pieces(dict):
     def __init__(self, encode):
         self.encode = encode

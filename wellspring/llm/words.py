@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GAP = "[\\x20\\x09-\\x0D]+"
 GAP_CHARS = " \t\n\x0b\f\r"
-CHUNK_BYTES = 2 * 1024 * 1024
+CHUNK_BYTES = 256 * 1024  # the arrays over a chunk take about 50 times as much
 
 
 def lower_az(text: Column) -> Column:
@@ -77,12 +77,29 @@ def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         first = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, A-Z lower-cased, and the number of words of each row.
 
-    A word's hash is the value of its bytes as a polynomial modulo 2^64, taken from running sums over the
-    whole chunk, so no work is done word by word.
+    A text longer than ``limit`` bytes is read in blocks that end behind a gap.
     """
+    if len(data) <= limit:
+        return _block_hashes(data, offsets)
+    values, counts, at = [], np.zeros(len(offsets) - 1, "i8"), 0
+    while at < len(data):
+        end = min(at + limit, len(data))
+        rest = data[end:]
+        gaps = np.flatnonzero((rest == 32) | ((rest >= 9) & (rest <= 13))) if at + limit < len(data) else rest[:0]
+        end = end + int(gaps[0]) + 1 if len(gaps) else len(data)
+        value, count = _block_hashes(data[at:end], np.clip(offsets - at, 0, end - at))
+        values.append(value)
+        counts += count
+        at = end
+    return np.concatenate(values), counts
+
+
+def _block_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A word's hash is the value of its bytes as a polynomial modulo 2^64, taken from running sums over the
+    whole block, so no work is done word by word."""
     n = len(data)
     up, down = _power_tables(n + 1)
     low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
