@@ -185,6 +185,16 @@ def test_license_scan(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [20_000, 1_000_000])
+@pytest.mark.parametrize("name,place", [("MIT", 0), ("MIT", 2), ("All-Rights-Reserved", 0), ("Apache-2.0", 1)])
+def test_license_in_a_long_line(size, name, place):
+    text = prose(size // 5, 4, 3_000)
+    notice = licenses.TEMPLATES[name][place]
+    for at in (0, len(text) // 2, len(text)):
+        found = licenses.identify(f"{text[:at]} {notice} {text[at:]}")
+        assert [r[0] for r in found] == [name] and found[0][1] > 0 and found[0][2] == 1
+
+
 @pytest.mark.parametrize("digest", [exact_dedup.content_hash, lambda text: F.substring(F.md5(text), 1, 1)])
 def test_exact_groups(docs, rows, empty, digest):
     got = by_id(exact_dedup.exact_groups(docs, digest=digest))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import difflib
 import functools
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "(?i)licen[sc]e|copyright|permission|redistribut|warrant|all rights reserved|public domain"
+MARKED_WORD = re.compile("[a-z]*(?:licen[sc]e|copyright|permission|redistribut|warrant)|(?:rights|public)$")  # the words of a block that make its marks
+LONG_WORD = 40  # of longer words only the beginning is compressed
 JOIN_LINES = 6  # lines with a mark that are no further apart belong to one block
 LEVEL = 9
 RANKED = 3
@@ -87,17 +91,24 @@ def _prepared() -> list[tuple[str, list[str], object, object, int]]:
     out = []
     for name, wordings in TEMPLATES.items():
         for text in wordings:
-            raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            out.append((name, _words(text), zstandard.ZstdCompressor(level=LEVEL, dict_data=raw), plain, len(plain.compress(text.lower().encode()))))
+            data = " ".join(_words(text)).encode()
+            raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            out.append((name, _words(text), zstandard.ZstdCompressor(level=LEVEL, dict_data=raw), plain, len(plain.compress(data))))
     return out
 
 
-def wording(template: list[str], block: list[str]) -> tuple[float, list[str]]:
-    """How much of the template's words the best place of the block has, and the differences there ("-word", "+word")."""
+@functools.cache
+def _reach() -> int:
+    """Words on either side of a mark within which every wording with that mark lies, with a fifth for words put in."""
+    return max(len(template) for _, template, *_ in _prepared()) * 6 // 5
+
+
+def wording(template: list[str], block: list[str]) -> tuple[float, list[str], int, int]:
+    """How much of the template's words the best place of the block has, the differences there ("-word", "+word") and its first and last word."""
     matcher = difflib.SequenceMatcher(None, template, block, autojunk=False)
     same = [m for m in matcher.get_matching_blocks() if m.size]
     if not same:
-        return 0.0, ["-" + w for w in template]
+        return 0.0, ["-" + w for w in template], 0, len(block) - 1
     longest = max(same, key=lambda m: m.size)
     begin = max(0, longest.b - longest.a)
     window = block[begin:longest.b + longest.size + len(template) - longest.a - longest.size]
@@ -110,38 +121,76 @@ def wording(template: list[str], block: list[str]) -> tuple[float, list[str]]:
             differences += ["-" + w for w in template[a:b]]
             if b < len(template):  # what follows the template is not a difference
                 differences += ["+" + w for w in window[c:d]]
-    return 1 - lost / len(template), differences
+    equal = [s for s in steps if s[0] == "equal"]
+    return 1 - lost / len(template), differences, begin + equal[0][3], begin + equal[-1][4] - 1
+
+
+def _gain(words: list[str], squeeze, plain, size: int) -> float:
+    data = " ".join(w[:LONG_WORD] for w in words).encode()
+    return round((len(plain.compress(data)) - len(squeeze.compress(data))) / size, 6)
+
+
+def _windows(words: list[str], marks: list[int]) -> Iterator[tuple[int, int]]:
+    """Overlapping windows of four reaches that cover the reach of every marked word; each wording there lies within one of them."""
+    reach, spans = _reach(), []
+    for k in marks:
+        low, high = max(0, k - reach), min(len(words), k + reach + 1)
+        if spans and low <= spans[-1][1]:
+            spans[-1][1] = high
+        else:
+            spans.append([low, high])
+    for low, high in spans:
+        yield low, min(high, low + 4 * reach)
+        for begin in range(low + 3 * reach, high - reach, 3 * reach):
+            yield begin, min(high, begin + 4 * reach)
 
 
 @functools.lru_cache(20_000)
 def identify(block: str) -> tuple[tuple[str | None, float, float, tuple[str, ...]], ...]:
     """(licence, gain, wording, differences) of each licence confirmed in a block, or one row without a licence.
 
-    Gain: bytes that the template saves when it is the dictionary, as a share of what it takes by itself. Of every
-    licence the ``RANKED`` best-ranked wordings of the block are compared word by word. A short
-    wording passes only without any difference, a long one never with a number that differs.
+    Gain: bytes that the template saves when it is the dictionary, as a share of what it takes by itself, in a window of words around
+    its place, so that it does not depend on the length of the block. A wording that stands in the block without any difference is
+    confirmed. Of the long ones, the ``RANKED`` best-ranked of each window and those that gain enough are compared
+    word by word; they never pass with a number that differs.
     """
-    data, words = block.lower().encode(), _words(block)
-    ranked = []
-    for name, template, squeeze, plain, size in _prepared():
-        gain = (len(plain.compress(data)) - len(squeeze.compress(data))) / size
-        ranked.append((round(gain, 6), name, template))
-    ranked.sort(key=lambda r: (-r[0], r[1], len(r[2])))
-    floor = ranked[min(RANKED, len(ranked)) - 1][0]
+    words = _words(block)
+    marks = [k for k, word in enumerate(words) if MARKED_WORD.match(word)]
+    text = f" {' '.join(words)} "
     best: dict[str, tuple[float, float, tuple[str, ...]]] = {}
-    for gain, name, template in ranked:
-        if gain < LEAST_GAIN and gain < floor:
-            break
-        share, differences = wording(template, words)
-        numbers = any(d[1:].isdigit() for d in differences)
-        sound = not differences if len(template) < SHORT_WORDS else share >= LEAST_WORDING and not numbers
-        if sound and gain > 0 and (name not in best or share > best[name][1]):
-            best[name] = (gain, share, tuple(differences))
+
+    def confirm(name: str, used: tuple, share: float, differences: list[str], first: int, last: int) -> None:
+        if name not in best or share > best[name][1]:
+            near = words[max(0, first - last + first - 1):2 * last - first + 2]
+            best[name] = (_gain(near, *used), share, tuple(differences))
+
+    for name, template, *used in _prepared():
+        at = text.find(f" {' '.join(template)} ")
+        if at >= 0:
+            first = text.count(" ", 0, at)
+            confirm(name, used, 1.0, [], first, first + len(template) - 1)
+    top = (-math.inf, "", [], 0, 0)
+    for low, high in _windows(words, marks or [0]):
+        near = words[low:high]
+        ranked = [(_gain(near, *used), name, template, used) for name, template, *used in _prepared()]
+        ranked.sort(key=lambda r: (-r[0], r[1], len(r[2])))
+        top = max(top, (*ranked[0][:3], low, high), key=lambda r: r[0])
+        held, rank = Counter(near), 0
+        for gain, name, template, used in ranked:
+            if len(template) < SHORT_WORDS:
+                continue
+            rank += 1
+            if gain < LEAST_GAIN and rank > RANKED:
+                break
+            if sum((held & Counter(template)).values()) < LEAST_WORDING * len(template):  # no place can have enough of its words
+                continue
+            share, differences, first, last = wording(template, near)
+            if share >= LEAST_WORDING and not any(d[1:].isdigit() for d in differences):
+                confirm(name, used, share, differences, low + first, low + last)
     if best:
         return tuple((name, *best[name]) for name in sorted(best))
-    gain, name, template = ranked[0]
-    share, differences = wording(template, words)
-    return ((None, gain, share, ()),)
+    gain, _, template, low, high = top
+    return ((None, gain, wording(template, words[low:high])[0], ()),)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
