@@ -185,6 +185,18 @@ def test_license_scan(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    notices = [("MIT", "Released under the MIT\nLicense."), ("CC-BY-4.0", "Licensed under CC BY\n4.0."), ("All-Rights-Reserved", "All rights\nreserved."),
+               *[(name, t.replace(" ", sep)) for name in ("MIT", "BSD-3-Clause", "GPL-3.0", "ISC", "CC-BY-SA-4.0") for t in licenses.TEMPLATES[name] for sep in ("\n", "\n# ")]]
+    texts = [f"{prose(300, 5)}\n{notice} {prose(300, 6)}\n" for _, notice in notices] + ["All rights reserved.\n" + "x\n" * 9 + "Released under the MIT\nLicense."]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    for i, (name, notice) in enumerate(notices):
+        found = {(r["license"], texts[i][r["start"]:r["end"]]) for r in got if r["doc_id"] == i}
+        assert found == {(name, notice)}, (name, notice)
+    assert sorted((r["license"], texts[-1][r["start"]:r["end"]]) for r in got if r["doc_id"] == len(notices)) == [
+        ("All-Rights-Reserved", "All rights reserved."), ("MIT", "Released under the MIT\nLicense.")]
+
+
 @pytest.mark.parametrize("size", [20_000, 1_000_000])
 @pytest.mark.parametrize("name,place", [("MIT", 0), ("MIT", 2), ("All-Rights-Reserved", 0), ("Apache-2.0", 1)])
 def test_license_in_a_long_line(size, name, place):

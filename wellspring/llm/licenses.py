@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import functools
+import itertools
 import math
 import re
 from collections import Counter
@@ -13,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK = "(?i)licen[sc]e|copyright|permission|redistribut|warrant|all rights reserved|public domain"
+MARK = "(?i)licen[sc]e|copyright|permission|redistribut|warrant|all[\\W_]+rights[\\W_]+reserved|public[\\W_]+domain"
 MARKED_WORD = re.compile("[a-z]*(?:licen[sc]e|copyright|permission|redistribut|warrant)|(?:rights|public)$")  # the words of a block that make its marks
+CLOSING = re.compile(r"[.!?;:)\]\"']*")
 LONG_WORD = 40  # of longer words only the beginning is compressed
 JOIN_LINES = 6  # lines with a mark that are no further apart belong to one block
 LEVEL = 9
@@ -78,8 +80,11 @@ TEMPLATES = {
 FOUND = "block int, start bigint, end bigint, license string, gain double, wording double, differences array<string>"
 
 
+WORD = re.compile("[A-Za-z]+|[0-9]+")
+
+
 def _words(text: str) -> list[str]:
-    return re.findall(r"[a-z]+|[0-9]+", text.lower())
+    return [w.lower() for w in WORD.findall(text)]
 
 
 @functools.cache
@@ -146,29 +151,41 @@ def _windows(words: list[str], marks: list[int]) -> Iterator[tuple[int, int]]:
 
 
 @functools.lru_cache(20_000)
-def identify(block: str) -> tuple[tuple[str | None, float, float, tuple[str, ...]], ...]:
-    """(licence, gain, wording, differences) of each licence confirmed in a block, or one row without a licence.
+def identify(block: str, begin: int = 0, end: int | None = None) -> tuple[tuple[str | None, float, float, tuple[str, ...], int, int], ...]:
+    """(licence, gain, wording, differences, start, end) of each licence confirmed in a block, or one row without a licence.
+
+    The block is ``block[begin:end]``; what stands around it completes a wording that reaches into it. start and end are those of the
+    wording, with the signs that close it, or of the block in a row without a licence.
 
     Gain: bytes that the template saves when it is the dictionary, as a share of what it takes by itself, in a window of words around
     its place, so that it does not depend on the length of the block. A wording that stands in the block without any difference is
     confirmed. Of the long ones, the ``RANKED`` best-ranked of each window and those that gain enough are compared
     word by word; they never pass with a number that differs.
     """
-    words = _words(block)
-    marks = [k for k, word in enumerate(words) if MARKED_WORD.match(word)]
+    end = len(block) if end is None else end
+    places = [m.span() for m in WORD.finditer(block)]
+    words = [block[a:b].lower() for a, b in places]
+    marks = [k for k, word in enumerate(words) if places[k][0] < end and places[k][1] > begin and MARKED_WORD.match(word)]
     text = f" {' '.join(words)} "
-    best: dict[str, tuple[float, float, tuple[str, ...]]] = {}
+    best: dict[str, tuple[float, float, tuple[str, ...], int, int]] = {}
 
-    def confirm(name: str, used: tuple, share: float, differences: list[str], first: int, last: int) -> None:
+    def confirm(name: str, used: list, share: float, differences: list[str], first: int, last: int) -> bool:
+        start, stop = places[first][0], places[last][1]
+        if (start >= end or stop <= begin) and any(MARKED_WORD.match(w) for w in words[first:last + 1]):  # it is of another block
+            return False
         if name not in best or share > best[name][1]:
             near = words[max(0, first - last + first - 1):2 * last - first + 2]
-            best[name] = (_gain(near, *used), share, tuple(differences))
+            best[name] = (_gain(near, *used), share, tuple(differences), start, CLOSING.match(block, stop).end())
+        return True
 
     for name, template, *used in _prepared():
-        at = text.find(f" {' '.join(template)} ")
-        if at >= 0:
+        sought = f" {' '.join(template)} "
+        at = text.find(sought)
+        while at >= 0:
             first = text.count(" ", 0, at)
-            confirm(name, used, 1.0, [], first, first + len(template) - 1)
+            if confirm(name, used, 1.0, [], first, first + len(template) - 1):
+                break
+            at = text.find(sought, at + 1)
     top = (-math.inf, "", [], 0, 0)
     for low, high in _windows(words, marks or [0]):
         near = words[low:high]
@@ -190,14 +207,25 @@ def identify(block: str) -> tuple[tuple[str | None, float, float, tuple[str, ...
     if best:
         return tuple((name, *best[name]) for name in sorted(best))
     gain, _, template, low, high = top
-    return ((None, gain, wording(template, words[low:high])[0], ()),)
+    return ((None, gain, wording(template, words[low:high])[0], (), begin, end),)
+
+
+def _around(text: str, start: int, end: int) -> tuple[str, int]:
+    """The block with as many words on both sides as a wording can reach, however the lines are wrapped, and its offset in that text."""
+    reach = _reach()
+    before = [m.start() for m in WORD.finditer(text, max(0, start - reach * LONG_WORD), start)][-reach:]
+    after = [m.end() for m in itertools.islice(WORD.finditer(text, end, min(len(text), end + reach * LONG_WORD)), reach)]
+    low = before[0] if before else start
+    high = CLOSING.match(text, after[-1]).end() if after else end
+    return text[low:high], start - low
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per block of licence-like lines and licence confirmed in it (license null: none confirmed).
 
     A built-in pattern over whole texts picks the documents; in them, lines with a mark that are at most ``JOIN_LINES`` apart form
-    a block. start and end are offsets in code points. Equal blocks are compared once per task. Null and empty
+    a block. It is compared together with the words around it, as a notice may be wrapped into lines without a mark; a notice that touches
+    two blocks is in the rows of both. start and end, of the wording or else of the block, are offsets in code points. Equal blocks are compared once per task. Null and empty
     texts have no blocks; repeated rows give repeated rows; further columns are ignored.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).where(F.col("_text").rlike(MARK))
@@ -209,8 +237,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             owner, out = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 at, blocks, last = 0, [], None
+                marks = [*(m.span() for m in marked.finditer(text)), (math.inf, math.inf)][::-1]  # the next one last
                 for k, line in enumerate(text.split("\n")):
-                    if marked.search(line):
+                    while marks[-1][1] <= at:
+                        marks.pop()
+                    if marks[-1][0] < at + len(line):
                         if last is not None and k - last <= JOIN_LINES:
                             blocks[-1][1] = at + len(line)
                         else:
@@ -218,9 +249,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         last = k
                     at += len(line) + 1
                 for number, (start, end) in enumerate(blocks):
-                    for name, gain, share, differences in identify(text[start:end]):
+                    block, begin = _around(text, start, end)
+                    for name, gain, share, differences, first, stop in identify(block, begin, begin + end - start):
                         owner.append(row)
-                        out.append((number, start, end, name, gain, share, list(differences)))
+                        out.append((number, start - begin + first, start - begin + stop, name, gain, share, list(differences)))
             columns = list(zip(*out)) or [()] * 7
             types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.string())]
             yield pa.record_batch([batch.column(0).take(pa.array(owner, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types)]],
