@@ -260,6 +260,32 @@ def test_repeated_lines(docs, rows, empty):
     assert unit_dedup.drop_repeats(empty).count() == 0
 
 
+def test_repeated_runs_of_words(spark, docs, empty):
+    quote, listed, base = prose(60, 20), "\n".join(prose(5, 30 + k) for k in range(12)), prose(200, 21)
+    edited = base.replace(base.split(" ")[100], "other", 1)
+    texts = [f"{prose(30, 22)} {quote} {prose(20, 23)}", f"{prose(90, 24)} {quote} {prose(70, 25)}", f"head one\n{listed}\none end", f"head two\n{listed}\ntwo end", base, edited,
+             f"{prose(40, 26)} {prose(49, 20)} {prose(9, 27)}", f"{prose(60, 28)} {prose(60, 29)} {prose(60, 28)} tail", None, ""]
+    texts += [f"{prose(20, 40)}\n{listed}\n{prose(20, 41)} x", f"{prose(20, 40)}\n{listed}\n{prose(20, 41)} y"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = by_id(unit_dedup.drop_repeats(table, run_words=50))
+
+    def runs(i, size, text):
+        words = WORD.findall(text or "")
+        return {(i, k): " ".join(words[k:k + size]) for k in range(len(words) - size + 1)}
+
+    left = Counter(run for i in got for run in runs(i, 50, got[i]["text"]).values())
+    assert max(left.values()) == 1
+    assert got[1]["text"] == f"{prose(90, 24)} {prose(70, 25)}" and got[3]["text"] == "head two\ntwo end" and got[7]["text"] == f"{prose(60, 28)} {prose(60, 29)} tail"
+    assert all(got[i]["text"] == texts[i] for i in (0, 2, 4, 6, 8, 9)) and "other" in got[5]["text"]
+    for i, row in got.items():
+        spans = [(s["start"], s["end"]) for s in row["removed"]]
+        assert spans == sorted(spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and row["n_removed"] == len(spans)
+        rest = "".join((texts[i] or "")[a:b] + " " for a, b in zip([0, *[e for _, e in spans]], [*[b for b, _ in spans], len(texts[i] or "")]))
+        assert rest.split() == (row["text"] or "").split(), i
+    assert unit_dedup.drop_repeats(empty, run_words=50).count() == 0
+    assert unit_dedup.drop_repeats(docs, run_words=50).count() == docs.count()
+
+
 def test_packing(docs, rows, empty):
     got = packing.pack_documents(docs.where("doc_id IS NOT NULL")).collect()
     by_doc, by_bin = {}, {}

@@ -40,7 +40,7 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return unit_dedup.drop_repeats(table(spark, folder, "documents"))
+    return unit_dedup.drop_repeats(table(spark, folder, "documents"), run_words=unit_dedup.RUN_WORDS)
 
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:

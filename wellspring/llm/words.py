@@ -116,6 +116,14 @@ def _block_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return mix(value), np.diff(np.searchsorted(starts, offsets))
 
 
+def run_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``size`` words of one text, from running sums."""
+    n = len(values)
+    up, down = _power_tables(n + 1)
+    sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(values * up[:n], dtype="u8")])
+    return mix((sums[size:] - sums[:-size]) * down[:max(n - size + 1, 0)])
+
+
 def shingle_hashes(values: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every distinct shingle of ``size`` words, sorted by row and hash.
 
