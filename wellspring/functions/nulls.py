@@ -26,13 +26,16 @@ def has_column(df: DataFrame, name: str) -> bool:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN becomes NULL: Spark sorts NaN above all numbers and lets it poison averages."""
-    floating = [f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floating}) if floating else df
+    floating = {f.name: f.dataType for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(kind)) for c, kind in floating.items()}) if floating else df
 
 
 def number(column: Column) -> Column:
-    """A numeric column with NaN read as unknown: comparisons would take it for larger than everything."""
-    return F.when(~F.isnan(column), column)
+    """A numeric column as double with NaN read as unknown: comparisons would take it for larger than everything.
+
+    The column is named once, so nesting such expressions does not double them at each level.
+    """
+    return F.nanvl(column.cast("double"), F.lit(None).cast("double"))
 
 
 def holds(predicate: Column) -> Column:
@@ -41,7 +44,8 @@ def holds(predicate: Column) -> Column:
 
 
 def any_of(predicates: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, [holds(p) for p in predicates], F.lit(False))
+    """Whether one of the predicates holds; an unknown one does not."""
+    return holds(reduce(lambda a, b: a | b, predicates, F.lit(False)))
 
 
 def lookup(key: Column, values: dict, default=None) -> Column:

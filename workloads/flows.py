@@ -192,9 +192,8 @@ def stored_file(spark, folder):
 
 
 def database_rows(spark, folder):
-    """The first rows of each well in the shape of the target table."""
-    order = ["DateTime", "Record_ID", "Clay_Content_Percent_%", "Layer_ID", "Chloride_Content_mg_l"]
-    rows = rows_for_database(stored_file(spark, folder), ["API_Well_ID"], order, 20)
+    """All rows of each well in the shape of the target table."""
+    rows = rows_for_database(stored_file(spark, folder), ["API_Well_ID"], ["DateTime", "Record_ID"])
     return rows.groupBy("api_well_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if("fractures_presence").alias("n_fractured"), F.max("datetime").alias("last"),
         F.sum("mud_weight_in_ppg").cast("double").alias("weight"), F.count("clay_content_percent_p").alias("n_clay"),
@@ -272,6 +271,5 @@ SELECT formation AS "Formation", count(*) AS n_rows, ROUND(avg(press / (temp + 1
   count(*) FILTER (WHERE mud = 'Water-based' AND visc > 60) AS n_flagged FROM kept GROUP BY 1""",
     "database_rows": over(TELEMETRY) + """SELECT well_id AS api_well_id, count(*) AS n_rows, count(*) FILTER (WHERE fractures_presence = 1) AS n_fractured,
   max(datetime) AS last, CAST(sum(CAST(mud_weight_in AS DECIMAL(4,2))) AS DOUBLE) AS weight, count(*) AS n_clay,
-  CAST(sum(CAST(density_perforation AS INTEGER)) AS BIGINT) AS perforation FROM (SELECT *, row_number() OVER (PARTITION BY well_id
-  ORDER BY datetime, order_id, clay_content_percent, line_id, chloride_content) AS rn FROM tel) WHERE rn <= 20 GROUP BY 1""",
+  CAST(sum(CAST(density_perforation AS INTEGER)) AS BIGINT) AS perforation FROM tel GROUP BY 1""",
 }
