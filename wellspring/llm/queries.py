@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wellspring.llm import exact_dedup, jaccard, licenses, mixing, packing, quality_model, quality_rules, training_order, unit_dedup, warc
+from wellspring.llm import (
+    conversations, exact_dedup, jaccard, licenses, mixing, neighbour_packing, packing, quality_model, quality_rules, ranked_search, training_order,
+    unit_dedup, warc)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,9 +53,21 @@ def op10_training_order(spark: SparkSession, folder: str) -> DataFrame:
     return training_order.training_order(table(spark, folder, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_neighbour_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbour_packing.pack_neighbours(table(spark, folder, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_report(conversations.damage(table(spark, folder, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_quality_rules, op3_quality_classifier, op4_warc, op5_license_scan, op6_exact_dedup, op7_mixing, op8_substring_dedup, op9_packing,
-    op10_training_order)}
+    op10_training_order, op11_ranked_search, op12_neighbour_packing, op13_conversation_repair)}
 
 SQL = {
     "op1_ngram_jaccard": """
@@ -77,6 +91,7 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
 """,
     "op7_mixing": mixing.ORACLE,
+    "op11_ranked_search": ranked_search.SQL,
     "op4_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 g AS (SELECT d, max(page_id) AS best FROM p WHERE n >= 1000 GROUP BY d)
