@@ -9,11 +9,13 @@ from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 2
-CACHED_PIECES = 400_000
-CACHED_CHARS = 48
 BLOCK_CHARS = 65_536
+GROUP_CHARS = 2_097_152
+PLAIN_GAPS = " \t\n\r\x0b\x0c"
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ODD = re.compile(r"\s ")
 
@@ -22,10 +24,12 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, equal to those of the vocabulary's ``tokenizers`` file.
 
     The vocabulary splits a text before it merges: a space that follows a visible character begins a new piece, so
-    the ids of a text are those of its pieces cut there, one after another. Words repeat, and their ids are kept
-    (up to ``CACHED_PIECES``). The pieces are encoded from the same vocabulary's ranks, which is faster than
-    the full pipeline; a text with a special token's string goes to the full pipeline, which is loaded when one comes.
-    Longer texts are cut in the same places into blocks, so that only one block is held as pieces.
+    the ids of a text are those of its pieces cut there, one after another. The pieces of some texts are told apart
+    in Arrow and each different one is encoded once, all in one call by the same vocabulary's ranks; the bytes that
+    each id stands for tell where the ids of a piece end. Texts whose spaces do not stand between visible
+    characters are encoded whole, and one with a special token's string goes to the full pipeline, which is loaded
+    when one comes. Longer texts are cut in the same places into blocks, so that only ``GROUP_CHARS`` and a block
+    are held as pieces.
     """
 
     def __init__(self, vocabulary: str, ranks: str):
@@ -34,11 +38,12 @@ class Encoder:
 
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.vocabulary = vocabulary
         with open(vocabulary, encoding="utf-8") as described:
             self.special = [token["content"] for token in json.load(described)["added_tokens"]]
-        self.pieces = _Pieces(self.plain)
+        self.id_bytes = np.zeros(max(table.values()) + 1, "i8")
+        self.id_bytes[list(table.values())] = [len(piece) for piece in table]
 
     @cached_property
     def full(self):
@@ -46,20 +51,68 @@ class Encoder:
 
         return Tokenizer.from_file(self.vocabulary)
 
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self._encode_block, _blocks(text)))
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.ranks.encode_ordinary(text), "<u4")
 
-    def _encode_block(self, text: str) -> bytes:
-        if _ODD.search(text):
-            pieces = _CUT.split(text)
-        else:
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + word for word in rest]]
-        if len(self.pieces) > CACHED_PIECES:
-            self.pieces.clear()
-        return b"".join(map(self.pieces.__getitem__, pieces))
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text in turn."""
+        held, size, done = [], 0, []
+        for text in texts:
+            for block, is_last in _with_last([text] if self._is_special(text) else _blocks(text)):
+                held.append((block, is_last))
+                size += len(block)
+                if size >= GROUP_CHARS:
+                    yield from self._finish(held, done)
+                    held, size = [], 0
+        yield from self._finish(held, done)
+
+    def _is_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
+    def _finish(self, held: list[tuple[str, bool]], done: list[bytes]) -> Iterator[bytes]:
+        """Ids of the texts that end in these blocks; ``done`` holds those of the blocks before of an open text."""
+        for ids, (_, is_last) in zip(self._encode_blocks([block for block, _ in held]), held):
+            done.append(ids)
+            if is_last:
+                yield b"".join(done)
+                done.clear()
+
+    def _encode_blocks(self, blocks: list[str]) -> Iterator[bytes]:
+        """A block is its first word, the words behind a space each, and the gap at its end."""
+        parts, rests = [], []
+        for block in blocks:
+            if self._is_special(block):
+                parts.append((np.array(self.full.encode(block, add_special_tokens=False).ids, "<u4"), False, ""))
+                continue
+            body = block.rstrip(PLAIN_GAPS)
+            if body[-1:].isspace() or _ODD.search(body):
+                parts.append((self.plain(block), False, ""))
+                continue
+            first, space, rest = body.partition(" ")
+            parts.append((self.plain(first), bool(space), block[len(body):]))
+            if space:
+                rests.append(rest)
+        ids = self._encode_words(rests) if rests else iter(())
+        for head, more, gap in parts:
+            yield b"".join((head.tobytes(), next(ids).tobytes() if more else b"", self.plain(gap).tobytes() if gap else b""))
+
+    def _encode_words(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text with a space before it; all spaces stand between visible characters."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words = lists.flatten().dictionary_encode()
+        each, which = words.dictionary, words.indices.to_numpy()
+        whole = pa.LargeListArray.from_arrays(pa.array([0, len(each)], pa.int64()), each)
+        ids = self.plain(" " + pc.binary_join(whole, pa.scalar(" ", pa.large_string()))[0].as_py())
+        ends = np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum(pc.binary_length(each).to_numpy() + 1)) + 1
+        sizes = np.diff(ends, prepend=0)
+        taken = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(taken)])
+        found = ids[np.repeat((ends - sizes)[which] - upto[:-1], taken) + np.arange(upto[-1])]
+        cuts = upto[lists.offsets.to_numpy()]
+        return (found[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
 
 
 def _blocks(text: str) -> Iterator[str]:
@@ -70,15 +123,13 @@ def _blocks(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-class _Pieces(dict):
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece), "<u4").tobytes()
-        if len(piece) <= CACHED_CHARS:
-            self[piece] = ids
-        return ids
+def _with_last(items: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    items = iter(items)
+    held = next(items)
+    for item in items:
+        yield held, False
+        held = item
+    yield held, True
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -96,8 +147,8 @@ def encoder(vocabulary: str | None = None, ranks: str | None = None) -> Encoder:
     return _encoders[vocabulary, ranks]
 
 
-def token_bytes(texts: Iterable[str | None], vocabulary: str | None = None, ranks: str | None = None) -> Iterator[bytes]:
+def token_bytes(texts: Iterable[str | None], vocabulary: str | None = None, ranks: str | None = None, end_id: int = END_ID) -> Iterator[bytes]:
     """Ids of each text (null: empty) and the end id."""
-    encode, end = encoder(vocabulary, ranks).encode, np.array([END_ID], "<u4").tobytes()
-    for text in texts:
-        yield encode(text or "") + end
+    end = np.array([end_id], "<u4").tobytes()
+    for ids in encoder(vocabulary, ranks).encode_all(text or "" for text in texts):
+        yield ids + end
