@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wellspring.functions import physics
 from wellspring.functions.nulls import holds, lookup
+from wellspring.operators.rule_table import FEW_RULES, match_rules
 from wellspring.operators.layers import PREFERRED_MUD, formation_additives, formation_attribute
 
 
@@ -50,6 +51,15 @@ def program_table(spark: SparkSession, programs: Sequence[MudProgram] = PROGRAMS
               "chloride_base double, chloride_grad double")
 
 
+def rule_table(spark: SparkSession, programs: Sequence[MudProgram] = PROGRAMS) -> DataFrame:
+    """Programs with their conditions as a table of rules; a null condition asks nothing."""
+    rows = [(i, p.type, p.base_weight, p.weight_grad, p.viscosity, p.ph, p.chloride_base, p.chloride_grad, p.min_depth, p.max_depth,
+             list(p.formations) if p.formations else None, p.min_pressure, p.max_pressure) for i, p in enumerate(programs)]
+    return spark.createDataFrame(
+        rows, "priority int, type string, base_weight double, weight_grad double, viscosity double, ph double, chloride_base double, "
+              "chloride_grad double, min_depth double, max_depth double, formations array<string>, min_pressure double, max_pressure double")
+
+
 def missing_fields(programs: DataFrame, required: Sequence[str] = REQUIRED_FIELDS) -> DataFrame:
     """Programs that lack a required field, with the names of the fields."""
     gone = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
@@ -101,32 +111,63 @@ def mud_program(depth: Column, formation: Column, is_seal: Column, is_reservoir:
     """
     gradient = formation_attribute(formation, "pressure_grad") if pressure_grad is None else pressure_grad
     pressure = physics.formation_pressure(depth, gradient)
-    minimum = formation_attribute(formation, "min_mud_weight")
-    needed = physics.required_mud_weight(depth, gradient, minimum, formation_attribute(formation, "max_mud_weight"))
-    shale_name = holds(formation.contains("Shale"))
-    none = F.lit(None)
-    texts = lambda items: F.array(*[F.lit(i) for i in items])
+    needed, thicker, additives = _conditions(depth, formation, is_horizontal, gradient)
+    chain = _special_cases(depth, formation, is_seal, is_reservoir)
+    for p in programs:
+        water = p.type == "Water-based"
+        chain = chain.when(_matches(p, depth, formation, pressure), _choice(
+            F.lit(p.type), F.greatest(p.base_weight + depth * p.weight_grad, needed),
+            p.viscosity * thicker, F.lit(p.ph), additives,
+            F.lit(p.chloride_base if p.chloride_base is not None else 300.0 if water else 50.0),
+            F.lit(p.chloride_grad if p.chloride_grad is not None else 0.3 if water else 0.1)))
+    return chain.otherwise(_without_program(depth, formation, needed, thicker, additives))
+
 
-    flat = holds(is_horizontal)
-    thicker = F.when(flat, 1.3).otherwise(1.0)
-    own = formation_additives(formation)
-    additives = F.when(flat, F.array_append(own, F.lit("Lubricants"))).otherwise(own)
+def with_mud_program(df: DataFrame, rules: DataFrame, name: str = "mud", depth: str = "depth_measured", formation: str = "formation_type",
+                     is_seal: str = "is_seal", is_reservoir: str = "is_reservoir", is_horizontal: str = "is_horizontal",
+                     pressure_grad: Column | None = None, few_rules: int = FEW_RULES) -> DataFrame:
+    """Add the struct of ``mud_program`` with the programs taken from a table of rules, as ``rule_table`` makes one.
 
+    ``rules`` has ``priority``, the fields of a program and its conditions; any number of rules will do. The rule of
+    the lowest priority whose conditions hold is taken, and where none holds the fluid that the formation prefers.
+    """
+    gradient = formation_attribute(F.col(formation), "pressure_grad") if pressure_grad is None else pressure_grad
+    matched = match_rules(
+        df.withColumn("_mud_pressure", physics.formation_pressure(F.col(depth), gradient)), fill_chloride(rules),
+        {depth: ("min_depth", "max_depth"), "_mud_pressure": ("min_pressure", "max_pressure")}, {formation: "formations"}, name="_program", few_rules=few_rules)
+    d, f, p = F.col(depth), F.col(formation), F.col("_program")
+    needed, thicker, additives = _conditions(d, f, F.col(is_horizontal), gradient)
+    programmed = _choice(
+        p["type"], F.greatest(p["base_weight"] + d * p["weight_grad"], needed), p["viscosity"] * thicker, p["ph"], additives, p["chloride_base"], p["chloride_grad"])
+    chosen = _special_cases(d, f, F.col(is_seal), F.col(is_reservoir)).when(p.isNotNull(), programmed).otherwise(
+        _without_program(d, f, needed, thicker, additives))
+    return matched.withColumn(name, chosen).drop("_program", "_mud_pressure")
+
+
+def _conditions(depth: Column, formation: Column, is_horizontal: Column, gradient: Column) -> tuple[Column, Column, Column]:
+    """The weight that the pressure needs, the factor on viscosity and the additives of a row."""
+    needed = physics.required_mud_weight(
+        depth, gradient, formation_attribute(formation, "min_mud_weight"), formation_attribute(formation, "max_mud_weight"))
+    flat, own = holds(is_horizontal), formation_additives(formation)
+    return needed, F.when(flat, 1.3).otherwise(1.0), F.when(flat, F.array_append(own, F.lit("Lubricants"))).otherwise(own)
+
+
+def _special_cases(depth: Column, formation: Column, is_seal: Column, is_reservoir: Column) -> Column:
+    """Fluids of seals and deep reservoirs, as the beginning of a chain of cases."""
+    shale_name, minimum, none = holds(formation.contains("Shale")), formation_attribute(formation, "min_mud_weight"), F.lit(None)
+    texts = lambda items: F.array(*[F.lit(i) for i in items])
     seal = _choice(
         F.when(shale_name, "Inhibitive Water-based").otherwise("Synthetic Oil-based"),
         F.greatest(F.lit(14.0), F.coalesce(minimum, F.lit(14.0))), F.lit(45.0),
         F.when(shale_name, 9.0).otherwise(7.5), texts(SEAL_ADDITIVES), none, none)
     deep = _choice(F.lit("Synthetic Oil-based"), 11.5 + depth / 1000 * 0.5, F.lit(40.0), F.lit(7.0),
                    texts(RESERVOIR_ADDITIVES), none, none)
-    chain = F.when(holds(is_seal), seal).when(holds(is_reservoir) & holds(depth > 1500), deep)
-    for p in programs:
-        water = p.type == "Water-based"
-        chain = chain.when(_matches(p, depth, formation, pressure), _choice(
-            F.lit(p.type), F.greatest(p.base_weight + depth * p.weight_grad, needed),
-            p.viscosity * thicker, F.lit(p.ph), additives,
-            F.lit(p.chloride_base if p.chloride_base is not None else 300.0 if water else 50.0),
-            F.lit(p.chloride_grad if p.chloride_grad is not None else 0.3 if water else 0.1)))
-    return chain.otherwise(_choice(
+    return F.when(holds(is_seal), seal).when(holds(is_reservoir) & holds(depth > 1500), deep)
+
+
+def _without_program(depth: Column, formation: Column, needed: Column, thicker: Column, additives: Column) -> Column:
+    none = F.lit(None)
+    return _choice(
         lookup(formation, PREFERRED_MUD, "Water-based"), needed * 1.05,
         F.when(depth > 1000, 37.5).otherwise(22.5) * thicker,
-        F.when(holds(formation == "Shale"), 9.0).otherwise(8.5), additives, none, none))
+        F.when(holds(formation == "Shale"), 9.0).otherwise(8.5), additives, none, none)

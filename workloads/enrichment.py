@@ -14,8 +14,9 @@ from wellspring.operators.features import (
     add_features, decode_label, encode_label, flow_efficiency, label_index, pt_ratio, standard_scale,
 )
 from wellspring.operators.layers import completion_by_well, formation_additives, formation_attribute, layer_lookup
-from wellspring.operators.mud import mud_program
-from workloads.inputs import event_steps, table, telemetry, well_layers
+from wellspring.operators.mud import PROGRAMS, mud_program, rule_table, with_mud_program
+from wellspring.operators.rule_table import match_rules
+from workloads.inputs import event_steps, pick, table, telemetry, well_layers
 from workloads.states import LAYERS, STEPS, TELEMETRY, over
 
 RUN = 5_000
@@ -104,7 +105,31 @@ def fluid_condition(spark, folder):
 
 def mud_programs(spark, folder):
     choice = mud_program(F.col("depth_measured"), F.col("formation_type"), F.col("is_seal"), F.col("is_reservoir"), F.col("is_horizontal"))
-    chosen = telemetry(spark, folder).withColumn("mud", choice)
+    return _mud_groups(telemetry(spark, folder).withColumn("mud", choice))
+
+
+def mud_rule_table(spark, folder):
+    """The same programs from a table of rules."""
+    return _mud_groups(with_mud_program(telemetry(spark, folder), rule_table(spark, PROGRAMS)))
+
+
+def mud_rules_of_parts(spark, folder):
+    """A rule for every part: ranges of depth and pressure, some of them open, and formations; equal priorities occur."""
+    p = F.col("p_partkey")
+    low = p * 37 % 3600
+    rules = table(spark, folder, "part").where(p % 143 != 0).select(
+        (p % 500 + F.when((p % 11 == 0) | (p % 13 == 0), 500).otherwise(0)).alias("priority"), p.alias("rule_id"), F.when(p % 11 != 0, low.cast("double")).alias("min_depth"),
+        F.when(p % 13 != 0, (low + p % 40 + 5).cast("double")).alias("max_depth"),
+        F.when(p % 3 != 0, F.array(pick(p % 4, "Shale", "Limestone", "Sandstone", "Salt"), F.lit("Salt"))).alias("formations"),
+        F.when(p % 5 != 0, (p % 17 * 300).cast("double")).alias("min_pressure"), F.when(p % 7 != 0, (p % 17 * 300 + 2500).cast("double")).alias("max_pressure"))
+    rows = telemetry(spark, folder).select("formation_type", "depth_measured", "pressure_reservoir")
+    found = match_rules(rows, rules, {"depth_measured": ("min_depth", "max_depth"), "pressure_reservoir": ("min_pressure", "max_pressure")},
+                        {"formation_type": "formations"})
+    return found.groupBy("formation_type", F.col("rule.rule_id").alias("rule_id"), F.col("rule.priority").alias("priority")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("depth_measured"), 3).alias("depth"))
+
+
+def _mud_groups(chosen):
     return chosen.groupBy("formation_type", F.col("mud.type").alias("mud"), F.col("mud.viscosity").alias("viscosity"),
                           F.col("mud.ph").alias("ph"), joined_list("mud.additives").alias("additives"),
                           F.col("mud.chloride_base").alias("chloride_base"), F.col("mud.chloride_grad").alias("chloride_grad")).agg(
@@ -211,7 +236,8 @@ def record_cards(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    ratio_features, ratio_rows, pressures, temperatures, mud_weight_window, drilling_rates, fluid_condition, mud_programs,
+    ratio_features, ratio_rows, pressures, temperatures, mud_weight_window, drilling_rates, fluid_condition, mud_programs, mud_rule_table,
+    mud_rules_of_parts,
     factor_lookup, layer_by_depth, layer_with_horizontal, completion_types, label_encoding, label_decoding, scaled_features,
     time_text, running_depths, capped_contamination, efficiency_floor, layer_changes, bit_wear_walk, row_numbers,
     sequence_window, series_per_interval, record_cards)}
@@ -313,6 +339,19 @@ SELECT well_id, formation_type, ROUND(avg(wob), 5) AS weight_on_bit, ROUND(avg(r
                  "+ depth_measured * CASE WHEN line_id > 4 THEN 0.5e0 ELSE 0.3e0 END",
         efficiency="(1 - fluid_loss_api / 5 * 0.7e0) * (1 - solid_content / 20 * 0.3e0) * greatest(0.6e0, 1 - days_age_well / 500e0)"),
     "mud_programs": over(TELEMETRY) + _MUD,
+    "mud_rule_table": over(TELEMETRY) + _MUD,
+    "mud_rules_of_parts": over(TELEMETRY) + """, r AS (SELECT p_partkey % 500 + CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 THEN 500 ELSE 0 END AS priority, p_partkey AS rule_id,
+  CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_partkey * 37 % 3600 AS DOUBLE) END AS min_depth,
+  CASE WHEN p_partkey % 13 <> 0 THEN CAST(p_partkey * 37 % 3600 + p_partkey % 40 + 5 AS DOUBLE) END AS max_depth,
+  CASE WHEN p_partkey % 3 <> 0 THEN CASE p_partkey % 4 WHEN 0 THEN 'Shale' WHEN 1 THEN 'Limestone' WHEN 2 THEN 'Sandstone' ELSE 'Salt' END END AS formation,
+  CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_partkey % 17 * 300 AS DOUBLE) END AS min_pressure,
+  CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey % 17 * 300 + 2500 AS DOUBLE) END AS max_pressure FROM part WHERE p_partkey % 143 <> 0)
+, t AS (SELECT row_number() OVER () AS id, formation_type, depth_measured, pressure_reservoir FROM tel)
+, m AS (SELECT id, min((r.priority, r.rule_id)) AS best FROM t JOIN r ON (min_depth IS NULL OR depth_measured >= min_depth)
+  AND (max_depth IS NULL OR depth_measured < max_depth) AND (min_pressure IS NULL OR pressure_reservoir >= min_pressure)
+  AND (max_pressure IS NULL OR pressure_reservoir < max_pressure) AND (formation IS NULL OR formation_type IN (formation, 'Salt')) GROUP BY 1)
+SELECT formation_type, best[2] AS rule_id, best[1] AS priority, count(*) AS n_rows, ROUND(sum(depth_measured), 3) AS depth
+FROM t LEFT JOIN m USING (id) GROUP BY 1, 2, 3""",
     "factor_lookup": over(TELEMETRY) + f"""SELECT formation_type, {by_formation("1.3e0", "1.1e0", "0.9e0", "1e0")} AS torque_factor,
   {by_formation("0.9e0", "1e0", "1.1e0", "1e0")} AS flow_factor, {_PGRAD} AS pressure_grad,
   {by_formation("''", "'Lubricants'", "'KCl, PHPA'", "''")} AS additives, count(*) AS n_rows FROM tel GROUP BY 1, 2, 3, 4, 5""",
