@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -110,6 +110,29 @@ def start_with_broken_branch(messages: DataFrame, schema: T.StructType, good_pat
     )
 
 
+def start_latest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write what each batch changes of an aggregation, open groups included, into a folder of its own.
+
+    Unlike append mode this does not wait until nothing earlier can come, so the groups that are open when the source
+    ends are there as well. A batch that runs again after a failure replaces its folder.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def latest_rows(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """The last state of each group that ``start_latest`` has written: one row for each of the keys."""
+    kept = [f.name for f in schema if f.name not in keys]
+    written = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    last = F.max_by(F.struct(*kept), F.col("batch"))
+    return written.groupBy(*keys).agg(last.alias("_last")).select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in schema.names])
+
+
 def run_available(stream: DataFrame, label: str = "stream", mode: str = "append") -> DataFrame:
     """Run a stream over what its source holds now, into a fresh scratch folder, and read the result."""
     spark = stream.sparkSession

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,16 +11,22 @@ from wellspring.functions.text import iso_time
 from wellspring.operators import learning
 from wellspring.operators.damage import damage_type
 from wellspring.operators.imputation import handle_missing
+from wellspring.operators.layers import formation_additives
 from wellspring.operators.masking import add_noise, mask_cells, mask_share
 from wellspring.operators.neighbours import knn_impute
 from wellspring.operators.profile import null_profile
+from wellspring.operators.ordered import EFFICIENCY_STEP
 from wellspring.plans.folder_jobs import rows_for_database
 from wellspring.plans.processing import ProcessingConfig, process
 from wellspring.session import scratch_path
+from wellspring.sources.readers import read_file_stream
 from wellspring.streaming.records import (
-    alert_rate, alerts, cards, decode_records, encode_records, readable_records, run_available, start_with_broken_branch,
+    alert_rate, alerts, cards, decode_records, encode_records, latest_rows, readable_records, run_available, start_latest, start_to_folder,
+    start_with_broken_branch,
 )
-from workloads.inputs import table, table_stream, telemetry, telemetry_of, with_gaps
+from wellspring.streaming.wells import walk_wells
+from workloads.enrichment import SQL as WALKS
+from workloads.inputs import event_steps_of, table, table_stream, telemetry, telemetry_of, with_gaps
 from workloads.screening import DAMAGE_CASE, RULE_SQL
 from workloads.states import TELEMETRY, over
 
@@ -61,6 +69,43 @@ def window_rate(spark, folder):
     return alert_rate(events, "well_id", "ts", "1 hour", "5 minutes")
 
 
+def _events_in_parts(spark, folder, parts=2):
+    """Writers of the events of successive spans of time, each as one more file of a stream, and the stream's folder."""
+    events, path = table(spark, folder, "events"), scratch_path(spark, "events")
+    moment = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(moment, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        span = events.where((F.lit(True) if low is None else moment >= low) & (F.lit(True) if high is None else moment < high))
+        yield path, lambda span=span: span.coalesce(1).write.mode("append").parquet(path)
+
+
+def stream_window_rate_all(spark, folder):
+    """All windows, those still open at the end included, over two starts of one stream."""
+    out, schema = scratch_path(spark, "rates"), table(spark, folder, "events").schema
+    for path, arrive in _events_in_parts(spark, folder):
+        arrive()
+        events = read_file_stream(spark, path, schema, files_per_batch=1).withColumns(
+            {"well_id": F.col("user_id") % 5, "is_alert": F.col("event_type") == "error"})
+        rates = alert_rate(events, "well_id", "ts", "1 hour", "5 minutes")
+        start_latest(rates, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return latest_rows(spark, f"{out}/rows", rates.schema, ["well_id", "window_start", "window_end"])
+
+
+def stream_well_states(spark, folder):
+    """Depth, layer change, wear, contamination and efficiency per well, over two starts of one stream."""
+    out, schema = scratch_path(spark, "wells"), table(spark, folder, "events").schema
+    for path, arrive in _events_in_parts(spark, folder):
+        arrive()
+        steps = event_steps_of(read_file_stream(spark, path, schema))
+        additives = formation_additives(F.when(F.col("event_id") % 2 == 0, F.col("formation")))
+        walked = walk_wells(steps, ["user_id"], ["ts", "event_id"], "event_type", "formation", "value", additives,
+                            wear_scale=math.sqrt(237443), contamination_scale=20, efficiency_step=EFFICIENCY_STEP * 400)
+        start_to_folder(walked, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    rows = spark.read.schema(walked.schema).parquet(f"{out}/rows")
+    return rows.select("event_id", "changed", *[F.round(c, 6).alias(c) for c in ("depth", "bit_wear", "contamination", "efficiency")])
+
+
 def stream_bad_records(spark, folder):
     messages = encode_records(table_stream(spark, folder, "events"), "event_id", ["event_id", "user_id", "event_type", "value"])
     damaged = messages.withColumn("value", F.when(F.col("key").cast("long") % 50 == 0, F.left("value", F.lit(20))).otherwise(F.col("value")))
@@ -201,7 +246,7 @@ def database_rows(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_decode, stream_alerts, stream_window_rate, window_rate, stream_bad_records, stream_cards, mask_exact_share,
+    stream_decode, stream_alerts, stream_window_rate, stream_window_rate_all, stream_well_states, window_rate, stream_bad_records, stream_cards, mask_exact_share,
     mask_random_cells, noise_effect, impute_knn, impute_iterative, impute_forest, classifier_flow, damage_classifier,
     clusters, processing_run, processing_run_forest, database_rows)}
 
@@ -235,6 +280,9 @@ SQL = {
 SELECT well_id, damage_type, n_rules, count(*) AS n_rows FROM marked
 WHERE n_rules > 0 OR damage_type IN ('Stress/Corrosion Cracking', 'Generic Damage') GROUP BY 1, 2, 3""",
     "stream_window_rate": f"SELECT * FROM ({_RATE}) WHERE window_end <= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events)",
+    "stream_window_rate_all": _RATE,
+    "stream_well_states": f"""SELECT * FROM ({WALKS["bit_wear_walk"]}) JOIN ({WALKS["running_depths"]}) USING (event_id)
+JOIN ({WALKS["layer_changes"]}) USING (event_id) JOIN ({WALKS["capped_contamination"]}) USING (event_id) JOIN ({WALKS["efficiency_floor"]}) USING (event_id)""",
     "window_rate": _RATE,
     "stream_bad_records": """SELECT CASE WHEN event_id % 50 = 0 THEN 'broken' ELSE 'good' END AS branch, count(*) AS n_rows,
   CAST(sum(event_id) AS BIGINT) AS keys, ROUND(sum(CASE WHEN event_id % 50 = 0 THEN 0 ELSE value END), 3) AS total FROM events GROUP BY 1""",

@@ -104,7 +104,11 @@ def well_layers(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_steps(spark: SparkSession, folder: str) -> DataFrame:
     """Events as rows of a well (the user) in time order, each in a formation given by its type."""
+    return event_steps_of(table(spark, folder, "events"))
+
+
+def event_steps_of(events: DataFrame) -> DataFrame:
     formation = F.create_map(*[F.lit(x) for pair in (
         ("view", "Shale"), ("click", "Sandstone"), ("error", "Limestone"), ("signup", "Topsoil"), ("purchase", "Salt"),
     ) for x in pair])
-    return table(spark, folder, "events").withColumn("formation", formation[F.col("event_type")])
+    return events.withColumn("formation", formation[F.col("event_type")])
