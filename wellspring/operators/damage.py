@@ -120,9 +120,13 @@ def with_main_candidate(df: DataFrame) -> DataFrame:
 
 def damage_probability(formation: Column, weight_on_bit: Column, rop: Column, temperature: Column,
                        trigger_weight: Column, trigger_rop: Column, trigger_temperature: Column) -> Column:
-    """Base probability of the formation scaled by how far each reading exceeds its trigger, at most 0.3."""
+    """Base probability of the formation scaled by how far each reading exceeds its trigger, at most 0.3.
+
+    An unknown reading or trigger, NaN included, leaves the probability as it is.
+    """
     def factor(value: Column, trigger: Column, cap: float) -> Column:
-        return F.when(trigger > 0, F.least(F.lit(cap), value / trigger)).otherwise(1.0)
+        share = F.when(number(trigger) > 0, number(value) / number(trigger))
+        return F.when(share.isNotNull(), F.least(F.lit(cap), share)).otherwise(1.0)
 
     return F.least(
         F.lit(0.3),

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wellspring.functions.nulls import numeric_columns
+from wellspring.functions.nulls import number, numeric_columns
 from wellspring.operators.quantiles import EXACT_LIMIT, column_percentiles
 from wellspring.session import settle, spread
 
@@ -78,10 +78,10 @@ def _grow(seed: int, depth_limit: int, width: int):
 
 def isolation_scores(df: DataFrame, columns: Sequence[str] | None = None, trees: int = TREES, sample: int = SAMPLE,
                      seed: int = 42, name: str = "anomaly_score") -> DataFrame:
-    """Add the anomaly score between 0 and 1 of each row over the numeric columns; nulls count as the column mean."""
+    """Add the anomaly score between 0 and 1 of each row over the numeric columns; null and NaN count as the column mean."""
     columns = list(columns or numeric_columns(df))
-    means = df.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    whole = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(means[f"m{i}"] or 0.0)) for i, c in enumerate(columns)]
+    means = df.agg(*[F.avg(number(F.col(f"`{c}`"))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    whole = [F.coalesce(number(F.col(f"`{c}`")), F.lit(means[f"m{i}"] or 0.0)) for i, c in enumerate(columns)]
     ready = df.withColumns({f"_x{i}": w for i, w in enumerate(whole)})
     names = [f"_x{i}" for i in range(len(columns))]
     samples = tree_samples(ready, names, trees, sample, seed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -9,12 +10,14 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IndexToString, OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.param import Param, TypeConverters
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wellspring.functions.nulls import nan_to_null, numeric_columns, text_columns
+from wellspring.functions.nulls import nan_to_null, number, numeric_columns, text_columns
 from wellspring.operators.imputation import column_medians, missing_counts
 from wellspring.operators.quantiles import column_percentiles
 from wellspring.session import settle
@@ -31,36 +34,47 @@ NON_FEATURES = [
 UNHELPFUL = ["Record_ID", "API_Well_ID", "DateTime", "Phase_Operation", "Completion_Type", "Type_Damage"]
 
 
-class MedianScalerModel(Model):
-    def __init__(self, facts: dict[str, tuple[float, float, float]], ending: str):
+class MedianScalerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """``facts`` has the median, mean and deviation of each column; it is kept as JSON so that the model can be saved."""
+
+    def __init__(self, facts: dict[str, tuple[float, float, float]] | None = None, ending: str = "_scaled"):
         super().__init__()
-        self.facts = facts
-        self.ending = ending
+        self.known = Param(self, "known", "median, mean and deviation of each column, as JSON", TypeConverters.toString)
+        self.suffix = Param(self, "suffix", "ending of the new columns", TypeConverters.toString)
+        self._set(known=json.dumps(facts or {}), suffix=ending)
+
+    @property
+    def facts(self) -> dict[str, list[float]]:
+        return json.loads(self.getOrDefault(self.known))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        ending = self.getOrDefault(self.suffix)
         return dataset.withColumns({
-            c + self.ending: (F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(median)) - mean) / (std or 1.0)
+            c + ending: (F.coalesce(number(F.col(f"`{c}`")), F.lit(median)) - mean) / (std or 1.0)
             for c, (median, mean, std) in self.facts.items()
         })
 
 
-class MedianScaler(Estimator):
-    """Fills gaps with the exact median and scales by the population deviation."""
+class MedianScaler(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Fills gaps, NaN included, with the exact median and scales by the population deviation."""
 
-    def __init__(self, columns: Sequence[str], ending: str = "_scaled"):
+    def __init__(self, columns: Sequence[str] = (), ending: str = "_scaled"):
         super().__init__()
-        self.columns = list(columns)
-        self.ending = ending
+        self.inputs = Param(self, "inputs", "columns to scale", TypeConverters.toListString)
+        self.suffix = Param(self, "suffix", "ending of the new columns", TypeConverters.toString)
+        self._set(inputs=list(columns), suffix=ending)
 
     def _fit(self, dataset: DataFrame) -> MedianScalerModel:
-        medians = {c: v[0] or 0.0 for c, v in column_percentiles(dataset, self.columns, [0.5]).items()}
-        filled = {c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(medians[c])) for c in self.columns}
-        row = dataset.agg(*[
-            f(filled[c]).alias(f"{n}{i}") for i, c in enumerate(self.columns)
+        columns = self.getOrDefault(self.inputs)
+        known = nan_to_null(dataset)
+        medians = {c: v[0] or 0.0 for c, v in column_percentiles(known, columns, [0.5]).items()}
+        filled = {c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(medians[c])) for c in columns}
+        row = known.agg(*[
+            f(filled[c]).alias(f"{n}{i}") for i, c in enumerate(columns)
             for n, f in (("m", F.avg), ("s", F.stddev_pop))
         ]).first()
         return MedianScalerModel(
-            {c: (medians[c], row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0) for i, c in enumerate(self.columns)}, self.ending)
+            {c: (medians[c], row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0) for i, c in enumerate(columns)}, self.getOrDefault(self.suffix))
 
 
 def build_classifier(numeric: Sequence[str], categorical: Sequence[str], label: str = "label", trees: int = TREES,
