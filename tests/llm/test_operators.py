@@ -221,6 +221,15 @@ def test_exact_groups(docs, rows, empty, digest):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_drop_copies_keeps_every_text(spark):
+    """An id with two texts, one of them a copy of another row's; repeated rows; null ids; helper-like names."""
+    rows = [(5, "A", 1), (7, "a", 1), (5, "B", 2), (5, "B", 2), (8, "C", 3), (8, "c", 3), (None, "D", 4), (None, None, 5), (9, "", 5), (None, "E", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _hash int").withColumn("_sha", F.lit("x"))
+    left = exact_dedup.drop_copies(df)
+    assert left.columns == df.columns
+    assert sorted(((r.text or "").lower(), r.doc_id or 0) for r in left.collect()) == [("", 9), ("a", 7), ("b", 5), ("c", 8), ("d", 0), ("e", 0)]
+
+
 def test_drop_copies_with_repeated_rows(docs):
     left = exact_dedup.drop_copies(docs.unionAll(docs))
     assert left.columns == docs.columns

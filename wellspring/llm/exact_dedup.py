@@ -57,14 +57,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """``docs`` without the copies, columns unchanged. Rows that repeat an id and its text are copies too."""
+    """``docs`` without the copies, columns unchanged. Rows that repeat an id and its text are copies too.
+
+    Rows go by id. Only ids that stay with one text and go with another, or stay in several rows, are told apart by id
+    and text. Null ids are ids like others. Any names of columns will do. An empty table stays empty.
+    """
     groups = settle(exact_groups(docs, id_col, text_col, keep))
-    dropped = settle(groups.where("NOT kept").select(id_col).distinct())
-    repeated = settle(groups.where("kept").groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id_col))
-    left = attach_by_key(docs, dropped, [id_col], how="left_anti", salt_by=[id_col])
-    if repeated.isEmpty():
+    dropped = settle(groups.where("NOT kept").select(id_col, "text_sha256"))
+    counted = groups.groupBy(id_col).agg(F.count_if("kept").alias("_stay"), F.count_if(~F.col("kept")).alias("_go"))
+    several = settle(counted.where("_stay > 1 OR (_stay > 0 AND _go > 0)").select(id_col))
+    left = attach_by_key(docs, settle(dropped.select(id_col).distinct()), [id_col], how="left_anti", salt_by=[id_col])
+    if several.isEmpty():
         return left
-    norm = lower_az(F.coalesce(F.col(text_col), F.lit("")))
-    again = attach_by_key(left, repeated, [id_col], how="left_semi", salt_by=[id_col])
-    again = again.withColumn("_hash", F.sha2(norm, 256)).dropDuplicates([id_col, "_hash"]).drop("_hash")
-    return attach_by_key(left, repeated, [id_col], how="left_anti", salt_by=[id_col]).unionByName(again)
+    digest = "_sha"
+    while digest in docs.columns:
+        digest += "_"
+    again = attach_by_key(docs, several, [id_col], how="left_semi", salt_by=[id_col])
+    again = again.withColumn(digest, F.sha2(lower_az(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), 256)).dropDuplicates([id_col, digest])
+    again = null_safe_join(again, dropped.withColumnRenamed("text_sha256", digest).distinct(), [id_col, digest], "left_anti").drop(digest)
+    return attach_by_key(left, several, [id_col], how="left_anti", salt_by=[id_col]).unionByName(again)
