@@ -83,10 +83,58 @@ def test_knn_equals_brute_force(spark, hot):
     x[7] = np.nan
     rows = [tuple(None if np.isnan(v) else float(v) for v in r) + (i,) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double, i int")
-    got = knn_impute(df, ["a", "b", "c", "d"], k=5, rows_per_slab=10).orderBy("i").select("a", "b", "c", "d").toPandas().to_numpy()
+    got = knn_impute(df, ["a", "b", "c", "d"], k=5, rows_per_leaf=10).orderBy("i").select("a", "b", "c", "d").toPandas().to_numpy()
     np.testing.assert_allclose(got, brute_force_neighbours(x, 5), rtol=1e-9)
 
 
+def test_knn_of_sparse_columns(spark):
+    """Columns known in few rows, rows with few columns, ties; small leaves make trees of several levels."""
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(400, 5)) * [20, 5, 2, 1, 3])
+    x[rng.random(x.shape) < [0.97, 0.5, 0.3, 0.9, 0.4]] = np.nan
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) + (i,) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, i int")
+    got = knn_impute(df, list("abcde"), k=3, rows_per_leaf=8).orderBy("i").select(*"abcde").toPandas().to_numpy()
+    np.testing.assert_allclose(got, brute_force_neighbours(x, 3), rtol=1e-9)
+
+
+def test_knn_of_more_columns_than_bits(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 70))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = [f"c{i}" for i in range(70)]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) + (i,) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names) + ", i int")
+    got = knn_impute(df, names, k=2, rows_per_leaf=16).orderBy("i").select(*names).toPandas().to_numpy()
+    np.testing.assert_allclose(got, brute_force_neighbours(x, 2), rtol=1e-9)
+
+
+def test_knn_compares_few_pairs_of_a_sparse_column(spark, monkeypatch):
+    """Twice the rows make about twice the comparisons, not four times as many."""
+    from wellspring.operators import neighbours
+
+    def compared(n: int) -> int:
+        pairs = spark.sparkContext.accumulator(0)
+        inner = neighbours._nearest_donors
+
+        def counted(d, k):
+            work = inner(d, k)
+
+            def run(facts, labels, asked):
+                pairs.add(len(facts) * len(asked))
+                return work(facts, labels, asked)
+            return run
+
+        with monkeypatch.context() as patch:
+            patch.setattr(neighbours, "_nearest_donors", counted)
+            df = spark.range(n).selectExpr("IF(id % 20 = 0, sin(id), NULL) AS a", "pmod(id * 7919, 10007) / 10007 AS b", "CAST(id % 3 AS DOUBLE) AS c")
+            knn_impute(df, ["a", "b", "c"], k=3, rows_per_leaf=16).write.format("noop").mode("overwrite").save()
+        return pairs.value
+
+    small, large = compared(4000), compared(16000)
+    assert large < 6 * small and large < 16000 * 800 / 4
+
+
 def test_iterative_finds_a_linear_relation(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 3))

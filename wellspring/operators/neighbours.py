@@ -4,21 +4,22 @@ Distance between two rows: the sum of squared differences over the columns both
 columns / shared columns, then the root. A missing value becomes the mean of the k nearest rows that
 have it; of equally near rows those with the smaller value come first.
 
-Equal rows are merged first, with their count. Each remaining row is listed under every column it
-has (the *guide*), in slabs of that column's value. A row with a gap looks under its widest-spread
-column, then, among rows that lack this column, under its next one, and so on, so every possible
-neighbour is met exactly once. The first look takes the slab the row falls into; the k-th distance
-found there bounds the difference in the guide column, and the second look takes just the slabs
-within that bound. A slab of many rows is divided in the same way by the row's next column.
+Equal rows are merged first, with their count. For each column with gaps the rows that have it, its
+*donors*, are divided into cells, level by level: a cell with too many donors is cut at quantiles of
+the column that varies most in it, donors without that column making a cell of their own. So a
+column known in few rows has a small tree, whatever the number of the other rows. The box of a cell
+bounds the distances to its donors from below and from above. A row with a gap goes down to one
+cell first; the k-th distance found there, or the k-th upper bound on the way, limits the second
+way down, which takes every cell that may hold a nearer donor.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +27,21 @@ from wellspring.functions.nulls import nan_to_null
 from wellspring.operators.keyed import attach_by_key
 from wellspring.session import settle
 
-MAX_CUTS = 2048
-ROWS_PER_SLAB = 256
-LONG = 4
+ROWS_PER_LEAF = 256
+FANOUT = 64
+QUERIES_PER_PART = 4096
+QUERIES_AT_ONCE = 1024
+SLACK = 1 + 1e-9  # of a bound, for rounding
+_PLACE = "_id bigint, _target int, _cell string, _open boolean, _numbers array<double>"
+_FOUND = "_id bigint, _target int, _distance double, _value double, _copies double"
+Work = Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, list[pa.Array]]]]
 
 
-def knn_impute(df: DataFrame, columns: Sequence[str], k: int = 5, rows_per_slab: int = ROWS_PER_SLAB) -> DataFrame:
-    """Fill the gaps of the numeric ``columns``; a gap without any comparable row gets the column mean."""
+def knn_impute(df: DataFrame, columns: Sequence[str], k: int = 5, rows_per_leaf: int = ROWS_PER_LEAF) -> DataFrame:
+    """Fill the gaps of the numeric ``columns``, of which there may be any number.
+
+    A gap without any comparable row gets the column mean; a column without any value stays empty. NaN is a gap.
+    """
     columns = list(columns)
     clean = nan_to_null(df.withColumns({c: F.col(c).cast("double") for c in columns}))
     vectors = settle(
@@ -40,160 +49,219 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = 5, rows_per_slab:
         .withColumn("_id", F.monotonically_increasing_id()))
     facts = vectors.agg(F.count(F.lit(1)).alias("n"), *[
         f.alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in (
-            ("s", F.stddev_pop(c)), ("m", F.try_divide(F.sum(F.col(c) * F.col("_copies")), F.sum(F.when(F.col(c).isNotNull(), F.col("_copies"))))))
+            ("k", F.count(c)), ("m", F.try_divide(F.sum(F.col(c) * F.col("_copies")), F.sum(F.when(F.col(c).isNotNull(), F.col("_copies"))))))
     ]).first()
-    order = sorted(range(len(columns)), key=lambda i: (-(facts[f"s{i}"] or 0.0), i))
-    ordered = [columns[i] for i in order]
-    means = {columns[i]: facts[f"m{i}"] for i in order if facts[f"m{i}"] is not None}
-
-    values = vectors.select("_id", "_copies", *[F.col(c).alias(f"v{i}") for i, c in enumerate(ordered)])
-    filled = _neighbour_values(values, len(ordered), k, rows_per_slab, facts["n"])
-    patched = filled.groupBy("_id").agg(*[
-        F.max(F.when(F.col("_target") == i, F.col("_value"))).alias(f"f{i}") for i in range(len(ordered))
-    ])
-    table = settle(
-        vectors.join(patched, "_id").select(
-            *columns, "_copies", *[F.col(f"f{i}").alias(f"_fill_{i}") for i in range(len(ordered))]))
+    gaps = [i for i in range(len(columns)) if 0 < facts[f"k{i}"] < facts["n"]]
+    if not gaps:
+        return clean
+    values = vectors.select("_id", "_copies", F.array(*columns).alias("_v"))
+    filled = _neighbour_values(values, gaps, len(columns), k, rows_per_leaf)
+    patched = filled.groupBy("_id").agg(*[F.max(F.when(F.col("_target") == i, F.col("_value"))).alias(f"_fill_{i}") for i in gaps])
+    table = settle(vectors.join(patched, "_id").select(*columns, "_copies", *[f"_fill_{i}" for i in gaps]))
     joined = attach_by_key(clean, table, columns, weight="_copies")
     return joined.withColumns({
-        c: F.coalesce(F.col(c), F.col(f"_fill_{i}"), F.lit(means.get(c)).cast("double")) for i, c in enumerate(ordered)
-    }).drop("_copies", *[f"_fill_{i}" for i in range(len(ordered))])
+        columns[i]: F.coalesce(F.col(columns[i]), F.col(f"_fill_{i}"), F.lit(facts[f"m{i}"])) for i in gaps
+    }).drop("_copies", *[f"_fill_{i}" for i in gaps])
 
 
-def _neighbour_values(values: DataFrame, d: int, k: int, rows_per_slab: int, n: int) -> DataFrame:
+def _neighbour_values(values: DataFrame, gaps: Sequence[int], d: int, k: int, rows_per_leaf: int) -> DataFrame:
     """(_id, _target, _value) for every gap that has a comparable row."""
-    slab = _slab_function(values, d, n, rows_per_slab)
-    has = [F.col(f"v{i}").isNotNull() for i in range(d)]
-
-    # Where a row looks: guide column p, the first column f the neighbours have, and its next own column s.
-    looks = []
-    for p in range(d):
-        later = F.coalesce(*[F.when(has[i], F.lit(i)) for i in range(p + 1, d)], F.lit(-1))
-        later_value = F.coalesce(*[F.col(f"v{i}") for i in range(p + 1, d)], F.lit(None).cast("double"))
-        avoid = sum((F.when(has[e], F.lit(1 << e)).otherwise(0) for e in range(p)), F.lit(0)).cast("long")
-        for f in range(p + 1):
-            looks.append(F.when(has[p] if f == p else has[p] & ~has[f], F.struct(
-                F.lit(p).alias("_p"), F.lit(f).alias("_f"), later.alias("_s"), F.col(f"v{p}").alias("_x"),
-                later_value.alias("_x2"), avoid.alias("_avoid"))))
-    targets = F.array_compact(F.array(*[F.when(~has[t], F.lit(t)) for t in range(d)]))
+    levels, leaves = _grow(_donors(values, gaps, k), d, rows_per_leaf)
+    divided = [int(r["_cell"]) for r in levels[0].where("_axis IS NOT NULL").select("_cell").collect()]  # roots: one for each column
+    missing = F.array_compact(F.array(*[F.when(F.col("_v")[i].isNull(), F.lit(i)) for i in gaps]))
     queries = settle(
-        values.where(~_all(has)).withColumn("_target", F.explode(targets))
-        .withColumn("_look", F.explode(F.array_compact(F.array(*looks))))
-        .select("_id", "_target", "_look.*", *[F.col(f"v{i}").alias(f"q{i}") for i in range(d)])
-        .withColumn("_slab", slab("_p", "_x")))
-    wanted = [tuple(r) for r in queries.select("_p", "_f", "_s").distinct().collect()]
-
-    first = F.coalesce(*[F.when(has[i], F.lit(i)) for i in range(d)])
-    mask = sum((F.when(has[e], F.lit(1 << e)).otherwise(0) for e in range(d)), F.lit(0)).cast("long")
-    entries = [
-        F.when(has[p] & (first == f), F.struct(
-            F.lit(p).alias("_p"), F.lit(f).alias("_f"), F.lit(s).alias("_s"), F.col(f"v{p}").alias("_y"),
-            (F.col(f"v{s}") if s >= 0 else F.lit(None).cast("double")).alias("_y2")))
-        for p, f, s in wanted
-    ] or [F.lit(None).cast("struct<_p:int,_f:int,_s:int,_y:double,_y2:double>")]
-    listed = settle(
-        values.withColumn("_mask", mask)
-        .withColumn("_entry", F.explode(F.array_compact(F.array(*entries))))
-        .select("_entry.*", "_mask", "_copies", *[f"v{i}" for i in range(d)])
-        .withColumn("_slab", slab("_p", "_y")))
-
-    # A slab of many rows, as where they share the guide value, is divided by the second column.
-    place = ["_p", "_f", "_s", "_slab"]
-    long = settle(
-        listed.where(F.col("_s") >= 0).groupBy(*place)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_y2").alias("_from"), F.max("_y2").alias("_to"))
-        .where(F.col("_rows") > LONG * rows_per_slab)
-        .withColumn("_parts", F.ceil(F.col("_rows") / rows_per_slab).cast("int")))
-
-    def part(value: Column) -> Column:
-        inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - F.col("_from")) / F.nullif(F.col("_to") - F.col("_from"), F.lit(0.0))))
-        return F.coalesce(F.least(F.col("_parts") - 1, F.floor(inside * F.col("_parts")).cast("int")), F.lit(0))
-
-    whole, unknown = F.lit(0), F.lit(-1)
-    listed = attach_by_key(listed, long, place, weight="_rows", salt_by=[f"v{i}" for i in range(d)]).withColumn(
-        "_part", F.when(F.col("_parts").isNull(), whole).when(F.col("_y2").isNull(), unknown).otherwise(part(F.col("_y2"))),
-    ).drop("_rows", "_from", "_to", "_parts", "_y", "_y2")
-    listed = settle(listed)
-
-    seen = F.when(F.col("_parts").isNull(), F.array(whole)).otherwise(F.array(unknown, part(F.col("_x2"))))
-    queried = settle(attach_by_key(queries, long, place, salt_by=["_id", "_target"]).withColumn("_seen", seen).drop(
-        "_rows", "_from", "_to", "_parts"))
-    near = settle(_nearest(_compare(queried.withColumn("_part", F.explode("_seen")), listed, d), k))
-
-    bound = near.groupBy("_id", "_target").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("_distance") * (1 + 1e-9)).alias("_bound"))
-    bounded = queried.join(bound, ["_id", "_target"], "left").withColumns({
-        "_bound": F.coalesce("_bound", F.lit(float("inf"))), "_home": F.col("_slab")})
-    reached = (
-        bounded.withColumn("_low", slab("_p", F.col("_x") - F.col("_bound"))).withColumn("_high", slab("_p", F.col("_x") + F.col("_bound")))
-        .withColumn("_slab", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high"))
-    parts = F.when(F.col("_parts").isNull(), F.array(whole)).otherwise(
-        F.concat(F.array(unknown), F.sequence(part(F.col("_x2") - F.col("_bound")), part(F.col("_x2") + F.col("_bound")))))
-    left = F.when(F.col("_slab") == F.col("_home"), F.array_except(parts, F.col("_seen"))).otherwise(parts)
-    wider = attach_by_key(reached, long, place, salt_by=["_id", "_target"]).withColumn("_part", F.explode(left))
-    best = _nearest(near.unionByName(_compare(wider, listed, d)), k)
+        values.where(F.exists("_v", lambda x: x.isNotNull())).select("_id", F.explode(missing).alias("_target"), "_v").select(
+            "_id", "_target", F.col("_target").cast("string").alias("_cell"), F.col("_target").isin(divided).alias("_open"),
+            F.concat("_v", F.array(F.lit(float("inf")))).alias("_numbers")))
+    donors = leaves.select("_cell", F.lit("").alias("_name"), F.concat("_v", F.array("_value", "_copies")).alias("_numbers"))
+    nearest = _per_cell(_nearest_donors(d, k), _FOUND)
+
+    home = _descend(queries, levels, _per_cell(_cells_to_visit(d, k, one=True), _PLACE))
+    bounds = _meet(home, donors, nearest).groupBy("_id", "_target").agg(
+        F.when(F.count(F.lit(1)) >= k, F.max("_distance") * SLACK).alias("_bound"))
+    bounded = settle(queries.join(bounds, ["_id", "_target"], "left").withColumn("_numbers", F.concat(
+        F.slice("_numbers", 1, d), F.array(F.coalesce("_bound", F.lit(float("inf")))))).drop("_bound"))
+    reached = _descend(bounded, levels, _per_cell(_cells_to_visit(d, k, one=False), _PLACE))
+
     order = Window.partitionBy("_id", "_target").orderBy("_distance", "_value")
-    taken = best.withColumn(
-        "_weight",
-        F.greatest(F.lit(0.0), F.least(F.col("_copies"), k - F.coalesce(
-            F.sum("_copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))))
-    return taken.groupBy("_id", "_target").agg(
-        (F.sum(F.col("_value") * F.col("_weight")) / F.sum("_weight")).alias("_value"))
-
-
-def _all(tests: Sequence[Column]) -> Column:
-    result = F.lit(True)
-    for t in tests:
-        result = result & t
-    return result
-
-
-def _compare(queries: DataFrame, listed: DataFrame, d: int) -> DataFrame:
-    """Distances of the rows in the looked-at slabs that have the wanted value."""
-    met = queries.join(listed, ["_p", "_f", "_s", "_slab", "_part"])
-    both = [F.col(f"q{i}").isNotNull() & F.col(f"v{i}").isNotNull() for i in range(d)]
-    shared = sum((F.when(b, 1.0).otherwise(0.0) for b in both), F.lit(0.0))
-    squares = sum(
-        (F.when(b, (F.col(f"q{i}") - F.col(f"v{i}")) * (F.col(f"q{i}") - F.col(f"v{i}"))).otherwise(0.0)
-         for i, b in enumerate(both)), F.lit(0.0))
-    wanted = F.coalesce(*[F.when(F.col("_target") == i, F.col(f"v{i}")) for i in range(d)])
-    return (
-        met.where(F.col("_mask").bitwiseAND(F.col("_avoid")) == 0)
-        .select("_id", "_target", F.sqrt(squares * (float(d) / shared)).alias("_distance"), wanted.alias("_value"), "_copies")
-        .where(F.col("_value").isNotNull())
-    )
-
-
-def _nearest(candidates: DataFrame, k: int) -> DataFrame:
-    place = Window.partitionBy("_id", "_target").orderBy("_distance", "_value")
-    return candidates.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= k).drop("_rank")
-
-
-def _slab_function(values: DataFrame, d: int, n: int, rows_per_slab: int):
-    """A function (guide column, value) -> slab number that never decreases in the value.
-
-    Quantiles give up to MAX_CUTS cuts; between two cuts the range is divided evenly, so that the number
-    of slabs grows with the rows while the cuts stay few.
+    best = _meet(reached, donors, nearest).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
+    before = F.coalesce(F.sum("_copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    taken = best.withColumn("_weight", F.greatest(F.lit(0.0), F.least(F.col("_copies"), k - before)))
+    return taken.groupBy("_id", "_target").agg((F.sum(F.col("_value") * F.col("_weight")) / F.sum("_weight")).alias("_value"))
+
+
+def _donors(values: DataFrame, gaps: Sequence[int], k: int) -> DataFrame:
+    """(_target, _v, _value, _copies): rows that have the target, without it; of rows alike besides it those with the k smallest values."""
+    has = F.array_compact(F.array(*[F.when(F.col("_v")[i].isNotNull(), F.lit(i)) for i in gaps]))
+    rows = values.select(F.explode(has).alias("_target"), "_v", "_copies").select(
+        "_target", F.transform("_v", lambda x, i: F.when(i != F.col("_target"), x)).alias("_v"), F.get("_v", "_target").alias("_value"), "_copies")
+    alike = Window.partitionBy("_target", "_v").orderBy("_value")
+    known = rows.where(F.exists("_v", lambda x: x.isNotNull()))
+    return known.withColumn("_rank", F.row_number().over(alike)).where(F.col("_rank") <= k).drop("_rank")
+
+
+def _grow(donors: DataFrame, d: int, rows_per_leaf: int) -> tuple[list[DataFrame], DataFrame]:
+    """The boxes of each level of cells, with the column by which a cell is divided, and the donors with their leaf."""
+    rows = settle(donors.withColumns({"_cell": F.col("_target").cast("string"), "_parent": F.lit("")}))
+    levels, leaves = [], []
+    while True:
+        levels.append(settle(_boxes(rows, d, rows_per_leaf)))
+        divided = settle(levels[-1].where("_axis IS NOT NULL").select("_cell", "_axis", "_rows"))
+        if divided.isEmpty():
+            return levels, reduce(DataFrame.unionByName, [*leaves, rows])
+        marked = settle(attach_by_key(rows, divided, ["_cell"], weight="_rows", salt_by=["_v"]))
+        leaves.append(marked.where("_axis IS NULL").drop("_axis", "_rows"))
+        moving = marked.where("_axis IS NOT NULL").withColumn("_x", F.get("_v", "_axis"))
+        parts = F.least(F.lit(FANOUT), F.ceil(F.col("_rows") / rows_per_leaf)).cast("int")
+        shares = [i / FANOUT for i in range(1, FANOUT)]
+        cuts = settle(
+            moving.groupBy("_cell", "_rows").agg(F.percentile_approx("_x", shares, 100 * FANOUT).alias("_q")).select(
+                "_cell", "_rows", F.array_distinct(F.transform(
+                    F.sequence(F.lit(1), parts - 1), lambda i: F.get("_q", F.floor(i * FANOUT / parts).cast("int") - 1))).alias("_cuts")))
+        x = F.col("_x")  # a value that is itself a cut has a cell of its own, so every cut divides
+        place = F.size(F.filter("_cuts", lambda c: c < x)) + F.size(F.filter("_cuts", lambda c: c <= x))
+        child = F.concat_ws(".", "_cell", F.when(x.isNull(), F.lit("n")).otherwise(place.cast("string")))
+        rows = settle(attach_by_key(moving.drop("_rows"), cuts, ["_cell"], weight="_rows", salt_by=["_v"]).select(
+            "_target", "_v", "_value", "_copies", child.alias("_cell"), F.col("_cell").alias("_parent")))
+
+
+def _boxes(rows: DataFrame, d: int, rows_per_leaf: int) -> DataFrame:
+    """(_cell, _parent, _rows, _known, _low, _high, _axis): how many donors have each column, its ends, the column to cut by or null."""
+    def each(f) -> Column:
+        return F.array(*[f(F.col("_v")[i]) for i in range(d)])
+
+    boxes = rows.groupBy("_cell", "_parent").agg(
+        F.count(F.lit(1)).alias("_rows"), each(F.count).alias("_known"), each(F.min).alias("_low"), each(F.max).alias("_high"),
+        each(F.stddev_pop).alias("_spread"))
+
+    def score(i: Column) -> Column:
+        known = F.get("_known", i)
+        spread = F.nanvl(F.coalesce(F.get("_spread", i), F.lit(0.0)), F.lit(0.0)) * known / F.col("_rows")
+        return (F.when(F.get("_high", i) > F.get("_low", i), F.greatest(spread, F.lit(1e-300)))
+                .when((known > 0) & (known < F.col("_rows")), F.lit(1e-301)).otherwise(F.lit(-1.0)))
+
+    scored = boxes.withColumn("_scores", F.transform(F.sequence(F.lit(0), F.lit(d - 1)), score)).withColumn("_top", F.array_max("_scores"))
+    cut = (F.col("_rows") > 2 * rows_per_leaf) & (F.col("_top") > 0)
+    return scored.withColumn("_axis", F.when(cut, (F.array_position("_scores", F.col("_top")) - 1).cast("int"))).drop("_scores", "_top", "_spread")
+
+
+def _descend(queries: DataFrame, levels: Sequence[DataFrame], visit) -> DataFrame:
+    """The leaves that each query comes to."""
+    at, there = queries, []
+    for boxes in levels[1:]:
+        there.append(at.where("NOT _open"))
+        children = boxes.select(F.col("_parent").alias("_cell"), F.col("_cell").alias("_name"), F.concat(
+            F.array(F.col("_rows").cast("double"), F.col("_axis").isNotNull().cast("double")), F.col("_known").cast("array<double>"), "_low", "_high").alias("_numbers"))
+        at = settle(_meet(at.where("_open"), children, visit))
+    return settle(reduce(DataFrame.unionByName, [*there, at])) if there else at
+
+
+def _meet(queries: DataFrame, facts: DataFrame, run) -> DataFrame:
+    """Each query of a cell with all the facts of the cell, of which there are few; a cell of many queries is spread over parts."""
+    counts = settle(queries.groupBy("_cell").agg(F.count(F.lit(1)).alias("_c")).withColumn("_parts", F.ceil(F.col("_c") / QUERIES_PER_PART).cast("int")))
+    asking = attach_by_key(queries, counts, ["_cell"], weight="_c", salt_by=["_id"]).select(
+        "_cell", F.expr("pmod(xxhash64(_id), _parts)").cast("int").alias("_part"), F.lit(True).alias("_ask"), "_id", "_target", F.lit("").alias("_name"), "_numbers")
+    given = attach_by_key(facts, counts, ["_cell"], how="inner").select(
+        "_cell", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(False).alias("_ask"),
+        F.lit(0).cast("long").alias("_id"), F.lit(0).alias("_target"), "_name", "_numbers")
+    ready = given.unionByName(asking).repartition("_cell", "_part").sortWithinPartitions("_cell", "_part", "_ask")
+    return ready.mapInArrow(run[0], run[1])
+
+
+def _per_cell(work: Work, schema: str):
+    """``work`` on the facts of a cell and batches of its queries, as a function over sorted batches of both."""
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, facts, labels = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells, parts, asks, label = (batch.column(c).to_pylist() for c in ("_cell", "_part", "_ask", "_name"))
+            lists = batch.column("_numbers")
+            numbers = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            keys = list(zip(cells, parts, asks))
+            starts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for a, b in zip(starts, starts[1:]):
+                block = numbers[ends[a]:ends[b]].reshape(b - a, -1)
+                if not asks[a]:
+                    if here != keys[a][:2]:
+                        here, facts, labels = keys[a][:2], [], []
+                    facts.append(block)
+                    labels += label[a:b]
+                    continue
+                if here != keys[a][:2]:
+                    raise RuntimeError("the facts of a cell are missing")
+                known, named = np.concatenate(facts), np.array(labels, object)
+                for s in range(0, b - a, QUERIES_AT_ONCE):
+                    rows, columns = work(known, named, block[s:s + QUERIES_AT_ONCE])
+                    at = pa.array(rows + a + s)
+                    yield pa.record_batch([batch.column("_id").take(at), batch.column("_target").take(at), *columns], names=names)
+
+    return run, schema
+
+
+def _nearest_donors(d: int, k: int) -> Work:
+    """The k nearest of the donors of a leaf."""
+    def work(facts, labels, asked):
+        facts = facts[np.argsort(facts[:, d], kind="stable")]
+        squares, shared = np.zeros((len(asked), len(facts))), np.zeros((len(asked), len(facts)))
+        for c in range(d):
+            apart = asked[:, c, None] - facts[None, :, c]
+            both = ~np.isnan(apart)
+            squares += np.where(both, apart * apart, 0.0)
+            shared += both
+        distance = np.where(shared > 0, np.sqrt(squares * (d / np.maximum(shared, 1))), np.inf)
+        order = np.argsort(distance, axis=1, kind="stable")[:, :k]
+        near = np.take_along_axis(distance, order, 1)
+        row, place = np.nonzero(np.isfinite(near))
+        donor = order[row, place]
+        return row, [pa.array(near[row, place]), pa.array(facts[donor, d]), pa.array(facts[donor, d + 1])]
+
+    return work
+
+
+def _cells_to_visit(d: int, k: int, one: bool) -> Work:
+    """The children of a cell that may hold one of the k nearest donors, or the most promising one.
+
+    All donors of a child share with the query at most the columns that any of them has, and at least those that
+    all of them have. The latter have a least distance to the box; the former, for the donors that have the column
+    known best, a greatest one.
     """
-    slabs = max(1, math.ceil(n / rows_per_slab))
-    cuts = min(MAX_CUTS, slabs)
-    parts = math.ceil(slabs / cuts)
-    shares = [i / cuts for i in range(cuts + 1)]
-    row = values.agg(*[F.percentile_approx(f"v{i}", shares, 10 * cuts).alias(f"v{i}") for i in range(d)]).first()
-    edges = [np.unique(np.array(row[f"v{i}"] or [0.0], dtype=float)) for i in range(d)]
-
-    @F.pandas_udf("long")
-    def slab(column: pd.Series, value: pd.Series) -> pd.Series:
-        result = np.zeros(len(value), dtype=np.int64)
-        columns, numbers = column.to_numpy(), value.to_numpy(dtype=float)
-        for p in np.unique(columns):
-            here = columns == p
-            marks = edges[p]
-            x = np.clip(numbers[here], marks[0], marks[-1])
-            at = np.clip(np.searchsorted(marks, x, side="right") - 1, 0, max(len(marks) - 2, 0))
-            if len(marks) > 1:
-                inside = (x - marks[at]) / (marks[at + 1] - marks[at])
-                result[here] = at * parts + np.minimum((inside * parts).astype(np.int64), parts - 1)
-        return pd.Series(result)
-
-    return slab
+    def work(facts, labels, asked):
+        rows, known, low, high = facts[:, 0], facts[:, 2:2 + d], facts[:, 2 + d:2 + 2 * d], facts[:, 2 + 2 * d:2 + 3 * d]
+        shape = (len(asked), len(facts))
+        least, greatest, most, fewest, sure = (np.zeros(shape) for _ in range(5))
+        for c in range(d):
+            x = asked[:, c, None]
+            some = ~np.isnan(x) & (known[None, :, c] > 0)
+            all_ = some & (known[None, :, c] == rows[None, :])
+            gap = np.maximum(np.maximum(low[None, :, c] - x, x - high[None, :, c]), 0.0)
+            far = np.maximum(np.abs(x - low[None, :, c]), np.abs(x - high[None, :, c]))
+            least += np.where(all_, gap * gap, 0.0)
+            greatest += np.where(some, far * far, 0.0)
+            most += some
+            fewest += all_
+            sure = np.maximum(sure, np.where(some, known[None, :, c], 0.0))
+        lower = np.where(most > 0, np.sqrt(least * (d / np.maximum(most, 1))), np.inf)
+        upper = np.where(most > 0, np.sqrt(greatest * (d / np.maximum(fewest, 1))) * SLACK, np.inf)
+        if one:
+            enough = np.where(sure >= k, lower, np.inf)
+            best = enough.min(axis=1, keepdims=True)
+            row = np.arange(len(asked))
+            child = np.argmax(np.where((enough == best) & (np.isfinite(best) | (most > 0)), sure, -1.0), axis=1)
+            bound = asked[:, d]
+        else:
+            order = np.argsort(upper, axis=1)
+            reached = np.cumsum(np.take_along_axis(sure, order, 1), axis=1) >= k
+            at = np.take_along_axis(order, reached.argmax(axis=1)[:, None], 1)
+            limit = np.where(reached.any(axis=1), np.take_along_axis(upper, at, 1)[:, 0], np.inf)
+            bound = np.minimum(asked[:, d], limit)
+            row, child = np.nonzero((lower <= bound[:, None]) & (most > 0))
+            bound = bound[row]
+        place = np.column_stack([asked[row, :d], bound])
+        numbers = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * (d + 1), pa.int32()), pa.array(place.ravel()))
+        return row, [pa.array(labels[child], pa.string()), pa.array(facts[child, 1] > 0), numbers]
+
+    return work

@@ -159,6 +159,13 @@ def impute_knn(spark, folder):
     return filled.select("id", *[F.round(c, 5).alias(c) for c in ("price", "customer", "day")])
 
 
+def impute_knn_sparse(spark, folder):
+    """The price is known in one order of a hundred."""
+    gaps = _order_gaps(spark, folder).withColumn("price", F.when(F.col("id") % 100 == 7, F.col("price")))
+    return knn_impute(gaps.select("id", "price", "customer", "day"), ["price", "customer", "day"]).select(
+        "id", *[F.round(c, 5).alias(c) for c in ("price", "customer", "day")])
+
+
 def impute_iterative(spark, folder):
     filled, _ = handle_missing(with_gaps(spark, folder).drop("l_orderkey", "l_partkey", "l_suppkey"), "iterative")
     return filled.groupBy("l_linestatus").agg(*[F.round(F.avg(c), 3).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount")])
@@ -247,7 +254,7 @@ def database_rows(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     stream_decode, stream_alerts, stream_window_rate, stream_window_rate_all, stream_well_states, window_rate, stream_bad_records, stream_cards, mask_exact_share,
-    mask_random_cells, noise_effect, impute_knn, impute_iterative, impute_forest, classifier_flow, damage_classifier,
+    mask_random_cells, noise_effect, impute_knn, impute_knn_sparse, impute_iterative, impute_forest, classifier_flow, damage_classifier,
     clusters, processing_run, processing_run_forest, database_rows)}
 
 _RULES_FIRED = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in RULE_SQL.values())
@@ -271,6 +278,13 @@ def _knn(target: str) -> str:
   WHERE q.{target} IS NULL AND d.{target} IS NOT NULL AND ({shared}) > 0)) WHERE rn <= 5 GROUP BY 1)"""
 
 
+def _knn_filled(gapped: str) -> str:
+    names = ("price", "customer", "day")
+    filled = ", ".join(f"ROUND(COALESCE(g.{c}, k_{c}.v, (SELECT avg({c}) FROM gapped)), 5) AS {c}" for c in names)
+    joins = " ".join(f"LEFT JOIN knn_{c} k_{c} ON k_{c}.id = g.id" for c in names)
+    return f"WITH {', '.join([gapped, *[_knn(c) for c in names]])} SELECT g.id, {filled} FROM gapped g {joins}"
+
+
 _LIMITS = ["temp", "press", "flow", "perm", "por", "visc"]
 
 SQL = {
@@ -297,9 +311,8 @@ SELECT key, count(*) AS n_cards, CAST(sum(length(card)) AS BIGINT) AS n_chars, m
         f"SELECT '{c}' AS \"column\", " + ("CAST(0 AS BIGINT)" if c in KEYS else "CAST(floor(count(*) * 0.05e0) AS BIGINT)")
         + " AS n_missing, count(*) AS n_rows FROM lineitem" for c in _LI),
     "noise_effect": "SELECT l_linestatus, count(*) AS n_rows, 0.5e0 AS mean, 0.1e0 AS std FROM lineitem GROUP BY 1",
-    "impute_knn": "WITH " + ", ".join([_GAPPED, *[_knn(c) for c in ("price", "customer", "day")]]) + """
-SELECT g.id, """ + ", ".join(f"ROUND(COALESCE(g.{c}, k_{c}.v, (SELECT avg({c}) FROM gapped)), 5) AS {c}" for c in ("price", "customer", "day"))
-        + " FROM gapped g " + " ".join(f"LEFT JOIN knn_{c} k_{c} ON k_{c}.id = g.id" for c in ("price", "customer", "day")),
+    "impute_knn": _knn_filled(_GAPPED),
+    "impute_knn_sparse": _knn_filled(_GAPPED.replace("CASE WHEN o_orderkey % 23 <> 0 THEN", "CASE WHEN o_orderkey % 23 <> 0 AND o_orderkey % 100 = 7 THEN")),
     "processing_run": over(TELEMETRY) + """, raw AS (SELECT CASE WHEN order_id % 20 <> 0 THEN ROUND(reservoir_temperature) END AS temp,
   CASE WHEN part_id % 25 <> 0 THEN weight_on_bit * CASE WHEN part_id % 97 = 0 THEN 10e0 ELSE 1e0 END END AS press,
   CAST(line_id AS DOUBLE) AS flow, part_id % 9 + 1e0 AS perm, part_id % 5 + 1e0 AS por,
