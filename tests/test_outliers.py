@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wellspring.operators.isolation import isolation_flags, isolation_scores
+from wellspring.operators.isolation import isolation_flags, isolation_scores, tree_samples
 from wellspring.operators.keyed import attach_by_key, fits_broadcast
 from wellspring.operators.outliers import flag_outliers, outlier_counts, split_by_flag
 from wellspring.operators import quantiles
@@ -112,3 +112,28 @@ def test_isolation_forest_finds_planted_rows(spark):
     assert abs(len(found) / len(rows) - 0.02) < 0.005
     scores = isolation_scores(df, ["a", "b"]).agg(F.min("anomaly_score"), F.max("anomaly_score")).first()
     assert 0 < scores[0] < 0.5 < scores[1] < 1
+
+
+def test_isolation_forest_does_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), None if i % 9 == 0 else float("nan") if i % 9 == 1 else float(b)) for i, (a, b) in enumerate(rng.normal(size=(3000, 2)))]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    samples = tree_samples(df, ["a"], 10, 64, 1)
+    assert {r["count"] for r in samples.groupBy("tree").count().collect()} == {64}
+    assert samples.select("tree", "x0").distinct().count() == 640
+
+    def scores(frame):
+        return [r[0] for r in isolation_scores(frame, ["a", "b"], trees=20).orderBy("id").select(F.round("anomaly_score", 9)).collect()]
+
+    assert scores(df.coalesce(1)) == scores(df.repartition(7, "a"))
+
+
+def test_isolation_samples_of_repeated_and_few_rows(spark):
+    """A third of the rows are one row: it counts once. A limit that lets too few through is raised."""
+    df = spark.range(900).selectExpr("IF(id % 3 = 0, -1, id) AS a")
+    samples = tree_samples(df, ["a"], 4, 700, 1)
+    assert sorted(r["count"] for r in samples.groupBy("tree").count().collect()) == [601] * 4
+    drawn = tree_samples(df, ["a"], 4, 256, 1)
+    assert {r["count"] for r in drawn.groupBy("tree").count().collect()} == {256}
+    assert drawn.where("x0 = -1").groupBy("tree").count().where("count > 1").isEmpty()
+    assert tree_samples(df.limit(0), ["a"], 4, 256, 1).isEmpty()

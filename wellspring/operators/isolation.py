@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wellspring.functions.nulls import number, numeric_columns
 from wellspring.operators.quantiles import EXACT_LIMIT, column_percentiles
@@ -21,6 +22,8 @@ from wellspring.session import settle, spread
 
 TREES = 100
 SAMPLE = 256
+EXTRA = 40  # rows let through for each tree besides twice the sample
+LEAST_LONG, MOST_LONG = -(1 << 63), (1 << 63) - 1
 NODE = "tree int, node int, feature int, cut double, below int, above int, length double"
 
 
@@ -33,19 +36,26 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
-def tree_samples(df: DataFrame, columns: Sequence[str], trees: int, sample: int, seed: int) -> DataFrame:
-    """``sample`` rows for each tree (all rows if there are fewer), drawn without replacement within a tree."""
-    n = df.count()
-    wanted = min(1.0, 1.5 * sample / max(n, 1) + 20.0 / max(n, 1))
-    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    if wanted * trees <= 0.5:
-        drawn = values.where(F.rand(seed) < wanted * trees).withColumn("tree", (F.rand(seed + 1) * trees).cast("int"))
-    else:
-        copies = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-        drawn = values.withColumn("tree", copies).where(F.rand(seed) < wanted)
-    ranked = drawn.withColumn("_draw", F.rand(seed + 2))
-    place = F.row_number().over(Window.partitionBy("tree").orderBy("_draw"))
-    return settle(ranked.withColumn("_place", place).where(F.col("_place") <= sample).drop("_draw", "_place"))
+def tree_samples(df: DataFrame, columns: Sequence[str], trees: int, sample: int, seed: int, by: Sequence[str] | None = None) -> DataFrame:
+    """``sample`` different rows for each tree (all, if there are fewer): those with the smallest hashes of row, tree and seed.
+
+    The hash covers the columns ``by``, all if not given, so the draw does not depend on how the rows lie in partitions, and rows equal in
+    all of them count once. Only hashes below a limit are shuffled. The limit lets through about twice as many as are wanted
+    and is raised until every tree has its rows; it does not change which rows are the smallest.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if f.name in (by or df.columns) and not isinstance(f.dataType, T.MapType)]
+    rows = df.select(F.xxhash64(*hashed).alias("_row"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    share = min(1.0, (2 * sample + EXTRA) / max(df.count(), 1))
+    while True:
+        limit = int(share * (MOST_LONG - LEAST_LONG)) + LEAST_LONG if share < 1 else MOST_LONG
+        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.xxhash64("_row", tree, F.lit(seed)) <= limit)
+        drawn = rows.withColumn("tree", F.explode(chosen)).dropDuplicates(["tree", "_row"])
+        place = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("_row", "tree", F.lit(seed)), "_row"))
+        taken = settle(drawn.withColumn("_place", place).where(F.col("_place") <= sample).drop("_row", "_place"))
+        full = taken.groupBy("tree").count().where(F.col("count") >= sample).count()
+        if share >= 1 or full == trees:
+            return taken
+        share = min(1.0, 4 * share)
 
 
 def _grow(seed: int, depth_limit: int, width: int):
@@ -78,25 +88,29 @@ def _grow(seed: int, depth_limit: int, width: int):
 
 def isolation_scores(df: DataFrame, columns: Sequence[str] | None = None, trees: int = TREES, sample: int = SAMPLE,
                      seed: int = 42, name: str = "anomaly_score") -> DataFrame:
-    """Add the anomaly score between 0 and 1 of each row over the numeric columns; null and NaN count as the column mean."""
+    """Add the anomaly score between 0 and 1 of each row over the numeric columns; null and NaN count as the column mean.
+
+    The trees are grown from ``tree_samples``: the same table gives the same forest, however its rows are laid out.
+    """
     columns = list(columns or numeric_columns(df))
     means = df.agg(*[F.avg(number(F.col(f"`{c}`"))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     whole = [F.coalesce(number(F.col(f"`{c}`")), F.lit(means[f"m{i}"] or 0.0)) for i, c in enumerate(columns)]
     ready = df.withColumns({f"_x{i}": w for i, w in enumerate(whole)})
     names = [f"_x{i}" for i in range(len(columns))]
-    samples = tree_samples(ready, names, trees, sample, seed)
+    samples = tree_samples(ready, names, trees, sample, seed, df.columns)  # the means may differ in the last bit
     size = samples.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
     limit = max(1, math.ceil(math.log2(max(size, 2))))
     forest = samples.groupBy("tree").applyInPandas(_grow(seed, limit, len(columns)), NODE).toPandas()
     forest = forest.sort_values(["tree", "node"])
     grown = [g[["feature", "cut", "below", "above", "length"]].to_numpy(dtype=float) for _, g in forest.groupby("tree")]
     scale = average_path(size) or 1.0
+    forest_of_all = df.sparkSession.sparkContext.broadcast(grown)  # trees x at most 2 x sample nodes
 
     @F.pandas_udf("double")
     def score(*values: pd.Series) -> pd.Series:
         data = np.column_stack([v.to_numpy(dtype=float) for v in values])
         rows = np.arange(len(data))
-        total = np.zeros(len(data))
+        total, grown = np.zeros(len(data)), forest_of_all.value
         for nodes in grown:
             feature, below, above = (nodes[:, i].astype(np.int64) for i in (0, 2, 3))
             at = np.zeros(len(data), dtype=np.int64)
