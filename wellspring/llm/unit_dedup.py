@@ -191,21 +191,23 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The spans are offsets in the original text, in order; a cut span takes one separator with it. Units below
     ``min_words`` words are never cut. Null text stays null. Rows that repeat an id and its text count as one
-    document; of equal lines inside a document the first stays. An empty table gives an empty result.
+    document; of equal lines inside a document the first stays. Rows without id have no rank: they stay whole, and nothing is
+    cut for what they hold. An empty table gives an empty result; further columns are ignored.
 
     With ``run_words`` (the separator must be white space) every run of so many words that occurs earlier is cut as well, wherever it
     begins and ends and whatever the lines; unit is then the one in which the span begins. What is cut as a unit is no occurrence.
     """
     if run_words and not separator.isspace():
         raise ValueError("runs of words need a separator of white space")
-    removed = repeated_units(docs, id_col, text_col, separator, min_words).distinct()
+    ranked = docs.where(F.col(f"`{id_col}`").isNotNull())
+    removed = repeated_units(ranked, id_col, text_col, separator, min_words).distinct()
     spans = settle(removed.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct(
         F.col("_unit").alias("unit"), F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_first").alias("first_id")))).alias("_spans")))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     rows = attach_by_key(rows, spans, ["_id"], salt_by=["_id"])
     if run_words:
         rows = settle(rows)
-        rows = attach_by_key(rows, settle(repeated_runs(rows, run_words, separator)), ["_id"], salt_by=["_id"])
+        rows = attach_by_key(rows, settle(repeated_runs(rows.where("_id IS NOT NULL"), run_words, separator)), ["_id"], salt_by=["_id"])
     kind = spans.schema["_spans"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
