@@ -371,3 +371,21 @@ def test_pipeline_stages_keep_columns(spark, sf):
     ids = {r["doc_id"] for r in packed.select("doc_id").distinct().collect()}
     judged = by_id(quality_rules.judge_quality(spark.read.parquet(f"{sf}/documents.parquet")))
     assert ids and all(judged[i]["kept"] for i in ids)
+
+
+@pytest.mark.parametrize("run_words", [0, 50])
+def test_repeats_in_rows_without_id(spark, run_words):
+    """They are no document together: none is cut, and none makes another lose a line."""
+    line, own = " ".join(f"w{i}" for i in range(60)), "a line of its own with a few more words"
+    rows = [(None, line + "\n" + own), (None, "zz\n" + line), (1, own), (2, line), (3, line)]
+    got = unit_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), run_words=run_words)
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in got.collect())
+    assert left == sorted([(0, line + "\n" + own), (0, "zz\n" + line), (1, own), (2, line), (3, "")])
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, "one two three", "ab"[i % 2], i, i * 10, None if i % 2 else 3) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copy long, _copies long, _salt long")
+    got = mixing.apply_mix(docs)
+    assert got.columns == docs.columns and got.count() > 0
+    assert all(r["_copy"] == r["doc_id"] and r["_copies"] == r["doc_id"] * 10 for r in got.collect())

@@ -92,13 +92,17 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """``docs`` with each row repeated as often as the mix takes it, columns unchanged.
 
     Documents stay whole: the one at a source's cut is taken if at least half of its words are. Ids should be
-    unique; rows that share an id are taken as often as the first of them.
+    unique; rows that share an id are taken as often as the one of them that is taken most. Rows without id count as sharing one.
+    Further columns are kept, whatever their names.
     """
     mixed = mix_sources(docs, id_col, text_col, source_col, weights, most, seed)
     copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest(F.col("size"), F.lit(1))))).otherwise(0)
-    copies = settle(mixed.groupBy(id_col).agg(F.max(copies).cast("int").alias("_copies")).where("_copies > 0"))
+    many = "_copies"
+    while many in docs.columns:
+        many += "_"
+    copies = settle(mixed.groupBy(id_col).agg(F.max(copies).cast("int").alias(many)).where(F.col(many) > 0))
     joined = attach_by_key(docs, copies, [id_col], how="inner", salt_by=[id_col])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies")
+    return joined.withColumn(many, F.explode(F.sequence(F.lit(1), F.col(many)))).drop(many)
 
 
 ORACLE = """
