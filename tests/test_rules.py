@@ -7,7 +7,7 @@ from wellspring.operators.combination_rules import (
 )
 from wellspring.operators.damage import damage_score, damage_type, depth_band, drilling_direction, is_controllable, phase_by_age
 from wellspring.operators.features import add_features, standard_scale
-from wellspring.operators.layers import completion_by_well, layer_lookup
+from wellspring.operators.layers import LAYERS_PER_BUCKET, _bucket, completion_by_well, layer_lookup
 from wellspring.operators.mud import fill_chloride, missing_fields, mud_program, program_table
 from wellspring.operators.validation import (
     InvalidData, range_violations, require_rows, required_columns_report, suspicious_summary, validate_structure,
@@ -136,6 +136,22 @@ def test_layer_lookup_edges(spark):
     assert kinds == {1: ("Cased", 30), 2: ("Open Hole", 10)}
 
 
+def test_layers_of_a_finely_layered_well(spark):
+    """One shallow well of 6000 layers among deep wells of two: its buckets stay small and every row finds its layer."""
+    fine = spark.range(6000).selectExpr("0L AS well_id", "id / 10 AS top", "(id + 1) / 10 AS bottom", "concat('f', id) AS formation")
+    coarse = spark.range(1, 40).selectExpr("id AS well_id", "explode(array(0, 9000)) AS low").selectExpr(
+        "well_id", "CAST(low AS DOUBLE) AS top", "low + 9000.0D AS bottom", "concat('c', low) AS formation")
+    layers = fine.unionByName(coarse)
+    rows = spark.range(8000).selectExpr("IF(id % 2 = 0, 0L, id % 40) AS well_id", "id * 0.074D AS depth", "id")
+    found = {r["id"]: r for r in layer_lookup(rows, layers).collect()}
+    assert len(found) == 8000
+    for r in found.values():
+        assert r["top"] <= r["depth"] < r["bottom"] and r["formation"][0] == "cf"[r["well_id"] == 0]
+    facts = layers.groupBy("well_id").agg(F.min("top").alias("_first_top"), F.max("bottom").alias("_last_bottom"), F.count(F.lit(1)).alias("_layers"))
+    sizes = layers.join(facts, "well_id").groupBy("well_id", _bucket("top")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= LAYERS_PER_BUCKET + 1
+
+
 def test_mud_program_choices(spark):
     rows = [(20.0, "Sandstone", False, False, False), (100.0, "Sandstone", False, False, True), (1200.0, "Shale", False, False, False),
             (400.0, "Limestone", False, False, False), (2500.0, "Limestone", False, False, False), (2000.0, "Sandstone", False, True, True),

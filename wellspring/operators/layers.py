@@ -9,7 +9,7 @@ from wellspring.functions.nulls import holds, lookup
 from wellspring.operators.keyed import attach_by_key, fits_broadcast, null_safe_join
 from wellspring.session import settle
 
-BUCKETS = 64
+LAYERS_PER_BUCKET = 16
 FEW_LAYERS = 64
 
 # Attributes of the known formations; a missing entry has no value of its own.
@@ -56,18 +56,19 @@ def layer_lookup(rows: DataFrame, layers: DataFrame, well: str = "well_id", dept
     marked ``reservoir``, if the well has one. ``layers`` has ``well``, ``top``, ``bottom`` and any
     further columns; a row above all layers keeps nulls.
 
-    A small layer table with few layers per well is broadcast. Otherwise layers are put into depth
-    buckets, so the join has (well, bucket) as equal keys and looks at the few layers of one bucket.
+    A small layer table with few layers per well is broadcast. Otherwise the depths of each well are cut
+    into buckets of its own, as many as its layers ask for, so the join has (well, bucket) as equal keys and
+    looks at the few layers of one bucket, however deep or finely layered another well is.
     """
     layers = settle(layers)
     reservoir_top = F.min(F.when(holds(F.col("reservoir")), F.col("top"))) if "reservoir" in layers.columns else F.lit(None)
     wells = settle(layers.groupBy(well).agg(
         F.max_by("top", F.struct("bottom", "top")).alias("_last_top"),
-        F.max("bottom").alias("_last_bottom"),
+        F.max("bottom").alias("_last_bottom"), F.min("top").alias("_first_top"),
         reservoir_top.cast("double").alias("_reservoir_top"), F.count(F.lit(1)).alias("_layers"),
     ))
-    deepest, most = wells.agg(F.max("_last_bottom"), F.max("_layers")).first()
-    known = attach_by_key(rows, wells.drop("_layers"), [well], salt_by=[depth])
+    most = wells.agg(F.max("_layers")).first()[0]
+    known = attach_by_key(rows, wells, [well], salt_by=[depth])
     searched = F.when(F.col(depth) >= F.col("_last_bottom"), F.col("_last_top")).otherwise(F.col(depth))
     if horizontal is not None:
         searched = F.when(holds(F.col(horizontal)) & F.col("_reservoir_top").isNotNull(), F.col("_reservoir_top")).otherwise(searched)
@@ -76,12 +77,18 @@ def layer_lookup(rows: DataFrame, layers: DataFrame, well: str = "well_id", dept
     if (most or 0) <= few_layers and fits_broadcast(layers):
         found = null_safe_join(known, F.broadcast(layers), [well], "left", inside)
     else:
-        width = float(deepest or 1.0) / BUCKETS
-        bucketed = layers.where(F.col("bottom") > F.col("top")).withColumn(
-            "_bucket", F.explode(F.sequence(F.floor(F.col("top") / width), F.floor(F.col("bottom") / width))))
-        placed = known.withColumn("_bucket", F.floor(F.col("_searched") / width))
-        found = attach_by_key(placed, bucketed, [well, "_bucket"], also=inside, salt_by=[depth])
-    return found.drop("_last_top", "_last_bottom", "_reservoir_top", "_searched", "_bucket")
+        thick = layers.where(F.col("bottom") > F.col("top"))
+        placed = attach_by_key(thick, wells.select(well, "_first_top", "_last_bottom", "_layers"), [well], weight="_layers", salt_by=["top"])
+        bucketed = placed.withColumn("_bucket", F.explode(F.sequence(_bucket("top"), _bucket("bottom")))).drop("_first_top", "_last_bottom", "_layers")
+        found = attach_by_key(known.withColumn("_bucket", _bucket("_searched")), settle(bucketed), [well, "_bucket"], also=inside, salt_by=[depth])
+    return found.drop("_last_top", "_last_bottom", "_first_top", "_layers", "_reservoir_top", "_searched", "_bucket")
+
+
+def _bucket(depth: str) -> Column:
+    """The bucket of a depth among those of its well, between its first top and last bottom."""
+    parts = F.ceil(F.col("_layers") / LAYERS_PER_BUCKET)
+    share = (F.col(depth) - F.col("_first_top")) / F.nullif(F.col("_last_bottom") - F.col("_first_top"), F.lit(0.0))
+    return F.floor(share * parts).cast("long")
 
 
 def completion_by_well(layers: DataFrame, well: str = "well_id") -> DataFrame:
