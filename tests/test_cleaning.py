@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wellspring.functions.nulls import holds, nan_to_null
+from wellspring.operators import chained
 from wellspring.operators.chained import iterative_impute
 from wellspring.operators.duplicates import duplicate_count, remove_duplicates
 from wellspring.operators.imputation import column_medians, handle_missing
@@ -12,6 +13,7 @@ from wellspring.operators.learning import forest_impute
 from wellspring.operators.masking import add_noise, chance, mask_cells, mask_share
 from wellspring.operators.neighbours import knn_impute
 from wellspring.operators.profile import contract_nulls, missing_ranked, null_profile
+from wellspring.session import settle
 
 
 def test_three_wells_are_filled(three_wells):
@@ -149,6 +151,24 @@ def test_iterative_finds_a_linear_relation(spark):
     assert np.abs(got - x).max() < 1e-2
 
 
+def test_iterative_by_patterns_equals_by_columns(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(500, 2))
+    x = np.column_stack([base[:, 0] * 4 + 7, base[:, 1], base.sum(axis=1) + rng.normal(size=500) * 0.1, base[:, 0] - base[:, 1]])
+    holes = rng.random(x.shape) < [0.3, 0.0, 0.2, 0.1]
+    rows = [(i, *[None if h else float(v) for v, h in zip(r, g)], None) for i, (r, g) in enumerate(zip(x, holes))]
+    df = spark.createDataFrame(rows, "i int, `a.b` double, b double, c double, d double, hollow double")
+    names, written = ["a.b", "b", "c", "d"], []
+    monkeypatch.setattr(chained, "settle", lambda table: written.append(table) or settle(table))
+    one = iterative_impute(df, [*names, "hollow"]).orderBy("i").toPandas()
+    assert len(written) == 1 and one.columns.tolist() == df.columns and one["hollow"].isna().all()
+    two = iterative_impute(df, [*names, "hollow"], pattern_bytes=0).orderBy("i").toPandas()
+    assert len(written) > 2
+    one, two = one[names].to_numpy(), two[names].to_numpy()
+    assert np.allclose(one, two, atol=1e-8) and (one[~holes] == x[~holes]).all()
+    assert np.abs(one - x)[holes].sum() < 0.5 * np.abs(x.mean(axis=0) - x)[holes].sum()
+
+
 def test_forest_imputation(spark):
     rows = [(i, float(i % 10), 5.0 * (i % 10) if i % 6 else None, ("low" if i % 10 < 5 else "high") if i % 7 else None) for i in range(400)]
     df = spark.createDataFrame(rows, "id int, x double, y double, t string")
@@ -179,7 +199,7 @@ def test_null_rules(spark):
 
 def test_masking(spark):
     df = spark.range(5000).select("id", (F.col("id") * 1.0).alias("x"), F.lit("t").alias("t"))
-    masked = mask_share(df, ["id"], share=0.05, exact_limit=500)
+    masked = mask_share(df, ["id"], share=0.05, cells=8)
     counts = masked.agg(F.count_if(F.col("x").isNull()), F.count_if(F.col("t").isNull()), F.count("*")).first()
     assert tuple(counts) == (250, 250, 5000)
     share = mask_cells(df, ["id"], percent=20.0).agg(F.avg(F.col("x").isNull().cast("int"))).first()[0]

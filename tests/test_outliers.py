@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from wellspring.operators.isolation import isolation_flags, isolation_scores, tree_samples
 from wellspring.operators.keyed import attach_by_key, fits_broadcast
 from wellspring.operators.outliers import flag_outliers, outlier_counts, split_by_flag
-from wellspring.operators import quantiles
+from wellspring.operators import keyed, ordered, quantiles
 from wellspring.operators.quantiles import approximate_percentiles, column_percentiles, grouped_percentiles, order_statistics
+from wellspring.session import settle
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +41,21 @@ def test_grouped_percentiles_when_the_sketch_misses(skewed, monkeypatch):
         np.testing.assert_allclose(got[k], want[k], rtol=1e-12)
 
 
+def test_long_groups_need_no_sort_merge_join(spark, skewed, monkeypatch):
+    plans, threshold = [], "spark.sql.autoBroadcastJoinThreshold"
+    for module in (quantiles, keyed, ordered):
+        monkeypatch.setattr(module, "settle", lambda table: plans.append(table) or settle(table))
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        found = grouped_percentiles(skewed, ["k"], ["v", "w"], [0.25, 0.75], exact_limit=300)
+        texts = [table._jdf.queryExecution().executedPlan().toString() for table in [*plans, found]]
+    finally:
+        spark.conf.set(threshold, before)
+    assert len(texts) > 3 and any("BroadcastHashJoin" in t for t in texts)
+    assert not any("SortMergeJoin" in t or "ShuffledHashJoin" in t for t in texts)
+
+
 def test_grouped_percentiles_with_an_empty_column(spark):
     df = spark.range(100).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
     got = {r["k"]: r for r in grouped_percentiles(df, ["k"], ["a", "b"], [0.5], exact_limit=10).collect()}

@@ -27,7 +27,7 @@ def has_column(df: DataFrame, name: str) -> bool:
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN becomes NULL: Spark sorts NaN above all numbers and lets it poison averages."""
     floating = {f.name: f.dataType for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(kind)) for c, kind in floating.items()}) if floating else df
+    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast(kind)) for c, kind in floating.items()}) if floating else df
 
 
 def number(column: Column) -> Column:

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.functions.nulls import numeric_columns
-from wellspring.operators.quantiles import EXACT_LIMIT, order_statistics
 
 BITS = 53
+CELLS = 4096
+SPREAD = 7.0
 
 
 def chance(keys: Sequence[str], *salt: object) -> Column:
@@ -25,17 +26,65 @@ def chance(keys: Sequence[str], *salt: object) -> Column:
 
 
 def mask_share(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, share: float = 0.05,
-               seed: int = 42, exact_limit: int = EXACT_LIMIT) -> DataFrame:
-    """Set exactly int(share * rows) cells of each column to null: those with the smallest draws."""
+               seed: int = 42, cells: int = CELLS) -> DataFrame:
+    """Set exactly int(share * rows) cells of each column to null: those with the smallest draws.
+
+    After the count one scan finds the limits of all columns, see ``draw_limits``. Rows with equal keys draw
+    alike, so there a column may lose more cells.
+    """
     columns = [c for c in (columns or df.columns) if c not in keys]
-    n = int(share * df.count())
+    n_rows = df.count()
+    n = int(share * n_rows)
     if n == 0 or not columns:
         return df
-    draws = df.withColumns({f"_draw_{c}": chance(keys, c, seed) for c in columns})
-    limits = order_statistics(draws, {f"_draw_{c}": n - 1 for c in columns}, exact_limit)
-    return df.withColumns({
-        c: F.when(chance(keys, c, seed) > F.lit(limits[f"_draw_{c}"]), F.col(f"`{c}`")) for c in columns
-    })
+    draws = {c: chance(keys, c, seed) for c in columns}
+    limits = draw_limits(df, draws, n, n_rows, cells)
+    return df.withColumns({c: F.when(draws[c] > F.lit(limits[c]), F.col(f"`{c}`")) for c in columns})
+
+
+def draw_limits(df: DataFrame, draws: dict[str, Column], n: int, n_rows: int, cells: int = CELLS) -> dict[str, float]:
+    """The n-th smallest of each column of even draws in [0, 1) over ``n_rows`` rows.
+
+    It lies within ``SPREAD`` standard deviations of n / n_rows, all but certainly. That stretch is cut into
+    cells of equal width and only the draws in it are told apart: count, least and greatest draw for each
+    cell, besides the number of those below. A wanted draw that is the first or last of its cell is found;
+    otherwise its cell is cut again, and where a stretch misses it, the rest of the range.
+    """
+    part = n / n_rows
+    reach = SPREAD * math.sqrt(part * (1 - part) / n_rows) + 1.0 / n_rows
+    stretch = {name: (max(0.0, part - reach), min(1.0, part + reach)) for name in draws}
+    limits: dict[str, float] = {}
+    names = list(draws)
+    while len(limits) < len(names):
+        places = []
+        for i, name in enumerate(names):
+            if name in limits:
+                continue
+            draw, (low, high) = draws[name], stretch[name]
+            cell = F.when(draw < low, -1).otherwise(F.least(F.floor((draw - low) / F.lit((high - low) / cells)), F.lit(cells - 1)))
+            places.append(F.when(draw <= high, F.struct(F.lit(i).alias("i"), cell.cast("int").alias("cell"), draw.alias("draw"))))
+        found = (
+            df.select(F.inline(F.array_compact(F.array(*places)))).groupBy("i", "cell")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("low"), F.max("draw").alias("high")).collect()
+        )
+        for i, name in enumerate(names):
+            if name in limits:
+                continue
+            left, (low, high) = n, stretch[name]
+            for row in sorted((r for r in found if r["i"] == i), key=lambda r: r["cell"]):
+                if left > row["n"]:
+                    left -= row["n"]
+                    continue
+                if row["cell"] < 0:
+                    stretch[name] = (0.0, low)
+                elif left in (1, row["n"]) or row["low"] == row["high"]:
+                    limits[name] = row["low"] if left == 1 else row["high"]
+                else:
+                    stretch[name] = (row["low"], row["high"])
+                break
+            else:
+                stretch[name] = (high, 1.0)
+    return limits
 
 
 def mask_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, percent: float = 5.0,

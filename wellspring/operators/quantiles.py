@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.operators.keyed import attach_by_key, null_safe_join
+from wellspring.operators.keyed import attach_by_key
 from wellspring.operators.ordered import running_totals
 from wellspring.session import settle
 
@@ -150,9 +150,10 @@ def grouped_percentiles(df: DataFrame, keys: Sequence[str], columns: Sequence[st
         sizes = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")))
     if (sizes.agg(F.max("n_rows")).first()[0] or 0) <= exact_limit:
         return df.groupBy(*keys).agg(*built_in)
-    long_keys = sizes.where(F.col("n_rows") > exact_limit).select(*keys)
-    ordinary = null_safe_join(df, long_keys, keys, "left_anti").groupBy(*keys).agg(*built_in)
-    long = null_safe_join(df, long_keys, keys, "left_semi")
+    long_keys = settle(sizes.where(F.col("n_rows") > exact_limit).select(*keys, F.col("n_rows").alias("_long")))
+    rows = attach_by_key(df.select(*keys, *columns), long_keys, keys, weight="_long", salt_by=columns)
+    ordinary = rows.where(F.col("_long").isNull()).groupBy(*keys).agg(*built_in)
+    long = rows.where(F.col("_long").isNotNull()).drop("_long")
     return ordinary.unionByName(_long_group_percentiles(long, keys, columns, shares, exact_limit))
 
 
@@ -168,13 +169,13 @@ def _long_group_percentiles(df, keys, columns, shares, exact_limit) -> DataFrame
     wanted = F.lit(True)
     for i, c in enumerate(columns):
         wanted = wanted & ((F.col(f"_n{i}") == 0) | F.forall(f"{c}_p", lambda v: v.isNotNull()))
-    checked = null_safe_join(bounds.select(*keys, *[f"_n{i}" for i in range(len(columns))]), enclosed, keys)
-    missed = settle(checked.where(~F.coalesce(wanted, F.lit(False))).select(*keys))
+    checked = attach_by_key(bounds.select(*keys, "_rows", *[f"_n{i}" for i in range(len(columns))]), enclosed, keys)
+    missed = settle(checked.where(~F.coalesce(wanted, F.lit(False))).select(*keys, F.col("_rows").alias("_again")))
     result = [f"{c}_p" for c in columns]
     if missed.isEmpty():
         return checked.select(*keys, *result)
-    again = null_safe_join(df, missed, keys, "left_semi")
-    return null_safe_join(checked, missed, keys, "left_anti").select(*keys, *result).unionByName(
+    again = attach_by_key(df, missed, keys, weight="_again", salt_by=columns).where(F.col("_again").isNotNull()).drop("_again")
+    return attach_by_key(checked, missed, keys).where(F.col("_again").isNull()).select(*keys, *result).unionByName(
         _ranks_by_counting(again, keys, columns, shares, exact_limit, bounds, False).select(*keys, *result))
 
 
@@ -196,13 +197,13 @@ def _ranks_by_counting(df, keys, columns, shares, rows_per_run, bounds, enclosed
         rows.select(*keys, F.explode(cells).alias("_cell")).groupBy(*keys, "_cell._i", "_cell._j", "_cell._value")
         .agg(F.count(F.lit(1)).alias("_copies")))
     before = rows.groupBy(*keys).agg(*[F.count_if(below[t]).alias(f"_b{t[0]}_{t[1]}") for t in targets])
-    starts = null_safe_join(bounds, before, keys).select(*keys, F.inline(F.array(*[
+    starts = attach_by_key(bounds, settle(before), keys).select(*keys, F.inline(F.array(*[
         F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"_b{i}_{j}").alias("_before"),
                  (F.lit(shares[j]) * (F.col(f"_n{i}") - 1)).alias("_place"))
         for i, j in targets
     ])))
     reached = running_totals(counted, groups, ["_value"], {"_upto": F.col("_copies")}, True, rows_per_run)
-    placed = null_safe_join(reached, starts, groups).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    placed = attach_by_key(reached, settle(starts), groups, salt_by=["_value"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
 
     def at(rank):
         return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_copies")), F.col("_value")))

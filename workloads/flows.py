@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from wellspring.functions.text import iso_time
 from wellspring.operators import learning
+from wellspring.operators.chained import iterative_impute
 from wellspring.operators.damage import damage_type
 from wellspring.operators.imputation import handle_missing
 from wellspring.operators.layers import formation_additives
@@ -128,7 +129,7 @@ def stream_cards(spark, folder):
 
 
 def mask_exact_share(spark, folder):
-    masked = mask_share(table(spark, folder, "lineitem"), KEYS, share=0.05, exact_limit=20_000)
+    masked = mask_share(table(spark, folder, "lineitem"), KEYS, share=0.05)
     return null_profile(masked).select("column", "n_missing", "n_rows")
 
 
@@ -171,6 +172,22 @@ def impute_iterative(spark, folder):
     return filled.groupBy("l_linestatus").agg(*[F.round(F.avg(c), 3).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount")])
 
 
+def impute_iterative_relations(spark, folder):
+    """Three readings that follow from the quantity, with a gap in one of them at most: how many cells are as they were."""
+    tel, o, p, n = telemetry(spark, folder), F.col("order_id"), F.col("part_id"), F.col("line_id")
+    whole = tel.select("well_id", "order_id", "line_id", "part_id", (F.col("viscosity") / 1.6 * 5).alias("weight"), "viscosity",
+                       "reservoir_temperature", "rop")
+    holes = {"weight": (o + n) % 7 == 0, "viscosity": (o + n) % 5 == 0, "reservoir_temperature": (p + n) % 11 == 0, "rop": p % 13 == 0}
+    holes["viscosity"] &= ~holes["weight"]
+    holes["reservoir_temperature"] &= ~holes["weight"] & ~holes["viscosity"]
+    kept = whole.withColumns({f"true_{c}": F.col(c) for c in holes}).withColumns({f"gap_{c}": hole for c, hole in holes.items()})
+    filled = iterative_impute(kept.withColumns({c: F.when(~F.col(f"gap_{c}"), F.col(c)) for c in holes}), list(holes))
+    return filled.groupBy("well_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col(c).isNotNull()).alias(f"n_{c}") for c in holes],
+        *[F.count_if(~F.col(f"gap_{c}") & (F.col(c) != F.col(f"true_{c}"))).alias(f"changed_{c}") for c in holes],
+        *[F.count_if(F.abs(F.col(c) - F.col(f"true_{c}")) < 0.5).alias(f"right_{c}") for c in holes if c != "rop"])
+
+
 def impute_forest(spark, folder):
     filled, _ = learning.forest_impute(_order_gaps(spark, folder), ["price", "priority"], trees=20, max_depth=5)
     return filled.groupBy("priority").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("price"), 1).alias("price"))
@@ -254,7 +271,7 @@ def database_rows(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     stream_decode, stream_alerts, stream_window_rate, stream_window_rate_all, stream_well_states, window_rate, stream_bad_records, stream_cards, mask_exact_share,
-    mask_random_cells, noise_effect, impute_knn, impute_knn_sparse, impute_iterative, impute_forest, classifier_flow, damage_classifier,
+    mask_random_cells, noise_effect, impute_knn, impute_knn_sparse, impute_iterative, impute_iterative_relations, impute_forest, classifier_flow, damage_classifier,
     clusters, processing_run, processing_run_forest, database_rows)}
 
 _RULES_FIRED = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in RULE_SQL.values())
@@ -285,6 +302,7 @@ def _knn_filled(gapped: str) -> str:
     return f"WITH {', '.join([gapped, *[_knn(c) for c in names]])} SELECT g.id, {filled} FROM gapped g {joins}"
 
 
+_RELATED = ["weight", "viscosity", "reservoir_temperature", "rop"]
 _LIMITS = ["temp", "press", "flow", "perm", "por", "visc"]
 
 SQL = {
@@ -313,6 +331,9 @@ SELECT key, count(*) AS n_cards, CAST(sum(length(card)) AS BIGINT) AS n_chars, m
     "noise_effect": "SELECT l_linestatus, count(*) AS n_rows, 0.5e0 AS mean, 0.1e0 AS std FROM lineitem GROUP BY 1",
     "impute_knn": _knn_filled(_GAPPED),
     "impute_knn_sparse": _knn_filled(_GAPPED.replace("CASE WHEN o_orderkey % 23 <> 0 THEN", "CASE WHEN o_orderkey % 23 <> 0 AND o_orderkey % 100 = 7 THEN")),
+    "impute_iterative_relations": "SELECT l_suppkey AS well_id, count(*) AS n_rows, " + ", ".join(
+        [f"count(*) AS n_{c}, 0 AS changed_{c}" for c in _RELATED] + [f"count(*) AS right_{c}" for c in _RELATED[:3]])
+        + " FROM lineitem GROUP BY 1",
     "processing_run": over(TELEMETRY) + """, raw AS (SELECT CASE WHEN order_id % 20 <> 0 THEN ROUND(reservoir_temperature) END AS temp,
   CASE WHEN part_id % 25 <> 0 THEN weight_on_bit * CASE WHEN part_id % 97 = 0 THEN 10e0 ELSE 1e0 END END AS press,
   CAST(line_id AS DOUBLE) AS flow, part_id % 9 + 1e0 AS perm, part_id % 5 + 1e0 AS por,
