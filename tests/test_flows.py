@@ -82,13 +82,35 @@ def test_outlier_folder(spark, folder, tmp_path):
 def test_flag_and_disturb_folder(spark, sf, tmp_path):
     source = str(tmp_path / "in")
     telemetry(spark, sf).drop("datetime").coalesce(2).write.parquet(source)
-    counted = folder_jobs.flag_folder(spark, source, str(tmp_path / "flagged"), str(tmp_path / "summary"))
+    counted, skipped = folder_jobs.flag_folder(spark, source, str(tmp_path / "flagged"), str(tmp_path / "summary"))
     row = counted.agg(F.sum("total_records"), F.sum("anomalies")).first()
     assert row[0] == telemetry(spark, sf).count() and 0 < row[1] < row[0]
     assert spark.read.csv(str(tmp_path / "summary"), header=True).count() == counted.count()
     folder_jobs.disturb_folder(spark, source, str(tmp_path / "noisy"), ["order_id", "line_id", "part_id", "well_id"])
     share = spark.read.parquet(str(tmp_path / "noisy")).agg(F.avg(F.col("viscosity").isNull().cast("int"))).first()[0]
-    assert 0.03 < share < 0.07
+    assert 0.03 < share < 0.07 and skipped.isEmpty()
+
+
+def test_folders_with_bad_files_and_equal_names(spark, folder, tmp_path):
+    deeper = os.path.join(folder, "north field")
+    os.makedirs(deeper)
+    base = spark.range(50).select("id", (F.col("id") % 10).cast("double").alias("temperature"), F.lit(1.0).alias("pressure"))
+    _single(base, os.path.join(deeper, "a.parquet"))
+    _single(base.limit(0), os.path.join(folder, "hollow.parquet"))
+    found = {r["file"].split("/in/")[1]: (r["n_rows"], r["reason"]) for r in
+             readers.file_manifest(spark, folder, ["Pressure"]).collect()}
+    assert found.pop("d.parquet")[1].startswith("unreadable")
+    assert found == {"a.parquet": (200, None), "b.parquet": (200, None), "c.parquet": (200, "missing columns: Pressure"),
+                     "north field/a.parquet": (50, None), "hollow.parquet": (0, None)}
+    counted, skipped = folder_jobs.flag_folder(spark, folder, str(tmp_path / "flagged"), str(tmp_path / "summary"))
+    assert {r["source_file"]: r["total_records"] for r in counted.collect()} == {
+        "a.parquet": 200, "b.parquet": 200, "c.parquet": 200, "north%20field/a.parquet": 50}
+    assert skipped.count() == 1
+    missed = folder_jobs.disturb_folder(spark, folder, str(tmp_path / "noisy"), ["id"])
+    noisy = spark.read.parquet(str(tmp_path / "noisy"))
+    assert missed.count() == 1 and noisy.count() == 650 and noisy.where("source_file IS NULL").isEmpty()
+    none, all_of_them = readers.read_usable(spark, folder, ["salinity"])
+    assert none is None and all_of_them.count() == 6
 
 
 def test_jobs(spark, sf, folder, three_wells, tmp_path):

@@ -49,14 +49,17 @@ def run(spark, job: argparse.Namespace) -> None:
         save_report(done.report, f"{target}/report", job.mode)
         done.history.write.mode(job.mode).json(f"{target}/history")
     elif job.job == "flag":
-        folder_jobs.flag_folder(spark, source, f"{target}/data", f"{target}/summary", job.mode)
+        _, skipped = folder_jobs.flag_folder(spark, source, f"{target}/data", f"{target}/summary", job.mode)
+        skipped.write.mode(job.mode).json(f"{target}/skipped")
     elif job.job == "split-outliers":
         counts, skipped = folder_jobs.split_outliers_folder(
             spark, source, f"{target}/clean", f"{target}/outliers", job.columns, job.z_threshold, job.iqr_multiplier, job.mode)
         counts.write.mode(job.mode).json(f"{target}/counts")
         skipped.write.mode(job.mode).json(f"{target}/skipped")
     else:
-        folder_jobs.disturb_folder(spark, source, target, job.keys, job.percent, noise_std=job.noise_std, seed=job.seed, mode=job.mode)
+        skipped = folder_jobs.disturb_folder(spark, source, target, job.keys, job.percent, noise_std=job.noise_std, seed=job.seed,
+                                             mode=job.mode)
+        skipped.write.mode(job.mode).json(f"{target}/_skipped")  # readers of the folder pass over it
 
 
 if __name__ == "__main__":

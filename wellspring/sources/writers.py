@@ -19,9 +19,9 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
 
 
 def write_split(df: DataFrame, flag: str, clean_path: str, flagged_path: str, partition_by: Sequence[str] = (),
-                mode: str = "errorifexists") -> None:
-    """Rows without and with the flag into two folders; the flag is computed once."""
-    fixed = settle(df)
+                mode: str = "errorifexists", settled: bool = False) -> None:
+    """Rows without and with the flag into two folders; the flag is computed once, or not again if ``settled``."""
+    fixed = df if settled else settle(df)
     mask = holds(F.col(flag))
     write_parquet(fixed.where(~mask).drop(flag), clean_path, partition_by, mode)
     write_parquet(fixed.where(mask).drop(flag), flagged_path, partition_by, mode)

@@ -11,7 +11,8 @@ from wellspring.operators.ordered import first_rows_per_key
 from wellspring.operators.profile import contract_nulls, missing_ranked, null_profile, total_missing
 from wellspring.operators.validation import drop_incomplete, split_known
 from wellspring.plans.processing import count_rows
-from wellspring.sources.readers import SOURCE_FILE, read_parquet
+from wellspring.session import scratch_path
+from wellspring.sources.readers import SOURCE_FILE, file_manifest, read_parquet, read_usable
 from wellspring.streaming.records import encode_records
 from wellspring.vocabulary import enforce_schema, rename_columns, to_canonical, yes_no
 from workloads.inputs import pick, table, telemetry, with_gaps
@@ -36,6 +37,23 @@ def file_lineage(spark, folder):
     return rows.groupBy(SOURCE_FILE).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def folder_check(spark, folder):
+    """Rows of a folder of well files with a broken and a short one: by the footers, and read from the usable files."""
+    root, li = scratch_path(spark, "wells"), table(spark, folder, "lineitem")
+    for flag in ("A", "N", "R"):
+        li.where(F.col("l_returnflag") == flag).write.parquet(f"{root}/{flag}")
+    table(spark, folder, "orders").write.parquet(f"{root}/short")
+    table(spark, folder, "nation").select("n_name").write.text(f"{root}/broken")
+    needed = ["l_orderkey", "l_quantity"]
+    well = lambda path: F.element_at(F.split(path, "/"), -2).alias("well")
+    footers = file_manifest(spark, root, needed, "part-*").groupBy(well("file")).agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.max(F.substring_index("reason", ":", 1)).alias("reason"))
+    rows, _ = read_usable(spark, root, needed, "part-*")
+    read = rows.groupBy(well(SOURCE_FILE).alias("_well")).agg(F.count(F.lit(1)).alias("_read"), F.sum("l_quantity").alias("_quantity"))
+    return footers.join(read, F.col("well") == F.col("_well"), "left").select(
+        "well", "n_rows", "reason", F.coalesce("_read", F.lit(0)).alias("n_read"), F.round("_quantity", 2).alias("quantity"))
+
+
 def alias_rename(spark, folder):
     stored = telemetry(spark, folder).select(
         F.col("well_id").alias("API_Well_ID"), F.col("formation_type").alias("Formation_Type"),
@@ -148,7 +166,7 @@ def known_unknown_split(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_count, sql_count, file_lineage, alias_rename, yes_no_map, contract_cast, contract_null_counts, head_per_key, head_of_table,
+    scan_count, sql_count, file_lineage, folder_check, alias_rename, yes_no_map, contract_cast, contract_null_counts, head_per_key, head_of_table,
     json_encode_publish, null_counts, null_percent_ranked, null_total, impute_median, impute_mean, impute_custom,
     impute_history, modes, dedup_rows, dedup_count, dropna_subset, known_unknown_split)}
 
@@ -179,6 +197,9 @@ SQL = {
     "scan_count": "SELECT count(*) AS n_rows FROM lineitem",
     "sql_count": over(TELEMETRY) + """SELECT well_id, count(*) AS n_rows, min(depth_measured) AS top, max(depth_measured) AS bottom
 FROM tel GROUP BY 1""",
+    "folder_check": """SELECT l_returnflag AS well, count(*) AS n_rows, CAST(NULL AS VARCHAR) AS reason, count(*) AS n_read,
+  ROUND(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1
+UNION ALL SELECT 'short', count(*), 'missing columns', 0, NULL FROM orders UNION ALL SELECT 'broken', 0, 'unreadable', 0, NULL""",
     "file_lineage": "SELECT 'lineitem.parquet' AS source_file, 2 * count(*) AS n_rows FROM lineitem",
     "alias_rename": over(TELEMETRY) + """SELECT well_id AS api_well_id, formation_type,
   ROUND(avg(clay_content_percent), 6) AS clay_content_percent, ROUND(avg(rop), 6) AS rop,
