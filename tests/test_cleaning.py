@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wellspring.functions.nulls import holds, nan_to_null
-from wellspring.operators import chained
+from wellspring.operators import chained, learning
 from wellspring.operators.chained import iterative_impute
 from wellspring.operators.duplicates import duplicate_count, remove_duplicates
 from wellspring.operators.imputation import column_medians, handle_missing
@@ -179,6 +179,21 @@ def test_forest_imputation(spark):
     assert all(abs(r["y"] - 5 * r["x"]) < 6 for r in got)
 
 
+def test_forest_imputation_writes_the_table_once(spark, monkeypatch):
+    rows = [(i, float(i % 10), 5 * (i % 10) if i % 6 else None, i % 10 > 4 if i % 7 else None, None, "a") for i in range(300)]
+    df = spark.createDataFrame(rows * 2, "id int, x double, y int, b boolean, hollow string, t string")
+    written = []
+    monkeypatch.setattr(learning, "settle", lambda table: written.append(table) or settle(table))
+    filled, counts = forest_impute(df, trees=5, max_depth=5)
+    assert filled.columns == df.columns and counts == {"y": 100, "b": 86, "hollow": 600}
+    assert len(written) == 3 and all(c.startswith("_") for table in written[1:] for c in table.columns)
+    got = filled.collect()
+    assert len(got) == 600 and all(r["hollow"] is None and abs(r["y"] - 5 * r["x"]) < 6 for r in got)
+    assert all(r["b"] == (r["x"] > 4) for r in got) and all(r["y"] == 5 * (r["id"] % 10) for r in got if r["id"] % 6)
+    same, none = forest_impute(df.select("id", "t"))
+    assert none == {} and same.count() == 600
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([(1, None), (1, None), (1, "a"), (2, "a"), (2, "a"), (2, "a")], "k int, t string")
     once = remove_duplicates(df)

@@ -180,6 +180,10 @@ def test_classifier(spark):
     assert learning.accuracy(model.transform(df)) > 0.95
     selected, features = learning.training_selection(df.withColumn("Record_ID", F.lit(1)), "size")
     assert features == ["x"] and selected.columns == ["size", "x"]
+    boosted = learning.build_classifier(["x"], ["colour"], "size", trees=3, max_depth=3, method="boosted").fit(df)
+    assert [r["predicted_label"] for r in learning.predict_labels(boosted, unseen).collect()][::2] == ["small", "big"]
+    with pytest.raises(ValueError):
+        learning.build_classifier(["x"], [], "size", method="straight")
     squares = df.select(F.col("x").alias("prediction"), (F.col("x") + 2).alias("y"))
     assert learning.mean_squared_error(squares, "y") == pytest.approx(4.0)
 

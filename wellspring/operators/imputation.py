@@ -51,7 +51,7 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict() if columns else {}
+    return df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in columns]).first().asDict() if columns else {}
 
 
 def handle_missing(df: DataFrame, strategy: str = "median", custom: Mapping[str, str] | None = None,

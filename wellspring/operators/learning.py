@@ -6,14 +6,14 @@ import json
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IndexToString, OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, TypeConverters
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,11 +78,19 @@ class MedianScaler(Estimator, DefaultParamsReadable, DefaultParamsWritable):
 
 
 def build_classifier(numeric: Sequence[str], categorical: Sequence[str], label: str = "label", trees: int = TREES,
-                     max_depth: int = 10, seed: int = SEED) -> Pipeline:
-    """Median and scale for numbers, one-hot for texts with unseen texts ignored, then a random forest.
+                     max_depth: int = 10, seed: int = SEED, method: str = "forest") -> Pipeline:
+    """Median and scale for numbers, one-hot for texts with unseen texts ignored, then trees.
 
-    ``label`` is a text column; predictions come back as text in ``predicted_label``.
+    ``method`` is "forest" for a random forest or "boosted" for gradient-boosted trees, one model of ``trees`` rounds for
+    each label against the others. ``label`` is a text column; predictions come back as text in ``predicted_label``.
     """
+    if method not in ("forest", "boosted"):
+        raise ValueError(f"unknown method {method!r}: forest or boosted")
+    setting = {"featuresCol": "features", "labelCol": "label_index"}
+    if method == "forest":
+        trained = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed, **setting)
+    else:
+        trained = OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=max_depth, seed=seed), **setting)
     filled = ", ".join(f"coalesce(`{c}`, '{MISSING}') AS `{c}_filled`" for c in categorical)
     stages: list = []
     if numeric:
@@ -98,7 +106,7 @@ def build_classifier(numeric: Sequence[str], categorical: Sequence[str], label:
     stages += [
         VectorAssembler(inputCols=[f"{c}_scaled" for c in numeric] + [f"{c}_hot" for c in categorical], outputCol="features"),
         StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip"),
-        RandomForestClassifier(featuresCol="features", labelCol="label_index", numTrees=trees, maxDepth=max_depth, seed=seed),
+        trained,
     ]
     return Pipeline(stages=stages)
 
@@ -147,45 +155,59 @@ def forest_impute(df: DataFrame, columns: Sequence[str] | None = None, trees: in
                   seed: int = SEED) -> tuple[DataFrame, dict[str, int]]:
     """Fill column after column with a random forest on the numeric columns; earlier fills serve later ones.
 
-    Texts are classified, numbers regressed. Gaps in the predictors are bridged by the median. Returns
-    the filled rows and the number of filled cells per column.
+    Texts are classified, numbers regressed; a filled number is a double, known cells stay as they are. Gaps in the
+    predictors are bridged by the median. A column without any value stays empty. The table is written once; what is
+    written again for each column are the predictors and targets of the rows with gaps, joined to their rows at the
+    end. Returns the filled rows and the number of empty cells that each column had.
     """
     clean = nan_to_null(df)
     numbers = numeric_columns(clean, include_boolean=True)
     texts = text_columns(clean)
     wanted = [c for c in (columns or clean.columns) if c in numbers + texts]
     gone = {c: n for c, n in missing_counts(clean, wanted).items() if n}
-    # For the predictors all gaps are bridged once; a filled column replaces its bridge.
+    if not gone:
+        return clean, gone
     plain = [c for c in numbers if not isinstance(clean.schema[c].dataType, T.BooleanType)]
     medians = column_medians(clean, plain)
-    current = settle(clean.withColumns({
-        f"_in_{i}": F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(medians.get(c) or 0.0)) for i, c in enumerate(numbers)
-    }))
-    for c in wanted:
-        if c not in gone:
-            continue
-        inputs = [f"_in_{i}" for i, other in enumerate(numbers) if other != c]
-        ready = VectorAssembler(inputCols=inputs, outputCol="_features").transform(current)
-        known = ready.where(F.col(f"`{c}`").isNotNull())
+    inputs = {c: f"_in_{i}" for i, c in enumerate(numbers)}
+    targets = {c: f"_to_{i}" for i, c in enumerate(gone)}
+    # For the predictors all gaps are bridged once; a filled column replaces its bridge.
+    table = settle(clean.withColumns({
+        **{inputs[c]: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(medians.get(c) or 0.0)) for c in numbers},
+        **{to: F.col(f"`{c}`").cast("double") if c in plain else F.col(f"`{c}`") for c, to in targets.items()},
+        "_row": F.monotonically_increasing_id()}))
+    lacking = F.lit(False)
+    for to in targets.values():
+        lacking = lacking | F.col(to).isNull()
+    narrow = ["_row", *targets.values(), *inputs.values()]
+    whole, state = table.where(~lacking), table.where(lacking).select(*narrow)
+    for c, to in targets.items():
+        used = [name for other, name in inputs.items() if other != c]
+        assembler = VectorAssembler(inputCols=used, outputCol="_features")
+        known = assembler.transform(whole.select(to, *used).unionByName(state.where(F.col(to).isNotNull()).select(to, *used)))
         if known.isEmpty():
             continue
-        if c in texts:
-            indexer = StringIndexer(inputCol=c, outputCol="_y", stringOrderType="alphabetAsc").fit(known)
-            model = RandomForestClassifier(featuresCol="_features", labelCol="_y", predictionCol="_guess", numTrees=trees,
-                                           maxDepth=max_depth, seed=seed).fit(indexer.transform(known))
-            guessed = IndexToString(inputCol="_guess", outputCol="_text", labels=indexer.labels).transform(model.transform(ready))
-            value = F.coalesce(F.col(f"`{c}`"), F.col("_text"))
-        else:
-            target = known.withColumn("_y", F.col(f"`{c}`").cast("double"))
-            model = RandomForestRegressor(featuresCol="_features", labelCol="_y", predictionCol="_guess", numTrees=trees,
-                                          maxDepth=max_depth, seed=seed, featureSubsetStrategy="all").fit(target)
-            guessed = model.transform(ready)
-            if isinstance(clean.schema[c].dataType, T.BooleanType):
-                value = F.coalesce(F.col(f"`{c}`"), F.col("_guess") >= 0.5)
-            else:
-                value = F.coalesce(F.col(f"`{c}`").cast("double"), F.col("_guess"))
-        filled = guessed.withColumn(c, value)
+        guessed, value = _forest_guess(known, assembler.transform(state), to, c in texts, trees, max_depth, seed)
+        if c in numbers and c not in plain:
+            value = value >= 0.5
+        filled = guessed.withColumn(to, F.coalesce(F.col(to), value))
         if c in numbers:
-            filled = filled.withColumn(f"_in_{numbers.index(c)}", F.col(f"`{c}`").cast("double"))
-        current = settle(filled.select(*[f"`{x}`" for x in clean.columns], *[f"_in_{i}" for i in range(len(numbers))]))
-    return current.drop(*[f"_in_{i}" for i in range(len(numbers))]), gone
+            filled = filled.withColumn(inputs[c], F.col(to).cast("double"))
+        state = settle(filled.select(*narrow))
+    shown = [F.col(targets.get(c, f"`{c}`")).alias(c) for c in clean.columns]
+    opened = table.where(lacking).drop(*targets.values()).join(state.select("_row", *targets.values()), "_row")
+    return whole.select(*shown).unionByName(opened.select(*shown)), gone
+
+
+def _forest_guess(known: DataFrame, rows: DataFrame, target: str, as_text: bool, trees: int, max_depth: int,
+                  seed: int) -> tuple[DataFrame, Column]:
+    """``rows`` with the predictions of a forest fitted to ``known``, and the predicted value of ``target``."""
+    setting = {"featuresCol": "_features", "predictionCol": "_guess", "numTrees": trees, "maxDepth": max_depth, "seed": seed}
+    if not as_text:
+        fitted = RandomForestRegressor(labelCol="_y", featureSubsetStrategy="all", **setting).fit(
+            known.withColumn("_y", F.col(target).cast("double")))
+        return fitted.transform(rows), F.col("_guess")
+    indexer = StringIndexer(inputCol=target, outputCol="_y", stringOrderType="alphabetAsc").fit(known)
+    fitted = RandomForestClassifier(labelCol="_y", **setting).fit(indexer.transform(known))
+    named = IndexToString(inputCol="_guess", outputCol="_text", labels=indexer.labels)
+    return named.transform(fitted.transform(rows)), F.col("_text")

@@ -12,6 +12,7 @@ from wellspring.functions.nulls import holds
 from wellspring.session import settle
 
 TARGET_TABLE = "well_records"
+CSV_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
@@ -27,9 +28,14 @@ def write_split(df: DataFrame, flag: str, clean_path: str, flagged_path: str, pa
     write_parquet(fixed.where(mask).drop(flag), flagged_path, partition_by, mode)
 
 
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """CSV parts with a header; times keep their microseconds, which Spark's own format cuts to milliseconds."""
+    df.write.mode(mode).options(**CSV_TIMES).csv(path, header=True)
+
+
 def write_summary_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A summary of one row per well as a single CSV part with a header; the work before it keeps its tasks."""
-    df.repartition(1).write.mode(mode).csv(path, header=True)
+    write_csv(df.repartition(1), path, mode)
 
 
 def write_report_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -189,14 +189,53 @@ def impute_iterative_relations(spark, folder):
 
 
 def impute_forest(spark, folder):
-    filled, _ = learning.forest_impute(_order_gaps(spark, folder), ["price", "priority"], trees=20, max_depth=5)
+    filled, _ = learning.forest_impute(_order_gaps(spark, folder), ["price", "priority"])
     return filled.groupBy("priority").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("price"), 1).alias("price"))
 
 
+def impute_forest_kept(spark, folder):
+    """A price that follows from day and customer and a text that follows from the price, with gaps: cells kept, filled and near."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("double")
+    whole = table(spark, folder, "orders").select(
+        o.alias("id"), day.alias("day"), (c % 10).cast("double").alias("desk"), ((c % 10) * 100.0 + 50.0).alias("fee"),
+        F.when(c % 10 >= 5, "late").otherwise("early").alias("shift"))
+    gaps = whole.select("id", "day", "desk", F.when(F.col("id") % 11 != 0, F.col("fee")).alias("fee"), F.when(F.col("id") % 13 != 0, F.col("shift")).alias("shift"))
+    filled, counts = learning.forest_impute(gaps, ["fee", "shift"], max_depth=5)
+    truth = F.col("desk") * 100.0 + 50.0
+    return filled.groupBy("desk").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("fee").alias("n_fee"), F.count("shift").alias("n_shift"),
+        F.count_if((F.col("id") % 11 != 0) & (F.col("fee") != truth)).alias("n_changed"),
+        F.count_if(F.abs(F.col("fee") - truth) < 50).alias("n_near"),
+        F.count_if(F.col("shift") == F.when(F.col("desk") >= 5, "late").otherwise("early")).alias("n_right"),
+        F.lit(counts["fee"]).cast("bigint").alias("fee_gaps"), F.lit(counts["shift"]).cast("bigint").alias("shift_gaps"))
+
+
+def boosted_labels(spark, folder):
+    """Three grades of viscosity learned by boosted trees on four fifths of the orders: rows of the others and whether 19 of 20 are right."""
+    tel = telemetry(spark, folder).select("order_id", "viscosity", "rop", "mud_type", F.when(F.col("viscosity") < 20, "thin").when(
+        F.col("viscosity") < 50, "medium").otherwise("thick").alias("grade"))
+    kept_apart = F.col("order_id") % 5 == 0
+    model = learning.build_classifier(["viscosity", "rop"], ["mud_type"], "grade", trees=10, max_depth=4, method="boosted").fit(tel.where(~kept_apart))
+    guessed = learning.predict_labels(model, tel.where(kept_apart))
+    right = F.count_if(F.col("grade") == F.col("predicted_label"))
+    return guessed.groupBy("grade").agg(F.count(F.lit(1)).alias("n_rows"), (right * 20 >= F.count(F.lit(1)) * 19).alias("mostly_right"))
+
+
+def model_metrics(spark, folder):
+    """Accuracy of a guess by line number and squared error of a price by quantity."""
+    li = table(spark, folder, "lineitem").select(
+        (F.col("l_orderkey") % 3).cast("double").alias("label_index"), (F.col("l_linenumber") % 3).cast("double").alias("guess"),
+        "l_extendedprice", (F.col("l_quantity") * 1000).alias("by_quantity"))
+    share = learning.accuracy(li.withColumnRenamed("guess", "prediction"))
+    error = learning.mean_squared_error(li.withColumnRenamed("by_quantity", "prediction"), "l_extendedprice")
+    return spark.createDataFrame([(round(share, 9), round(error / 1e6, 4))], "accuracy double, squared_error double")
+
+
 def classifier_flow(spark, folder):
     """Order status from numbers and the priority; the share of right predictions on rows kept apart."""
     train, test = learning.split_rows(_order_gaps(spark, folder))
-    model = learning.build_classifier(["price", "customer", "day"], ["priority"], "status", trees=20, max_depth=5).fit(train)
+    model = learning.build_classifier(["price", "customer", "day"], ["priority"], "status").fit(train)
     guessed = learning.predict_labels(model, test)
     return guessed.groupBy("status", "predicted_label").agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -205,7 +244,7 @@ def damage_classifier(spark, folder):
     tel = telemetry(spark, folder).withColumn("Type_Damage", damage_type())
     rows, features = learning.training_selection(tel.drop("order_id", "part_id", "line_id", "well_id", "total_depth"), "Type_Damage", [])
     train, test = learning.split_rows(rows)
-    guessed = learning.predict_labels(learning.build_classifier(features, [], "Type_Damage", trees=20, max_depth=8).fit(train), test)
+    guessed = learning.predict_labels(learning.build_classifier(features, [], "Type_Damage").fit(train), test)
     return guessed.groupBy("Type_Damage", "predicted_label").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -271,7 +310,8 @@ def database_rows(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     stream_decode, stream_alerts, stream_window_rate, stream_window_rate_all, stream_well_states, window_rate, stream_bad_records, stream_cards, mask_exact_share,
-    mask_random_cells, noise_effect, impute_knn, impute_knn_sparse, impute_iterative, impute_iterative_relations, impute_forest, classifier_flow, damage_classifier,
+    mask_random_cells, noise_effect, impute_knn, impute_knn_sparse, impute_iterative, impute_iterative_relations, impute_forest, impute_forest_kept,
+    boosted_labels, model_metrics, classifier_flow, damage_classifier,
     clusters, processing_run, processing_run_forest, database_rows)}
 
 _RULES_FIRED = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in RULE_SQL.values())
@@ -331,6 +371,13 @@ SELECT key, count(*) AS n_cards, CAST(sum(length(card)) AS BIGINT) AS n_chars, m
     "noise_effect": "SELECT l_linestatus, count(*) AS n_rows, 0.5e0 AS mean, 0.1e0 AS std FROM lineitem GROUP BY 1",
     "impute_knn": _knn_filled(_GAPPED),
     "impute_knn_sparse": _knn_filled(_GAPPED.replace("CASE WHEN o_orderkey % 23 <> 0 THEN", "CASE WHEN o_orderkey % 23 <> 0 AND o_orderkey % 100 = 7 THEN")),
+    "impute_forest_kept": """SELECT CAST(o_custkey % 10 AS DOUBLE) AS desk, count(*) AS n_rows, count(*) AS n_fee, count(*) AS n_shift, 0 AS n_changed,
+  count(*) AS n_near, count(*) AS n_right, (SELECT count(*) FROM orders WHERE o_orderkey % 11 = 0) AS fee_gaps,
+  (SELECT count(*) FROM orders WHERE o_orderkey % 13 = 0) AS shift_gaps FROM orders GROUP BY 1""",
+    "boosted_labels": """SELECT CASE WHEN l_quantity * 1.6e0 < 20 THEN 'thin' WHEN l_quantity * 1.6e0 < 50 THEN 'medium' ELSE 'thick' END AS grade,
+  count(*) AS n_rows, true AS mostly_right FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1""",
+    "model_metrics": """SELECT ROUND(avg(CASE WHEN l_orderkey % 3 = l_linenumber % 3 THEN 1e0 ELSE 0e0 END), 9) AS accuracy,
+  ROUND(avg((l_extendedprice - l_quantity * 1000) * (l_extendedprice - l_quantity * 1000)) / 1e6, 4) AS squared_error FROM lineitem""",
     "impute_iterative_relations": "SELECT l_suppkey AS well_id, count(*) AS n_rows, " + ", ".join(
         [f"count(*) AS n_{c}, 0 AS changed_{c}" for c in _RELATED] + [f"count(*) AS right_{c}" for c in _RELATED[:3]])
         + " FROM lineitem GROUP BY 1",

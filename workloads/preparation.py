@@ -9,12 +9,15 @@ from wellspring.operators.duplicates import duplicate_count, remove_duplicates
 from wellspring.operators.imputation import handle_missing, most_frequent
 from wellspring.operators.ordered import first_rows_per_key
 from wellspring.operators.profile import contract_nulls, missing_ranked, null_profile, total_missing
-from wellspring.operators.validation import drop_incomplete, split_known
+from wellspring.operators.validation import (
+    REQUIRED, drop_incomplete, label_feature_split, required_columns_report, split_known, validate_structure,
+)
 from wellspring.plans.processing import count_rows
 from wellspring.session import scratch_path
-from wellspring.sources.readers import SOURCE_FILE, file_manifest, read_parquet, read_usable
+from wellspring.sources.readers import SOURCE_FILE, file_manifest, read_csv, read_parquet, read_usable
+from wellspring.sources.writers import write_csv
 from wellspring.streaming.records import encode_records
-from wellspring.vocabulary import enforce_schema, rename_columns, to_canonical, yes_no
+from wellspring.vocabulary import drop_columns, enforce_schema, rename_columns, to_canonical, yes_no
 from workloads.inputs import pick, table, telemetry, with_gaps
 from workloads.states import GAPS, TELEMETRY, over
 
@@ -54,6 +57,32 @@ def folder_check(spark, folder):
         "well", "n_rows", "reason", F.coalesce("_read", F.lit(0)).alias("n_read"), F.round("_quantity", 2).alias("quantity"))
 
 
+def csv_round_trip(spark, folder):
+    """Events written as CSV and read back under their types."""
+    events, path = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value", "ts"), scratch_path(spark, "csv")
+    write_csv(events, path)
+    return read_csv(spark, path, events.schema).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("user_id").alias("users"), F.round(F.sum("value"), 3).alias("total"), F.max("ts").alias("last"))
+
+
+def structure_report(spark, folder):
+    """Whether the columns that a run needs are there and of the right kind, and how many values each has."""
+    rows = table(spark, folder, "orders").withColumnsRenamed({"o_totalprice": "Pressure_psi", "o_orderpriority": "Formation"})
+    report = required_columns_report(rows, {**REQUIRED, "o_orderstatus": "number"})
+    ok, message = validate_structure(rows)
+    known = null_profile(rows).select(F.col("column").alias("_column"), (F.col("n_rows") - F.col("n_missing")).alias("n_known"))
+    return report.join(F.broadcast(known), F.col("column") == F.col("_column"), "left").drop("_column").withColumns(
+        {"valid": F.lit(ok), "message": F.lit(message)})
+
+
+def feature_columns(spark, folder):
+    """Sizes of the features and the label after columns that serve no model are dropped."""
+    kept = drop_columns(table(spark, folder, "orders"), ["o_orderkey", "not there"])
+    features, label = label_feature_split(kept, "o_orderstatus", ["o_orderdate"])
+    parts = [null_profile(part).withColumn("part", F.lit(name)) for name, part in (("features", features), ("label", label))]
+    return parts[0].unionByName(parts[1]).select("part", "column", "n_rows", "n_missing")
+
+
 def alias_rename(spark, folder):
     stored = telemetry(spark, folder).select(
         F.col("well_id").alias("API_Well_ID"), F.col("formation_type").alias("Formation_Type"),
@@ -166,7 +195,7 @@ def known_unknown_split(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_count, sql_count, file_lineage, folder_check, alias_rename, yes_no_map, contract_cast, contract_null_counts, head_per_key, head_of_table,
+    scan_count, sql_count, file_lineage, folder_check, csv_round_trip, structure_report, feature_columns, alias_rename, yes_no_map, contract_cast, contract_null_counts, head_per_key, head_of_table,
     json_encode_publish, null_counts, null_percent_ranked, null_total, impute_median, impute_mean, impute_custom,
     impute_history, modes, dedup_rows, dedup_count, dropna_subset, known_unknown_split)}
 
@@ -197,6 +226,16 @@ SQL = {
     "scan_count": "SELECT count(*) AS n_rows FROM lineitem",
     "sql_count": over(TELEMETRY) + """SELECT well_id, count(*) AS n_rows, min(depth_measured) AS top, max(depth_measured) AS bottom
 FROM tel GROUP BY 1""",
+    "csv_round_trip": """SELECT event_type, count(*) AS n_rows, CAST(sum(user_id) AS BIGINT) AS users, ROUND(sum(value), 3) AS total,
+  max(ts) AS last FROM events GROUP BY 1""",
+    "structure_report": """SELECT *, false AS valid, 'columns not found: Temperature_C' AS message FROM (
+SELECT 'Temperature_C' AS "column", 'number' AS expected, false AS present, CAST(NULL AS VARCHAR) AS found, false AS fits, CAST(NULL AS BIGINT) AS n_known
+UNION ALL SELECT 'Pressure_psi', 'number', true, 'double', true, count(o_totalprice) FROM orders
+UNION ALL SELECT 'Formation', 'text', true, 'string', true, count(o_orderpriority) FROM orders
+UNION ALL SELECT 'o_orderstatus', 'number', true, 'string', false, count(o_orderstatus) FROM orders)""",
+    "feature_columns": " UNION ALL ".join(
+        f"SELECT '{part}' AS part, '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_missing FROM orders"
+        for part, c in (("features", "o_custkey"), ("features", "o_totalprice"), ("features", "o_orderpriority"), ("label", "o_orderstatus"))),
     "folder_check": """SELECT l_returnflag AS well, count(*) AS n_rows, CAST(NULL AS VARCHAR) AS reason, count(*) AS n_read,
   ROUND(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1
 UNION ALL SELECT 'short', count(*), 'missing columns', 0, NULL FROM orders UNION ALL SELECT 'broken', 0, 'unreadable', 0, NULL""",
