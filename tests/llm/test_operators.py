@@ -358,6 +358,14 @@ def test_training_order(docs, empty, rows):
     assert training_order.training_order(empty).count() == 0
 
 
+def test_training_order_refuses_wide_ids(docs, monkeypatch):
+    from wellspring.session import settle
+
+    monkeypatch.setattr(training_order, "MOST_ID", 1000)
+    with pytest.raises(Exception, match="which the shards cannot hold"):
+        training_order.training_order(settle(docs)).collect()
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     slots = training_order.feistel(np.arange(n), n, key=9)

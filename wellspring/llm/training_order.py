@@ -17,6 +17,7 @@ from wellspring.llm.words import mix
 from wellspring.session import scratch_path, settle
 
 SIZE = 1024
+MOST_ID = 65_535
 SHARD_SEQUENCES = 4096
 KEY = 20_251
 ROUNDS = 6
@@ -59,7 +60,7 @@ def write_order(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
     The first pass counts ids per partition, the second cuts the stream from the running counts. It reads the same
     partitions, so ``docs`` must come from files (settle it otherwise); a partition whose count changed stops the
-    job. Only ids of one shard are held in a task.
+    job, and so does an id that 16 bits cannot hold. Only ids of one shard are held in a task.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
@@ -82,7 +83,10 @@ def write_order(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             owner, sequence, offset, runs = [], [], [], []
             for row, ids in enumerate(token_bytes(batch.column(1).to_pylist(), vocabulary, ranks)):
-                short = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+                wide = np.frombuffer(ids, "<u4")
+                if wide.max(initial=0) > MOST_ID:
+                    raise ValueError(f"the vocabulary has ids above {MOST_ID}, which the shards cannot hold")
+                short = wide.astype("<u2").tobytes()
                 n, done = len(short) // 2, 0
                 while done < n:
                     take = min(n - done, size - (at + done) % size)
