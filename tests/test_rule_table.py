@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wellspring.operators import rule_table as table_module
 from wellspring.operators.mud import PROGRAMS, mud_program, rule_table, with_mud_program
 from wellspring.operators.rule_table import match_rules
 from workloads.inputs import telemetry
@@ -77,3 +78,32 @@ def test_programs_from_a_table_equal_the_constants(spark, sf, few):
     by_table = with_mud_program(tel, rule_table(spark, PROGRAMS), few_rules=few)
     assert by_table.columns == by_constant.columns
     assert by_constant.exceptAll(by_table).isEmpty() and by_table.count() == by_constant.count()
+
+
+@pytest.mark.parametrize("most", [1, 20])
+def test_rules_that_end_inside_an_interval(spark, monkeypatch, most):
+    monkeypatch.setattr(table_module, "MOST_CUTS", most)
+    rows, rules = cases(120, 7)
+    df = spark.createDataFrame(rows, "row int, x double, y double, kind string").repartition(3)
+    found = match_rules(df, spark.createDataFrame(rules, RULES), RANGES, {"kind": "kinds"}, few_rules=0).collect()
+    assert {r.row: r.rule and (r.rule.priority, r.rule.id) for r in found} == {r[0]: winner(r, rules) for r in rows}
+
+
+def test_rules_with_one_bound_meet_few_rows(spark, monkeypatch):
+    """Half of the rules hold in a row, yet only the first of them may be looked at."""
+    rules = [(i % 7, i, float(i % 50) if i % 2 else None, None if i % 2 else float(i % 50), None, 8.0 if i % 3 else None, None) for i in range(2000)]
+    rows = [(i, i % 50 + 0.5, float(i % 9), "a") for i in range(1000)]
+    met, join = [], table_module.null_safe_join
+
+    def counted(left, right, keys, how="left", also=None):
+        joined = join(left, right, keys, how, also)
+        met.append(joined.count())
+        return joined
+
+    monkeypatch.setattr(table_module, "null_safe_join", counted)
+    attach = table_module.attach_by_key
+    monkeypatch.setattr(table_module, "attach_by_key", lambda *a, **o: [attach(*a, **o), met.append(attach(*a, **o).count())][0])
+    df = spark.createDataFrame(rows, "row int, x double, y double, kind string")
+    found = match_rules(df, spark.createDataFrame(rules, RULES), RANGES, {"kind": "kinds"}, few_rules=0).collect()
+    assert {r.row: (r.rule.priority, r.rule.id) for r in found} == {r[0]: winner(r, rules) for r in rows}
+    assert max(met) < 20 * len(rows)
