@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -24,6 +25,7 @@ from wellspring.session import settle
 
 MISSING = "missing"
 TREES = 100
+ROWS_PER_TASK = 500_000
 SEED = 42
 
 # Columns that are no input of a model.
@@ -77,6 +79,24 @@ class MedianScaler(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             {c: (medians[c], row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0) for i, c in enumerate(columns)}, self.getOrDefault(self.suffix))
 
 
+def training_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns that a model is fitted to, dealt to all cores whatever the files are; a task has ``ROWS_PER_TASK`` rows at most.
+
+    A fit passes over the rows for each level of the trees, and a table in one file would be a single task in each of them. More tasks
+    than needed cost too, as each sends statistics of all nodes.
+    """
+    rows = df.select(*[F.col(f"`{c}`") for c in columns])
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / ROWS_PER_TASK))
+    return rows.repartition(parts)
+
+
+class SpreadForest(RandomForestClassifier):
+    """Fits on ``training_rows``."""
+
+    def _fit(self, dataset: DataFrame):
+        return super()._fit(training_rows(dataset, self.getFeaturesCol(), self.getLabelCol()))
+
+
 def build_classifier(numeric: Sequence[str], categorical: Sequence[str], label: str = "label", trees: int = TREES,
                      max_depth: int = 10, seed: int = SEED, method: str = "forest") -> Pipeline:
     """Median and scale for numbers, one-hot for texts with unseen texts ignored, then trees.
@@ -88,7 +108,7 @@ def build_classifier(numeric: Sequence[str], categorical: Sequence[str], label:
         raise ValueError(f"unknown method {method!r}: forest or boosted")
     setting = {"featuresCol": "features", "labelCol": "label_index"}
     if method == "forest":
-        trained = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed, **setting)
+        trained = SpreadForest(numTrees=trees, maxDepth=max_depth, seed=seed, **setting)
     else:
         trained = OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=max_depth, seed=seed), **setting)
     filled = ", ".join(f"coalesce(`{c}`, '{MISSING}') AS `{c}_filled`" for c in categorical)
@@ -205,9 +225,9 @@ def _forest_guess(known: DataFrame, rows: DataFrame, target: str, as_text: bool,
     setting = {"featuresCol": "_features", "predictionCol": "_guess", "numTrees": trees, "maxDepth": max_depth, "seed": seed}
     if not as_text:
         fitted = RandomForestRegressor(labelCol="_y", featureSubsetStrategy="all", **setting).fit(
-            known.withColumn("_y", F.col(target).cast("double")))
+            training_rows(known.withColumn("_y", F.col(target).cast("double")), "_features", "_y"))
         return fitted.transform(rows), F.col("_guess")
     indexer = StringIndexer(inputCol=target, outputCol="_y", stringOrderType="alphabetAsc").fit(known)
-    fitted = RandomForestClassifier(labelCol="_y", **setting).fit(indexer.transform(known))
+    fitted = RandomForestClassifier(labelCol="_y", **setting).fit(training_rows(indexer.transform(known), "_features", "_y"))
     named = IndexToString(inputCol="_guess", outputCol="_text", labels=indexer.labels)
     return named.transform(fitted.transform(rows)), F.col("_text")
