@@ -190,3 +190,20 @@ def test_classifier(spark):
 
 def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_root(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_models_are_fitted_by_all_cores_to_equal_rows_once(spark, monkeypatch):
+    """A table in one file is dealt out before the trees pass over it; boosted trees see equal rows as one."""
+    rows = spark.createDataFrame([(float(i % 6), "low" if i % 6 < 3 else "high") for i in range(600)], "x double, grade string").coalesce(1)
+    seen, deal = [], learning.training_rows
+
+    def noted(df, *columns):
+        dealt = deal(df, *columns)
+        seen.append((dealt.rdd.getNumPartitions(), dealt.count()))
+        return dealt
+
+    monkeypatch.setattr(learning, "training_rows", noted)
+    for method, fitted_to in (("forest", 600), ("boosted", 6)):
+        model = learning.build_classifier(["x"], [], "grade", trees=3, max_depth=3, method=method).fit(rows)
+        assert seen.pop() == (spark.sparkContext.defaultParallelism, fitted_to) and not seen
+        assert learning.predict_labels(model, rows).where("grade <> predicted_label").isEmpty()

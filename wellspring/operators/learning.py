@@ -97,6 +97,15 @@ class SpreadForest(RandomForestClassifier):
         return super()._fit(training_rows(dataset, self.getFeaturesCol(), self.getLabelCol()))
 
 
+class MergedOneVsRest(OneVsRest):
+    """Fits on equal rows merged into one with their number as ``_weight``: what boosted trees add up is the same."""
+
+    def _fit(self, dataset: DataFrame):
+        features, label = self.getFeaturesCol(), self.getLabelCol()
+        merged = settle(dataset.groupBy(features, label).agg(F.count(F.lit(1)).cast("double").alias("_weight")))
+        return super()._fit(training_rows(merged, features, label, "_weight"))
+
+
 def build_classifier(numeric: Sequence[str], categorical: Sequence[str], label: str = "label", trees: int = TREES,
                      max_depth: int = 10, seed: int = SEED, method: str = "forest") -> Pipeline:
     """Median and scale for numbers, one-hot for texts with unseen texts ignored, then trees.
@@ -110,7 +119,7 @@ def build_classifier(numeric: Sequence[str], categorical: Sequence[str], label:
     if method == "forest":
         trained = SpreadForest(numTrees=trees, maxDepth=max_depth, seed=seed, **setting)
     else:
-        trained = OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=max_depth, seed=seed), **setting)
+        trained = MergedOneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=max_depth, seed=seed), weightCol="_weight", **setting)
     filled = ", ".join(f"coalesce(`{c}`, '{MISSING}') AS `{c}_filled`" for c in categorical)
     stages: list = []
     if numeric:
