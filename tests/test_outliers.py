@@ -1,7 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from wellspring.operators import isolation
 from wellspring.operators.isolation import isolation_flags, isolation_scores, tree_samples
 from wellspring.operators.keyed import attach_by_key, fits_broadcast
 from wellspring.operators.outliers import flag_outliers, outlier_counts, split_by_flag
@@ -153,3 +155,26 @@ def test_isolation_samples_of_repeated_and_few_rows(spark):
     assert {r["count"] for r in drawn.groupBy("tree").count().collect()} == {256}
     assert drawn.where("x0 = -1").groupBy("tree").count().where("count > 1").isEmpty()
     assert tree_samples(df.limit(0), ["a"], 4, 256, 1).isEmpty()
+
+
+def test_isolation_samples_of_one_file_are_drawn_by_all_cores(spark, tmp_path, monkeypatch):
+    spark.range(5000).selectExpr("id", "id % 97 * 1.5 AS x").coalesce(1).write.parquet(f"{tmp_path}/one")
+    one, dealt, deal = spark.read.parquet(f"{tmp_path}/one"), [], isolation.spread
+    monkeypatch.setattr(isolation, "spread", lambda df: [deal(df), dealt.append(deal(df).rdd.getNumPartitions())][0])
+    drawn = {tuple(r) for r in tree_samples(one, ["x"], 5, 50, 1).select("tree", "x0").collect()}
+    assert dealt == [spark.sparkContext.defaultParallelism]
+    monkeypatch.setattr(isolation, "spread", lambda df: df)
+    assert drawn == {tuple(r) for r in tree_samples(one, ["x"], 5, 50, 1).select("tree", "x0").collect()}
+
+
+def test_trees_in_level_order_lead_to_the_same_lengths():
+    grown = isolation._grow(3, 6, 2)(pd.DataFrame(np.column_stack([np.zeros(60), np.random.default_rng(1).normal(size=(60, 2)).round(1)]), columns=["tree", "x0", "x1"]))
+    nodes = grown[["feature", "cut", "below", "above", "length"]].to_numpy(float)
+    feature, cut, length = isolation._level_order(nodes, 6)
+    for point in np.vstack([np.random.default_rng(2).normal(size=(200, 2)).round(1), [[np.inf, -np.inf]]]):
+        at, place = 0, 0
+        while nodes[at, 0] >= 0:
+            at = int(nodes[at, 2] if point[int(nodes[at, 0])] <= nodes[at, 1] else nodes[at, 3])
+        for _ in range(6):
+            place = 2 * place + 1 + (point[feature[place]] > cut[place])
+        assert length[place - len(feature)] == nodes[at, 4]

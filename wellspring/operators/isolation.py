@@ -44,7 +44,7 @@ def tree_samples(df: DataFrame, columns: Sequence[str], trees: int, sample: int,
     and is raised until every tree has its rows; it does not change which rows are the smallest.
     """
     hashed = [F.col(f"`{f.name}`") for f in df.schema if f.name in (by or df.columns) and not isinstance(f.dataType, T.MapType)]
-    rows = df.select(F.xxhash64(*hashed).alias("_row"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    rows = spread(df.select(F.xxhash64(*hashed).alias("_row"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)]))
     share = min(1.0, (2 * sample + EXTRA) / max(df.count(), 1))
     while True:
         limit = int(share * (MOST_LONG - LEAST_LONG)) + LEAST_LONG if share < 1 else MOST_LONG
@@ -86,6 +86,22 @@ def _grow(seed: int, depth_limit: int, width: int):
     return fit
 
 
+def _level_order(nodes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree filled up to ``depth`` levels: feature and cut of its inner nodes level by level, and the lengths of the last level.
+
+    The children of node i are 2i + 1 and 2i + 2, so no step looks them up. Below a leaf every way leads to its length.
+    """
+    inner = (1 << depth) - 1
+    feature, cut, length, of = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(inner + 1), np.zeros(2 * inner + 1, np.int64)
+    for i in range(inner):
+        here = nodes[of[i]]
+        if here[0] >= 0:
+            feature[i], cut[i] = int(here[0]), here[1]
+        of[2 * i + 1], of[2 * i + 2] = (here[2], here[3]) if here[0] >= 0 else (of[i], of[i])
+    length[:] = nodes[of[inner:], 4]
+    return feature, cut, length
+
+
 def isolation_scores(df: DataFrame, columns: Sequence[str] | None = None, trees: int = TREES, sample: int = SAMPLE,
                      seed: int = 42, name: str = "anomaly_score") -> DataFrame:
     """Add the anomaly score between 0 and 1 of each row over the numeric columns; null and NaN count as the column mean.
@@ -102,25 +118,22 @@ def isolation_scores(df: DataFrame, columns: Sequence[str] | None = None, trees:
     limit = max(1, math.ceil(math.log2(max(size, 2))))
     forest = samples.groupBy("tree").applyInPandas(_grow(seed, limit, len(columns)), NODE).toPandas()
     forest = forest.sort_values(["tree", "node"])
-    grown = [g[["feature", "cut", "below", "above", "length"]].to_numpy(dtype=float) for _, g in forest.groupby("tree")]
+    grown = [_level_order(g[["feature", "cut", "below", "above", "length"]].to_numpy(dtype=float), limit) for _, g in forest.groupby("tree")]
     scale = average_path(size) or 1.0
-    forest_of_all = df.sparkSession.sparkContext.broadcast(grown)  # trees x at most 2 x sample nodes
+    forest_of_all = df.sparkSession.sparkContext.broadcast(grown)  # trees x at most 4 x sample nodes
 
     @F.pandas_udf("double")
     def score(*values: pd.Series) -> pd.Series:
         data = np.column_stack([v.to_numpy(dtype=float) for v in values])
-        rows = np.arange(len(data))
+        cells, first = data.ravel(), np.arange(len(data)) * data.shape[1]
         total, grown = np.zeros(len(data)), forest_of_all.value
-        for nodes in grown:
-            feature, below, above = (nodes[:, i].astype(np.int64) for i in (0, 2, 3))
+        for feature, cut, length in grown:
             at = np.zeros(len(data), dtype=np.int64)
             for _ in range(limit):
-                inner = feature[at] >= 0
-                if not inner.any():
-                    break
-                left = data[rows, np.maximum(feature[at], 0)] <= nodes[at, 1]
-                at = np.where(inner, np.where(left, below[at], above[at]), at)
-            total += nodes[at, 4]
+                right = cells.take(first + feature.take(at)) > cut.take(at)
+                at += at + 1
+                at += right
+            total += length.take(at - (len(length) - 1))
         return pd.Series(np.power(2.0, -total / len(grown) / scale))
 
     return spread(ready).withColumn(name, score(*[F.col(n) for n in names])).drop(*names)
