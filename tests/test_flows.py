@@ -207,3 +207,13 @@ def test_models_are_fitted_by_all_cores_to_equal_rows_once(spark, monkeypatch):
         model = learning.build_classifier(["x"], [], "grade", trees=3, max_depth=3, method=method).fit(rows)
         assert seen.pop() == (spark.sparkContext.defaultParallelism, fitted_to) and not seen
         assert learning.predict_labels(model, rows).where("grade <> predicted_label").isEmpty()
+
+
+def test_clusters_are_fitted_in_small_tasks(spark, monkeypatch):
+    """A task keeps its rows as vectors, many times what they take in a file."""
+    rows, parts, deal = spark.range(4000).selectExpr("id", "id % 4 * 10.0 AS x").coalesce(1), [], learning.training_rows
+    monkeypatch.setattr(learning, "ROWS_PER_TASK", 400)
+    monkeypatch.setattr(learning, "training_rows", lambda df, *columns: [deal(df, *columns), parts.append(deal(df, *columns).rdd.getNumPartitions())][0])
+    found = learning.cluster_rows(rows, ["x"], 4)
+    assert parts == [10] and found.columns == ["id", "x", "cluster"] and found.count() == 4000
+    assert found.groupBy("x").agg(F.countDistinct("cluster").alias("n")).where("n > 1").isEmpty()

@@ -176,7 +176,7 @@ def cluster_rows(df: DataFrame, columns: Sequence[str], k: int, seed: int = SEED
     """Number of the k-means cluster of each row, on scaled columns."""
     scaled = MedianScaler(columns, "_unit").fit(df).transform(df)
     ready = VectorAssembler(inputCols=[f"{c}_unit" for c in columns], outputCol="_features").transform(scaled)
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol=name).fit(ready)
+    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol=name).fit(training_rows(ready, "_features"))
     return model.transform(ready).drop("_features", *[f"{c}_unit" for c in columns])
 
 
