@@ -18,6 +18,8 @@ from wellspring.session import settle
 
 MIN_WORDS = 8
 RUN_WORDS = 50
+MAP_BITS = 1 << 26
+FACT_BYTES = 256 * 1024
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UNITS = "_unit int, _start bigint, _end bigint, _digest binary"
 
@@ -52,17 +54,37 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(_id, _unit, _start, _end, _first): every unit whose digest occurs earlier, with the id that keeps it. Rank: id, then place.
 
     Occurrences meet before the shuffle, so a line in a third of all documents costs one row per task. Only
-    digests found more than once go on; a short list of them is broadcast after its size is measured.
+    digests found more than once go on; a list of up to ``FACT_BYTES`` is broadcast after its size is measured.
     """
     units = settle(text_units(docs, id_col, text_col, separator, min_words))
     place = F.struct(F.col("_id").alias("id"), F.col("_unit").alias("unit"))
     digests = units.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1")
     digests = settle(digests.select("_digest", "_n", F.col("_first.id").alias("_first"), F.col("_first.unit").alias("_first_unit")))
-    found = attach_by_key(units, digests, ["_digest"], weight="_n", how="inner", salt_by=["_id", "_unit"])
+    found = attach_by_key(units, digests, ["_digest"], weight="_n", how="inner", salt_by=["_id", "_unit"], broadcast_bytes=FACT_BYTES)
     later = ~(F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_unit") == F.col("_first_unit")))
     return found.where(later).select("_id", "_unit", "_start", "_end", "_first")
 
 
+def attach_to_texts(rows: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:
+    """Join ``facts`` about ids, settled and one row for each, to ``rows`` (_id, _text). Only the texts that may have any are shuffled.
+
+    A map of ``MAP_BITS`` bits, whatever the number of ids, marks the hashes of the ids in ``facts``. Texts without a mark stay
+    where they are; those with one are joined by id, so a mark that two ids share costs a move and changes nothing.
+    """
+    cell = F.pmod(F.xxhash64("_id"), F.lit(MAP_BITS)) + 1
+    bits = settle(facts.select(cell.alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("_bits")))
+    place = F.bitmap_bit_position(cell)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("_bucket", F.bitmap_bucket_number(cell)).join(F.broadcast(bits), "_bucket", "left").withColumn(
+        "_may", F.coalesce(F.getbit(byte.cast("long"), (place % 8).cast("int")) == 1, F.lit(False)))
+    found = attach_by_key(marked.where("_may").select(*rows.columns), facts, ["_id"], how=how, salt_by=["_id"], broadcast_bytes=FACT_BYTES)
+    if how == "inner":
+        return found
+    none = [F.lit(None).cast(field.dataType).alias(field.name) for field in facts.schema if field.name not in rows.columns]
+    return found.unionByName(marked.where("NOT _may").select(*rows.columns, *none))
+
+
 def _cut_words(text: str, spans: list[dict] | None, separator: str) -> np.ndarray | None:
     """Which words of a text are in the units that are cut."""
     if not spans:
@@ -88,10 +110,10 @@ def _open_runs(batch: pa.RecordBatch, run_words: int, separator: str) -> Iterato
                 yield row, value, inside[run_words:] - inside[:-run_words] < run_words
 
 
-def repeated_runs(rows: DataFrame, run_words: int, separator: str = "\n") -> DataFrame:
+def repeated_runs(rows: DataFrame, spans: DataFrame, run_words: int, separator: str = "\n") -> DataFrame:
     """(_id, _runs): the first word of every run of ``run_words`` words that occurs earlier, with the id of its first place. Rank: id, then place.
 
-    ``rows`` has _id, _text and _spans, the units that are cut; runs wholly within these do not count. A run's least hash of
+    ``rows`` has _id and _text, ``spans`` _id and _spans, the units that are cut; runs wholly within these do not count. A run's least hash of
     half its words depends on its words alone, so equal runs agree in it: these marks, about two in a quarter of ``run_words``
     words, are counted first, and only runs whose mark occurs again are hashed whole.
     """
@@ -131,16 +153,16 @@ def repeated_runs(rows: DataFrame, run_words: int, separator: str = "\n") -> Dat
             yield pa.record_batch([batch.column("_id").take(pa.array(owner.astype("i8"))), pa.array(one.view("i8")), pa.array(two.view("i8")), pa.array(at.astype("i4"))],
                                   names=["_id", "_one", "_two", "_at"])
 
-    marks = settle(rows.select("_id", "_text", "_spans").mapInArrow(mark, f"_id {kind}, _mark long, _low int, _high int"))
+    marks = settle(attach_to_texts(rows, spans).select("_id", "_text", "_spans").mapInArrow(mark, f"_id {kind}, _mark long, _low int, _high int"))
     again = settle(marks.groupBy("_mark").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
-    met = attach_by_key(marks, again, ["_mark"], weight="_n", how="inner", salt_by=["_id", "_low"])
+    met = attach_by_key(marks, again, ["_mark"], weight="_n", how="inner", salt_by=["_id", "_low"], broadcast_bytes=FACT_BYTES)
     ranges = settle(met.groupBy("_id").agg(F.collect_set(F.struct("_low", "_high")).alias("_ranges")))
-    hit = attach_by_key(rows, ranges, ["_id"], how="inner", salt_by=["_id"])
+    hit = attach_to_texts(rows, settle(ranges.join(spans, "_id", "left")), "inner")
     runs = settle(hit.select("_id", "_text", "_spans", "_ranges").mapInArrow(hash_runs, f"_id {kind}, _one long, _two long, _at int"))
     place = F.struct(F.col("_id").alias("id"), F.col("_at").alias("at"))
     firsts = runs.groupBy("_one", "_two").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1")
     firsts = settle(firsts.select("_one", "_two", "_n", F.col("_first.id").alias("_first"), F.col("_first.at").alias("_first_at")))
-    found = attach_by_key(runs, firsts, ["_one", "_two"], weight="_n", how="inner", salt_by=["_id", "_at"])
+    found = attach_by_key(runs, firsts, ["_one", "_two"], weight="_n", how="inner", salt_by=["_id", "_at"], broadcast_bytes=FACT_BYTES)
     later = ~(F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_at") == F.col("_first_at")))
     return found.where(later).groupBy("_id").agg(F.sort_array(F.collect_set(F.struct(F.col("_at").alias("at"), F.col("_first").alias("first_id")))).alias("_runs"))
 
@@ -204,10 +226,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = settle(removed.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct(
         F.col("_unit").alias("unit"), F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_first").alias("first_id")))).alias("_spans")))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    rows = attach_by_key(rows, spans, ["_id"], salt_by=["_id"])
+    facts = spans
     if run_words:
-        rows = settle(rows)
-        rows = attach_by_key(rows, settle(repeated_runs(rows.where("_id IS NOT NULL"), run_words, separator)), ["_id"], salt_by=["_id"])
+        facts = settle(spans.join(repeated_runs(rows.where("_id IS NOT NULL"), spans, run_words, separator), "_id", "full"))
+    rows = attach_to_texts(rows, facts)
     kind = spans.schema["_spans"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
