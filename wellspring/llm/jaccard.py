@@ -31,8 +31,9 @@ PIVOT_SHARE = 64  # comparisons with one pivot that go to the same group
 SKETCH_BITS = 20
 SKETCH_SLICES = 16
 MERGE = 32
-STAR_ROUNDS = 2
-PAIRS_PER_ENTRY = 256
+STAR_ROUNDS = 8
+PAIRS_PER_ENTRY = 4
+FIRST_LISTS = 8  # of a set, by which a pair is told to have met before
 _LIGHT, _HEAVY, _SECOND = np.uint64(0x632BE59BD9B4E019), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -255,6 +256,10 @@ def link_sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, rows: Dat
     lists = settle(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot"), F.max("rep").alias("other")).where("c > 1"))
     longer = settle(lists.where("c > 2").select("key", "c", "pivot"))
     shared = settle(attach_by_key(entries, longer, ["key"], weight="c", how="inner", salt_by=["rep"]).where("rep <> pivot").select("rep", "key", "pivot"))
+    # Long near copies share thousands of lists with the same members; one of these says it all.
+    alike = shared.groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("s2"))
+    alike = settle(alike.groupBy("pivot", "c", "s1", "s2").agg(F.min("key").alias("key")).select("key", "c"))
+    shared = settle(attach_by_key(shared, alike, ["key"], weight="c", how="left_semi", salt_by=["rep"]))
     facts = classes.where("rep IS NOT NULL").select("rep", "n", "odd")
     pairs = lists.where("c = 2").select(F.col("pivot").alias("a"), F.col("other").alias("b")).unionAll(
         shared.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))).distinct()
@@ -262,7 +267,7 @@ def link_sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, rows: Dat
     close = _close(settle(pairs.where(may_link(rule, "odd", "odd_b", "n", "nb")).select("a", "b")), classes, rule)
     checked = settle(_verify(close, docs, id_col, text_col, rule))
     tied = settle(components(_links(checked)))
-    open_ = shared.select("rep", "key")
+    open_, before = shared.select("rep", "key"), math.inf
     for number in itertools.count(1):
         comp = F.coalesce("component", "rep").alias("comp")
         open_ = open_.select("rep", "key").join(tied, F.col("rep") == F.col("node"), "left").select("rep", "key", comp)
@@ -272,12 +277,16 @@ def link_sets(docs: DataFrame, id_col: str, text_col: str, rule: Rule, rows: Dat
         entries_left, pairs_left = parts.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()
         if not entries_left:
             break
-        every = number > STAR_ROUNDS or pairs_left <= PAIRS_PER_ENTRY * entries_left
-        marked = open_.join(facts, "rep")
+        # Rounds of stars go on while they leave half of the pairs or less.
+        every = number > STAR_ROUNDS or pairs_left <= PAIRS_PER_ENTRY * entries_left or pairs_left > before / 2
+        before, marked = pairs_left, open_.join(facts, "rep")
         if every:
-            other = marked.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"), F.col("odd").alias("odd_b"))
-            pairs = marked.join(other, (marked["key"] == other["key"]) & (marked["rep"] < other["b"]) & (marked["comp"] != other["comp_b"])
-                                & may_link(rule, "odd", "odd_b", "n", "nb")).select(F.col("rep").alias("a"), "b")
+            # A pair meets in each list it shares. It is passed over where it is sure to have met in a list of a smaller key.
+            marked = marked.join(open_.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_LISTS).alias("first")), "rep")
+            other = marked.select(F.col("key").alias("key_b"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"), F.col("odd").alias("odd_b"), F.col("first").alias("first_b"))
+            met = F.coalesce(F.array_min(F.array_intersect("first", "first_b")) < F.col("key"), F.lit(False))
+            pairs = marked.join(other, (F.col("key") == F.col("key_b")) & (F.col("rep") < F.col("b")) & (F.col("comp") != F.col("comp_b"))
+                                & may_link(rule, "odd", "odd_b", "n", "nb") & ~met).select(F.col("rep").alias("a"), "b")
         else:
             centre = marked.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp", "odd"), F.xxhash64("rep", F.lit(number))).alias("p"))
             centre = centre.select("key", F.col("p.rep").alias("b"), F.col("p.n").alias("nb"), F.col("p.comp").alias("comp_b"), F.col("p.odd").alias("odd_b"))
