@@ -137,6 +137,37 @@ def test_knn_compares_few_pairs_of_a_sparse_column(spark, monkeypatch):
     assert large < 6 * small and large < 16000 * 800 / 4
 
 
+def test_knn_settles_as_many_tables_for_more_rows(spark, monkeypatch):
+    """Donors are moved once, not once for each level of cells."""
+    from wellspring.operators import neighbours
+
+    def settled(n: int) -> int:
+        tables, inner = [], neighbours.settle
+        with monkeypatch.context() as patch:
+            patch.setattr(neighbours, "settle", lambda df: tables.append(1) or inner(df))
+            df = spark.range(n).selectExpr("IF(id % 20 = 0, NULL, sin(id)) AS a", "pmod(id * 7919, 10007) / 10007 AS b", "CAST(id % 3 AS DOUBLE) AS c")
+            knn_impute(df, ["a", "b", "c"], k=3, rows_per_leaf=4)
+        return len(tables)
+
+    assert settled(4000) == settled(50) < 6
+
+
+def test_knn_with_a_small_sample_equals_brute_force(spark, monkeypatch):
+    """Cells cut by a sample of a tenth, visitors of a cell in several parts, donors alike besides the value."""
+    from wellspring.operators import neighbours
+
+    for name, value in (("SAMPLE_ROWS", 50), ("SAMPLE_AT_LEAST", 50), ("ASKING_ROWS", 100), ("VISITS_PER_PART", 16)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(500, 3)) * [9, 4, 30])
+    x[:60, 1:] = [2.0, 5.0]
+    x[rng.random(x.shape) < [0.6, 0.15, 0.1]] = np.nan
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) + (i,) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, i int")
+    got = knn_impute(df, list("abc"), k=4, rows_per_leaf=4).orderBy("i").select(*"abc").toPandas().to_numpy()
+    np.testing.assert_allclose(got, brute_force_neighbours(x, 4), rtol=1e-9)
+
+
 def test_iterative_finds_a_linear_relation(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 3))

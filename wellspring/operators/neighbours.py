@@ -4,37 +4,80 @@ Distance between two rows: the sum of squared differences over the columns both
 columns / shared columns, then the root. A missing value becomes the mean of the k nearest rows that
 have it; of equally near rows those with the smaller value come first.
 
-Equal rows are merged first, with their count. For each column with gaps the rows that have it, its
-*donors*, are divided into cells, level by level: a cell with too many donors is cut at quantiles of
-the column that varies most in it, donors without that column making a cell of their own. So a
-column known in few rows has a small tree, whatever the number of the other rows. The box of a cell
-bounds the distances to its donors from below and from above. A row with a gap goes down to one
-cell first; the k-th distance found there, or the k-th upper bound on the way, limits the second
-way down, which takes every cell that may hold a nearer donor.
+Equal rows are merged first, with their count. For each column with gaps the rows that have it are its
+*donors*. A bounded sample of them is divided into cells by cuts at medians of the column that varies
+most, rows without that column apart. The cuts hold for all donors, so every donor has one cell, and
+what the cuts say about a cell bounds the distances to its donors from below. The sample's k-th nearest
+donor bounds the distance of a row with a gap from above: the row visits every cell that may hold a
+donor as near as that. So the sample decides how many cells are visited, never which donors are found.
+One shuffle brings the donors of a cell and its visitors together; there the donors are divided
+again, into leaves, and the nearest of a visitor are looked for in the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.functions.nulls import nan_to_null
 from wellspring.operators.keyed import attach_by_key
 from wellspring.session import settle
 
-ROWS_PER_LEAF = 256
-FANOUT = 64
-QUERIES_PER_PART = 4096
-QUERIES_AT_ONCE = 1024
+ROWS_PER_LEAF = 128
+LEAVES_PER_CELL = 4  # at least
+CELLS = 1024  # for a column, until they hold ROWS_PER_CELL each
+ROWS_PER_CELL = 65536
+SAMPLE_ROWS = 2 ** 17  # donors of a column in the sample
+SAMPLE_NUMBERS = 2 ** 22  # in the sample of all columns, where they are many
+SAMPLE_AT_LEAST = 2048
+ASKING_ROWS = 16384  # in the sample that tells how many rows will visit a cell
+VISITS_PER_PART = 16384
+ROWS_AT_ONCE = 65536
+QUERIES_AT_ONCE = 4096
+HOMES = 3
+HASHES = 2 ** 30
 SLACK = 1 + 1e-9  # of a bound, for rounding
-_PLACE = "_id bigint, _target int, _cell string, _open boolean, _numbers array<double>"
-_FOUND = "_id bigint, _target int, _distance double, _value double, _copies double"
-Work = Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, list[pa.Array]]]]
+_FOUND = "_id bigint, _target int, _near array<struct<distance: double, value: double, copies: double>>"
+Work = Callable[[np.ndarray, np.ndarray | None, np.ndarray], tuple[np.ndarray, list[np.ndarray]]]
+
+
+class Boxes(NamedTuple):
+    """For each group of donors and column: whether any donor has it, and its ends if all have it, else infinite ones."""
+
+    some: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+class Cuts(NamedTuple):
+    """Nodes of a tree: column and value of the cut, the nodes of values up to it, beyond it and missing, the leaf or -1."""
+
+    axis: np.ndarray
+    cut: np.ndarray
+    kids: np.ndarray
+    leaf: np.ndarray
+
+
+class Index(NamedTuple):
+    """Donors (columns, value, copies) in the order of their leaves, and where each leaf starts."""
+
+    boxes: Boxes
+    starts: np.ndarray
+    facts: np.ndarray
+
+
+class Plan(NamedTuple):
+    """How to deal out the donors and visitors of a column: cuts into cells, the sample by cell, first part and parts of each cell."""
+
+    cuts: Cuts
+    sample: Index
+    first: np.ndarray
+    parts: np.ndarray
 
 
 def knn_impute(df: DataFrame, columns: Sequence[str], k: int = 5, rows_per_leaf: int = ROWS_PER_LEAF) -> DataFrame:
@@ -54,214 +97,338 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = 5, rows_per_leaf:
     gaps = [i for i in range(len(columns)) if 0 < facts[f"k{i}"] < facts["n"]]
     if not gaps:
         return clean
-    values = vectors.select("_id", "_copies", F.array(*columns).alias("_v"))
-    filled = _neighbour_values(values, gaps, len(columns), k, rows_per_leaf)
+    values = vectors.select("_id", "_copies", *[F.col(c).alias(f"_x{i}") for i, c in enumerate(columns)])
+    filled = settle(_neighbour_values(values, {i: facts[f"k{i}"] for i in gaps}, facts["n"], len(columns), k, rows_per_leaf))
     patched = filled.groupBy("_id").agg(*[F.max(F.when(F.col("_target") == i, F.col("_value"))).alias(f"_fill_{i}") for i in gaps])
     table = settle(vectors.join(patched, "_id").select(*columns, "_copies", *[f"_fill_{i}" for i in gaps]))
-    joined = attach_by_key(clean, table, columns, weight="_copies")
+    gap = F.greatest(*[F.col(columns[i]).isNull() for i in gaps], F.lit(False))
+    joined = attach_by_key(clean.where(gap), table, columns, weight="_copies")
     return joined.withColumns({
         columns[i]: F.coalesce(F.col(columns[i]), F.col(f"_fill_{i}"), F.lit(facts[f"m{i}"])) for i in gaps
-    }).drop("_copies", *[f"_fill_{i}" for i in gaps])
-
-
-def _neighbour_values(values: DataFrame, gaps: Sequence[int], d: int, k: int, rows_per_leaf: int) -> DataFrame:
-    """(_id, _target, _value) for every gap that has a comparable row."""
-    levels, leaves = _grow(_donors(values, gaps, k), d, rows_per_leaf)
-    divided = [int(r["_cell"]) for r in levels[0].where("_axis IS NOT NULL").select("_cell").collect()]  # roots: one for each column
-    missing = F.array_compact(F.array(*[F.when(F.col("_v")[i].isNull(), F.lit(i)) for i in gaps]))
-    queries = settle(
-        values.where(F.exists("_v", lambda x: x.isNotNull())).select("_id", F.explode(missing).alias("_target"), "_v").select(
-            "_id", "_target", F.col("_target").cast("string").alias("_cell"), F.col("_target").isin(divided).alias("_open"),
-            F.concat("_v", F.array(F.lit(float("inf")))).alias("_numbers")))
-    donors = leaves.select("_cell", F.lit("").alias("_name"), F.concat("_v", F.array("_value", "_copies")).alias("_numbers"))
-    nearest = _per_cell(_nearest_donors(d, k), _FOUND)
-
-    home = _descend(queries, levels, _per_cell(_cells_to_visit(d, k, one=True), _PLACE))
-    bounds = _meet(home, donors, nearest).groupBy("_id", "_target").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("_distance") * SLACK).alias("_bound"))
-    bounded = settle(queries.join(bounds, ["_id", "_target"], "left").withColumn("_numbers", F.concat(
-        F.slice("_numbers", 1, d), F.array(F.coalesce("_bound", F.lit(float("inf")))))).drop("_bound"))
-    reached = _descend(bounded, levels, _per_cell(_cells_to_visit(d, k, one=False), _PLACE))
-
-    order = Window.partitionBy("_id", "_target").orderBy("_distance", "_value")
-    best = _meet(reached, donors, nearest).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
-    before = F.coalesce(F.sum("_copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    taken = best.withColumn("_weight", F.greatest(F.lit(0.0), F.least(F.col("_copies"), k - before)))
-    return taken.groupBy("_id", "_target").agg((F.sum(F.col("_value") * F.col("_weight")) / F.sum("_weight")).alias("_value"))
-
-
-def _donors(values: DataFrame, gaps: Sequence[int], k: int) -> DataFrame:
-    """(_target, _v, _value, _copies): rows that have the target, without it; of rows alike besides it those with the k smallest values."""
-    has = F.array_compact(F.array(*[F.when(F.col("_v")[i].isNotNull(), F.lit(i)) for i in gaps]))
-    rows = values.select(F.explode(has).alias("_target"), "_v", "_copies").select(
-        "_target", F.transform("_v", lambda x, i: F.when(i != F.col("_target"), x)).alias("_v"), F.get("_v", "_target").alias("_value"), "_copies")
-    alike = Window.partitionBy("_target", "_v").orderBy("_value")
-    known = rows.where(F.exists("_v", lambda x: x.isNotNull()))
-    return known.withColumn("_rank", F.row_number().over(alike)).where(F.col("_rank") <= k).drop("_rank")
-
-
-def _grow(donors: DataFrame, d: int, rows_per_leaf: int) -> tuple[list[DataFrame], DataFrame]:
-    """The boxes of each level of cells, with the column by which a cell is divided, and the donors with their leaf."""
-    rows = settle(donors.withColumns({"_cell": F.col("_target").cast("string"), "_parent": F.lit("")}))
-    levels, leaves = [], []
-    while True:
-        levels.append(settle(_boxes(rows, d, rows_per_leaf)))
-        divided = settle(levels[-1].where("_axis IS NOT NULL").select("_cell", "_axis", "_rows"))
-        if divided.isEmpty():
-            return levels, reduce(DataFrame.unionByName, [*leaves, rows])
-        marked = settle(attach_by_key(rows, divided, ["_cell"], weight="_rows", salt_by=["_v"]))
-        leaves.append(marked.where("_axis IS NULL").drop("_axis", "_rows"))
-        moving = marked.where("_axis IS NOT NULL").withColumn("_x", F.get("_v", "_axis"))
-        parts = F.least(F.lit(FANOUT), F.ceil(F.col("_rows") / rows_per_leaf)).cast("int")
-        shares = [i / FANOUT for i in range(1, FANOUT)]
-        cuts = settle(
-            moving.groupBy("_cell", "_rows").agg(F.percentile_approx("_x", shares, 100 * FANOUT).alias("_q")).select(
-                "_cell", "_rows", F.array_distinct(F.transform(
-                    F.sequence(F.lit(1), parts - 1), lambda i: F.get("_q", F.floor(i * FANOUT / parts).cast("int") - 1))).alias("_cuts")))
-        x = F.col("_x")  # a value that is itself a cut has a cell of its own, so every cut divides
-        place = F.size(F.filter("_cuts", lambda c: c < x)) + F.size(F.filter("_cuts", lambda c: c <= x))
-        child = F.concat_ws(".", "_cell", F.when(x.isNull(), F.lit("n")).otherwise(place.cast("string")))
-        rows = settle(attach_by_key(moving.drop("_rows"), cuts, ["_cell"], weight="_rows", salt_by=["_v"]).select(
-            "_target", "_v", "_value", "_copies", child.alias("_cell"), F.col("_cell").alias("_parent")))
-
-
-def _boxes(rows: DataFrame, d: int, rows_per_leaf: int) -> DataFrame:
-    """(_cell, _parent, _rows, _known, _low, _high, _axis): how many donors have each column, its ends, the column to cut by or null."""
-    def each(f) -> Column:
-        return F.array(*[f(F.col("_v")[i]) for i in range(d)])
-
-    boxes = rows.groupBy("_cell", "_parent").agg(
-        F.count(F.lit(1)).alias("_rows"), each(F.count).alias("_known"), each(F.min).alias("_low"), each(F.max).alias("_high"),
-        each(F.stddev_pop).alias("_spread"))
-
-    def score(i: Column) -> Column:
-        known = F.get("_known", i)
-        spread = F.nanvl(F.coalesce(F.get("_spread", i), F.lit(0.0)), F.lit(0.0)) * known / F.col("_rows")
-        return (F.when(F.get("_high", i) > F.get("_low", i), F.greatest(spread, F.lit(1e-300)))
-                .when((known > 0) & (known < F.col("_rows")), F.lit(1e-301)).otherwise(F.lit(-1.0)))
-
-    scored = boxes.withColumn("_scores", F.transform(F.sequence(F.lit(0), F.lit(d - 1)), score)).withColumn("_top", F.array_max("_scores"))
-    cut = (F.col("_rows") > 2 * rows_per_leaf) & (F.col("_top") > 0)
-    return scored.withColumn("_axis", F.when(cut, (F.array_position("_scores", F.col("_top")) - 1).cast("int"))).drop("_scores", "_top", "_spread")
-
-
-def _descend(queries: DataFrame, levels: Sequence[DataFrame], visit) -> DataFrame:
-    """The leaves that each query comes to."""
-    at, there = queries, []
-    for boxes in levels[1:]:
-        there.append(at.where("NOT _open"))
-        children = boxes.select(F.col("_parent").alias("_cell"), F.col("_cell").alias("_name"), F.concat(
-            F.array(F.col("_rows").cast("double"), F.col("_axis").isNotNull().cast("double")), F.col("_known").cast("array<double>"), "_low", "_high").alias("_numbers"))
-        at = settle(_meet(at.where("_open"), children, visit))
-    return settle(reduce(DataFrame.unionByName, [*there, at])) if there else at
-
-
-def _meet(queries: DataFrame, facts: DataFrame, run) -> DataFrame:
-    """Each query of a cell with all the facts of the cell, of which there are few; a cell of many queries is spread over parts."""
-    counts = settle(queries.groupBy("_cell").agg(F.count(F.lit(1)).alias("_c")).withColumn("_parts", F.ceil(F.col("_c") / QUERIES_PER_PART).cast("int")))
-    asking = attach_by_key(queries, counts, ["_cell"], weight="_c", salt_by=["_id"]).select(
-        "_cell", F.expr("pmod(xxhash64(_id), _parts)").cast("int").alias("_part"), F.lit(True).alias("_ask"), "_id", "_target", F.lit("").alias("_name"), "_numbers")
-    given = attach_by_key(facts, counts, ["_cell"], how="inner").select(
-        "_cell", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(False).alias("_ask"),
-        F.lit(0).cast("long").alias("_id"), F.lit(0).alias("_target"), "_name", "_numbers")
-    ready = given.unionByName(asking).repartition("_cell", "_part").sortWithinPartitions("_cell", "_part", "_ask")
-    return ready.mapInArrow(run[0], run[1])
-
-
-def _per_cell(work: Work, schema: str):
-    """``work`` on the facts of a cell and batches of its queries, as a function over sorted batches of both."""
-    names = [part.split()[0] for part in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, facts, labels = None, [], []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells, parts, asks, label = (batch.column(c).to_pylist() for c in ("_cell", "_part", "_ask", "_name"))
-            lists = batch.column("_numbers")
-            numbers = lists.flatten().to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            keys = list(zip(cells, parts, asks))
-            starts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            for a, b in zip(starts, starts[1:]):
-                block = numbers[ends[a]:ends[b]].reshape(b - a, -1)
-                if not asks[a]:
-                    if here != keys[a][:2]:
-                        here, facts, labels = keys[a][:2], [], []
-                    facts.append(block)
-                    labels += label[a:b]
-                    continue
-                if here != keys[a][:2]:
-                    raise RuntimeError("the facts of a cell are missing")
-                known, named = np.concatenate(facts), np.array(labels, object)
-                for s in range(0, b - a, QUERIES_AT_ONCE):
-                    rows, columns = work(known, named, block[s:s + QUERIES_AT_ONCE])
-                    at = pa.array(rows + a + s)
-                    yield pa.record_batch([batch.column("_id").take(at), batch.column("_target").take(at), *columns], names=names)
-
-    return run, schema
+    }).drop("_copies", *[f"_fill_{i}" for i in gaps]).unionByName(clean.where(~gap))
+
+
+def _neighbour_values(values: DataFrame, gaps: dict[int, int], n: int, d: int, k: int, rows_per_leaf: int) -> DataFrame:
+    """(_id, _target, _value) for every gap that has a comparable row. ``gaps`` counts the rows that have each column with gaps."""
+    nearest = _nearest_donors(d, k)
+    plans = _plans(values, gaps, n, d, k, rows_per_leaf, nearest)
+    targets = np.concatenate([np.full(int(plan.parts.sum()), t) for t, plan in plans.items()])
+    context = values.sparkSession.sparkContext
+    shared = context.broadcast(plans)
+    dealt = values.mapInArrow(
+        _deal(shared, d, k, nearest), "_part int, _ask boolean, _id bigint, " + ", ".join(f"_x{i} double" for i in range(d)) + ", _number double")
+    tasks = min(len(targets), max(8 * context.defaultParallelism, len(targets) // 8))
+    ready = dealt.repartition(tasks, "_part").sortWithinPartitions("_part", "_ask")
+    found = ready.mapInArrow(_meet(targets, d, k, rows_per_leaf, nearest), _FOUND)
+    near = found.groupBy("_id", "_target").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_near"))
+    start = F.struct(F.lit(0.0).alias("copies"), F.lit(0.0).alias("total"))
+
+    def add(done, one):
+        taken = F.least(one["copies"], k - done["copies"])
+        return F.struct((done["copies"] + taken).alias("copies"), (done["total"] + one["value"] * taken).alias("total"))
+
+    return near.select("_id", "_target", F.aggregate("_near", start, add, lambda done: done["total"] / done["copies"]).alias("_value"))
+
+
+def _plans(values: DataFrame, gaps: dict[int, int], n: int, d: int, k: int, rows_per_leaf: int, nearest: Work) -> dict[int, Plan]:
+    """The cells of each column with gaps, from rows with the least hashes: a bounded number of donors of each column and of rows that ask."""
+    numbers = [f"_x{i}" for i in range(d)]
+    most = max(SAMPLE_AT_LEAST, min(SAMPLE_ROWS, SAMPLE_NUMBERS // (d * d)))
+    shares = {t: min(1.0, most / known) for t, known in gaps.items()}
+    asking = min(1.0, ASKING_ROWS / n)
+    place = F.pmod(F.xxhash64(*numbers), F.lit(HASHES)) / float(HASHES)
+    taken = F.col("_place") < asking
+    for t, share in shares.items():
+        taken = taken | (F.col(f"_x{t}").isNotNull() & (F.col("_place") < share))
+    sample = values.select(*numbers, "_copies", place.alias("_place")).where(taken).toArrow()
+    x, (copies, places) = _matrix(sample, numbers), _matrix(sample, ["_copies", "_place"]).T
+    plans, first = {}, 0
+    for t, share in shares.items():
+        mine = np.flatnonzero(_known(x, t) & (places < share))
+        donors = mine[_least_alike(x[mine], t, k)]
+        rows = max(LEAVES_PER_CELL * rows_per_leaf, min(gaps[t] / CELLS, ROWS_PER_CELL))
+        cuts, boxes, order, starts = _divide(x[donors], t, max(2.0 * k, rows * share), closed=False)
+        at = donors[order]
+        index = Index(boxes, starts, np.column_stack([x[at], x[at, t], copies[at]]))
+        visits = np.zeros(len(starts) - 1)
+        asks = x[_asks(x, t) & (places < asking)]
+        for s in range(0, len(asks), QUERIES_AT_ONCE):
+            visits += np.bincount(_cells(index, asks[s:s + QUERIES_AT_ONCE], k, nearest)[1], minlength=len(visits))
+        parts = np.ceil(visits / asking / np.maximum(VISITS_PER_PART, np.diff(starts) / share)).astype(int).clip(1)
+        plans[t] = Plan(cuts, index, first + np.cumsum(parts) - parts, parts)
+        first += int(parts.sum())
+    return plans
+
+
+def _matrix(table: pa.Table | pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """Columns side by side, nulls as NaN."""
+    return np.column_stack([table.column(c).to_numpy(**({} if isinstance(table, pa.Table) else {"zero_copy_only": False})) for c in names]).astype(float)
+
+
+def _known(x: np.ndarray, target: int) -> np.ndarray:
+    """Rows that have the target and another column."""
+    known = ~np.isnan(x)
+    return known[:, target] & (known.sum(axis=1) > 1)
+
+
+def _asks(x: np.ndarray, target: int) -> np.ndarray:
+    """Rows without the target that have another column."""
+    known = ~np.isnan(x)
+    return ~known[:, target] & known.any(axis=1)
+
+
+def _least_alike(x: np.ndarray, target: int, k: int) -> np.ndarray:
+    """Where the rows are that have, of rows alike besides the target, the k smallest values."""
+    others = np.delete(x, target, axis=1)
+    order = np.lexsort([x[:, target], *others.T])
+    a, b = others[order[1:]], others[order[:-1]]
+    new = np.concatenate([[True], ((a != b) & ~(np.isnan(a) & np.isnan(b))).any(axis=1)])[:len(x)]
+    begins = np.flatnonzero(new)
+    return order[np.arange(len(x)) - begins[np.cumsum(new) - 1] < k] if len(x) else order
+
+
+def _divide(x: np.ndarray, target: int, rows_per_leaf: float, closed: bool) -> tuple[Cuts, Boxes, np.ndarray, np.ndarray]:
+    """Rows cut at medians into leaves: the cuts, boxes of the leaves, the rows in the order of leaves, where leaves start.
+
+    If ``closed`` the boxes are those of the rows at hand, else they hold for any row that the cuts bring there.
+    """
+    d = x.shape[1]
+    axes, cuts, kids, leaf, order, boxes = [], [], [], [], [], []
+    waiting = [(np.arange(len(x)), np.full(d, -np.inf), np.full(d, np.inf), np.ones(d), np.zeros(d, bool), None)]
+    while waiting:
+        at, low, high, some, sure, origin = waiting.pop()
+        node = len(axes)
+        if origin is not None:
+            kids[origin[0]][origin[1]] = node
+        axis, cut = _best_cut(x[at], target) if len(at) > rows_per_leaf else (None, 0.0)
+        axes.append(0 if axis is None else axis)
+        cuts.append(cut)
+        kids.append([node, node, node])
+        leaf.append(len(order) if axis is None else -1)
+        if axis is None:
+            order.append(at)
+            boxes.append((some, low, high))
+            continue
+        v = x[at, axis]
+        with_it, ends, begins = sure.copy(), high.copy(), low.copy()
+        with_it[axis], ends[axis], begins[axis] = True, cut, cut
+        if not sure[axis]:
+            without, unbound = some.copy(), (low, high)
+            without[axis] = 0.0
+            if not closed or np.isnan(v).any():
+                waiting.append((at[np.isnan(v)], *unbound, without, sure, (node, 2)))
+        if not closed or (v > cut).any():
+            waiting.append((at[v > cut], begins, high, some, with_it, (node, 1)))
+        if not closed or (v <= cut).any():
+            waiting.append((at[v <= cut], low, ends, some, with_it, (node, 0)))
+    rows, starts = np.concatenate(order), np.concatenate([[0], np.cumsum([len(a) for a in order])])
+    if closed:
+        sorted_ = x[rows]
+        known = ~np.isnan(sorted_)
+        some, all_ = np.logical_or.reduceat(known, starts[:-1]), np.logical_and.reduceat(known, starts[:-1])
+        box = Boxes(some.astype(float), np.where(all_, np.fmin.reduceat(sorted_, starts[:-1]), -np.inf),
+                    np.where(all_, np.fmax.reduceat(sorted_, starts[:-1]), np.inf))
+    else:
+        box = Boxes(*(np.array(part, float).reshape(-1, d) for part in zip(*boxes)))
+    return Cuts(np.array(axes), np.array(cuts, float), np.array(kids), np.array(leaf)), box, rows, starts
+
+
+def _best_cut(x: np.ndarray, target: int) -> tuple[int | None, float]:
+    """The column that varies most, and a value at or next to its median that leaves rows on both sides or only sets the missing apart."""
+    known = ~np.isnan(x)
+    count, low, high = known.sum(axis=0), np.fmin.reduce(x), np.fmax.reduce(x)
+    with np.errstate(all="ignore"):
+        mean = np.where(known, x, 0.0).sum(axis=0) / np.maximum(count, 1)
+        spread = np.nan_to_num(np.sqrt((np.where(known, x - mean, 0.0) ** 2).sum(axis=0)) * count, posinf=0.0)
+    score = np.where(high > low, np.maximum(spread, 1e-300), np.where((count > 0) & (count < len(x)), 1e-301, -1.0))
+    score[target] = -1.0
+    axis = int(score.argmax())
+    if score[axis] <= 0:
+        return None, 0.0
+    v = x[known[:, axis], axis]
+    cut = np.partition(v, (len(v) - 1) // 2)[(len(v) - 1) // 2]
+    return axis, float(v[v < cut].max() if cut == high[axis] > low[axis] else cut)
+
+
+def _leaves(cuts: Cuts, x: np.ndarray) -> np.ndarray:
+    """The leaf of each row."""
+    node, every = np.zeros(len(x), int), np.arange(len(x))
+    while len(x):
+        v = x[every, cuts.axis[node]]
+        after = cuts.kids[node, np.where(np.isnan(v), 2, v > cuts.cut[node])]
+        if (after == node).all():
+            break
+        node = after
+    return cuts.leaf[node]
+
+
+def _least_distances(asked: np.ndarray, boxes: Boxes) -> np.ndarray:
+    """What the distance of each row to a donor in each box is at least.
+
+    The donors share with the row at most the columns that any of them has; those that all have are as far as the box.
+    """
+    known, least = ~np.isnan(asked), np.zeros((len(asked), len(boxes.some)))
+    for c in np.flatnonzero(known.any(axis=0)):
+        x = asked[:, c, None]
+        gap = np.fmax(np.fmax(boxes.low[:, c] - x, x - boxes.high[:, c]), 0.0)
+        least += gap * gap
+    most = known.astype(float) @ boxes.some.T
+    return np.where(most > 0, np.sqrt(least * (asked.shape[1] / np.maximum(most, 1))), np.inf)
 
 
 def _nearest_donors(d: int, k: int) -> Work:
-    """The k nearest of the donors of a leaf."""
+    """Of the donors of a leaf those not beyond the k-th distance nor the bound of a row: (row, distance, value, copies)."""
     def work(facts, labels, asked):
-        facts = facts[np.argsort(facts[:, d], kind="stable")]
         squares, shared = np.zeros((len(asked), len(facts))), np.zeros((len(asked), len(facts)))
-        for c in range(d):
+        for c in np.flatnonzero(~np.isnan(asked[:, :d]).all(axis=0)):
             apart = asked[:, c, None] - facts[None, :, c]
             both = ~np.isnan(apart)
             squares += np.where(both, apart * apart, 0.0)
             shared += both
         distance = np.where(shared > 0, np.sqrt(squares * (d / np.maximum(shared, 1))), np.inf)
-        order = np.argsort(distance, axis=1, kind="stable")[:, :k]
-        near = np.take_along_axis(distance, order, 1)
-        row, place = np.nonzero(np.isfinite(near))
-        donor = order[row, place]
-        return row, [pa.array(near[row, place]), pa.array(facts[donor, d]), pa.array(facts[donor, d + 1])]
+        bound = asked[:, d]
+        if len(facts) > k:
+            bound = np.minimum(bound, np.partition(distance, k - 1, axis=1)[:, k - 1])
+        row, donor = np.nonzero((distance <= bound[:, None]) & np.isfinite(distance))
+        return row, [distance[row, donor], facts[donor, d], facts[donor, d + 1]]
 
     return work
 
 
-def _cells_to_visit(d: int, k: int, one: bool) -> Work:
-    """The children of a cell that may hold one of the k nearest donors, or the most promising one.
+def _search(index: Index, asked: np.ndarray, k: int, nearest: Work) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest donors of each row within its bound, as (row, [distance, value, copies]), and the least distances to all boxes.
 
-    All donors of a child share with the query at most the columns that any of them has, and at least those that
-    all of them have. The latter have a least distance to the box; the former, for the donors that have the column
-    known best, a greatest one.
+    The bound of a row stands in its last column. The nearest leaf bounds it further, then every leaf within the bound is compared.
     """
-    def work(facts, labels, asked):
-        rows, known, low, high = facts[:, 0], facts[:, 2:2 + d], facts[:, 2 + d:2 + 2 * d], facts[:, 2 + 2 * d:2 + 3 * d]
-        shape = (len(asked), len(facts))
-        least, greatest, most, fewest, sure = (np.zeros(shape) for _ in range(5))
-        for c in range(d):
-            x = asked[:, c, None]
-            some = ~np.isnan(x) & (known[None, :, c] > 0)
-            all_ = some & (known[None, :, c] == rows[None, :])
-            gap = np.maximum(np.maximum(low[None, :, c] - x, x - high[None, :, c]), 0.0)
-            far = np.maximum(np.abs(x - low[None, :, c]), np.abs(x - high[None, :, c]))
-            least += np.where(all_, gap * gap, 0.0)
-            greatest += np.where(some, far * far, 0.0)
-            most += some
-            fewest += all_
-            sure = np.maximum(sure, np.where(some, known[None, :, c], 0.0))
-        lower = np.where(most > 0, np.sqrt(least * (d / np.maximum(most, 1))), np.inf)
-        upper = np.where(most > 0, np.sqrt(greatest * (d / np.maximum(fewest, 1))) * SLACK, np.inf)
-        if one:
-            enough = np.where(sure >= k, lower, np.inf)
-            best = enough.min(axis=1, keepdims=True)
-            row = np.arange(len(asked))
-            child = np.argmax(np.where((enough == best) & (np.isfinite(best) | (most > 0)), sure, -1.0), axis=1)
-            bound = asked[:, d]
-        else:
-            order = np.argsort(upper, axis=1)
-            reached = np.cumsum(np.take_along_axis(sure, order, 1), axis=1) >= k
-            at = np.take_along_axis(order, reached.argmax(axis=1)[:, None], 1)
-            limit = np.where(reached.any(axis=1), np.take_along_axis(upper, at, 1)[:, 0], np.inf)
-            bound = np.minimum(asked[:, d], limit)
-            row, child = np.nonzero((lower <= bound[:, None]) & (most > 0))
-            bound = bound[row]
-        place = np.column_stack([asked[row, :d], bound])
-        numbers = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * (d + 1), pa.int32()), pa.array(place.ravel()))
-        return row, [pa.array(labels[child], pa.string()), pa.array(facts[child, 1] > 0), numbers]
+    asked, found = asked.copy(), [(np.zeros(0, int), np.zeros((0, 3)))]
+    d = asked.shape[1] - 1
+    least = _least_distances(asked[:, :d], index.boxes)
+    ahead = np.where(np.diff(index.starts) > 0, least, np.inf)
+
+    def visit(rows: np.ndarray, leaves: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        order = np.argsort(leaves, kind="stable")
+        rows, leaves = rows[order], leaves[order]
+        ends = np.concatenate([np.flatnonzero(np.diff(leaves, prepend=-1)), [len(leaves)]])
+        met = []
+        for a, b in zip(ends, ends[1:]):
+            row, numbers = nearest(index.facts[index.starts[leaves[a]]:index.starts[leaves[a] + 1]], None, asked[rows[a:b]])
+            met.append((rows[a:b][row], np.column_stack(numbers)))
+        return met
+
+    unbound = np.arange(len(asked))
+    for _ in range(HOMES):
+        home = ahead[unbound].argmin(axis=1)
+        there = np.isfinite(ahead[unbound, home])
+        unbound, home = unbound[there], home[there]
+        if not len(unbound):
+            break
+        met = visit(unbound, home)
+        found += met
+        rows, distance = np.concatenate([m[0] for m in met]), np.concatenate([m[1][:, 0] for m in met])
+        furthest = np.full(len(asked), -np.inf)
+        np.maximum.at(furthest, rows, distance)
+        enough = np.bincount(rows, minlength=len(asked)) >= k
+        asked[enough, d] = np.minimum(asked[enough, d], furthest[enough])
+        ahead[unbound, home] = np.inf
+        unbound = unbound[np.isinf(asked[unbound, d])]
+    found += visit(*np.nonzero((ahead <= asked[:, d:] * SLACK) & np.isfinite(ahead)))
+    row, numbers = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    order = np.lexsort([numbers[:, 1], numbers[:, 0], row])
+    row = row[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], numbers[order[kept]], least
+
+
+def _cells(index: Index, asked: np.ndarray, k: int, nearest: Work) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, bound): the cells that may hold one of the k nearest donors of each row, which the sample's k-th bounds."""
+    row, numbers, least = _search(index, np.column_stack([asked, np.full(len(asked), np.inf)]), k, nearest)
+    furthest = np.full(len(asked), -np.inf)
+    np.maximum.at(furthest, row, numbers[:, 0])
+    bound = np.where(np.bincount(row, minlength=len(asked)) >= k, furthest * SLACK, np.inf)
+    at, cell = np.nonzero((least <= bound[:, None]) & np.isfinite(least))
+    return at, cell, bound[at]
+
+
+def _deal(shared, d: int, k: int, nearest: Work):
+    """Each row to the part of its cell for every column that it has, and to all cells it must visit for every column it lacks."""
+    names = [f"_x{i}" for i in range(d)]
+
+    def rows(part, ask, ids, x, number) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch(
+            [pa.array(part, pa.int32()), pa.array(np.full(len(part), ask)), pa.array(ids, pa.int64()),
+             *[pa.array(np.ascontiguousarray(x[:, i])) for i in range(d)], pa.array(number)],
+            names=["_part", "_ask", "_id", *names, "_number"])
+
+    def deal(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        x, ids, copies = _matrix(table, names), table.column("_id").to_numpy(), table.column("_copies").to_numpy()
+        for t, plan in shared.value.items():
+            mine = np.flatnonzero(_known(x, t))
+            mine = mine[_least_alike(x[mine], t, k)]
+            cell = _leaves(plan.cuts, x[mine])
+            times = plan.parts[cell]
+            at = np.repeat(np.arange(len(mine)), times)
+            part = plan.first[cell[at]] + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            for s in range(0, len(at), ROWS_AT_ONCE):
+                e = slice(s, s + ROWS_AT_ONCE)
+                yield from rows(part[e], False, np.zeros(len(at[e]), int), x[mine[at[e]]], copies[mine[at[e]]])
+            asks = np.flatnonzero(_asks(x, t))
+            for s in range(0, len(asks), QUERIES_AT_ONCE):
+                some = asks[s:s + QUERIES_AT_ONCE]
+                at, cell, bound = _cells(plan.sample, x[some], k, nearest)
+                at = some[at]
+                yield from rows(plan.first[cell] + ids[at] % plan.parts[cell], True, ids[at], x[at], bound)
 
-    return work
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROWS_AT_ONCE:
+                yield from deal(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from deal(pa.Table.from_batches(held))
+
+    return run
+
+
+def _meet(targets: np.ndarray, d: int, k: int, rows_per_leaf: int, nearest: Work):
+    """The nearest donors in a part for each of its visitors; the donors come first."""
+    names = [f"_x{i}" for i in range(d)]
+
+    def grown(donors: list[np.ndarray], target: int) -> Index | None:
+        if not donors:
+            return None
+        rows = np.concatenate(donors)
+        rows = rows[_least_alike(rows[:, :d], target, k)]
+        _, boxes, order, starts = _divide(rows[:, :d], target, rows_per_leaf, closed=True)
+        return Index(boxes, starts, np.column_stack([rows[order, :d], rows[order, target], rows[order, d]]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, donors, index, asking = -1, [], None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, ask = batch.column("_part").to_numpy(), batch.column("_ask").to_numpy(zero_copy_only=False)
+            ids, x = batch.column("_id").to_numpy(), _matrix(batch, [*names, "_number"])
+            changes = np.flatnonzero((part[1:] != part[:-1]) | (ask[1:] != ask[:-1])) + 1
+            for a, b in zip([0, *changes], [*changes, len(part)]):
+                if part[a] != here:
+                    here, donors, index, asking = part[a], [], None, False
+                if not ask[a]:
+                    donors.append(x[a:b])
+                    continue
+                if not asking:
+                    index, donors, asking = grown(donors, targets[here]), [], True
+                if index is None:
+                    continue
+                for s in range(a, b, QUERIES_AT_ONCE):
+                    e = min(b, s + QUERIES_AT_ONCE)
+                    row, numbers, _ = _search(index, x[s:e], k, nearest)
+                    begins = np.flatnonzero(np.diff(row, prepend=-1))
+                    near = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in numbers.T], names=["distance", "value", "copies"])
+                    yield pa.record_batch(
+                        [pa.array(ids[s:e][row[begins]]), pa.array(np.full(len(begins), targets[here]), pa.int32()),
+                         pa.ListArray.from_arrays(pa.array(np.append(begins, len(row)), pa.int32()), near)], names=["_id", "_target", "_near"])
+
+    return run
