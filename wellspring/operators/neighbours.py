@@ -35,10 +35,12 @@ ROWS_PER_CELL = 65536
 SAMPLE_ROWS = 2 ** 17  # donors of a column in the sample
 SAMPLE_NUMBERS = 2 ** 22  # in the sample of all columns, where they are many
 SAMPLE_AT_LEAST = 2048
+SAMPLE_PER_CELL = 64  # at most, in a cell of the usual size
 ASKING_ROWS = 16384  # in the sample that tells how many rows will visit a cell
 VISITS_PER_PART = 16384
 ROWS_AT_ONCE = 65536
-QUERIES_AT_ONCE = 4096
+QUERIES_AT_ONCE = 16384  # at most
+BOUNDS_AT_ONCE = 2 ** 22  # of rows and boxes
 HOMES = 3
 HASHES = 2 ** 30
 SLACK = 1 + 1e-9  # of a bound, for rounding
@@ -134,7 +136,8 @@ def _plans(values: DataFrame, gaps: dict[int, int], n: int, d: int, k: int, rows
     """The cells of each column with gaps, from rows with the least hashes: a bounded number of donors of each column and of rows that ask."""
     numbers = [f"_x{i}" for i in range(d)]
     most = max(SAMPLE_AT_LEAST, min(SAMPLE_ROWS, SAMPLE_NUMBERS // (d * d)))
-    shares = {t: min(1.0, most / known) for t, known in gaps.items()}
+    cell_rows = {t: max(LEAVES_PER_CELL * rows_per_leaf, min(known / CELLS, ROWS_PER_CELL)) for t, known in gaps.items()}
+    shares = {t: min(1.0, most / known, SAMPLE_PER_CELL / cell_rows[t]) for t, known in gaps.items()}
     asking = min(1.0, ASKING_ROWS / n)
     place = F.pmod(F.xxhash64(*numbers), F.lit(HASHES)) / float(HASHES)
     taken = F.col("_place") < asking
@@ -146,14 +149,13 @@ def _plans(values: DataFrame, gaps: dict[int, int], n: int, d: int, k: int, rows
     for t, share in shares.items():
         mine = np.flatnonzero(_known(x, t) & (places < share))
         donors = mine[_least_alike(x[mine], t, k)]
-        rows = max(LEAVES_PER_CELL * rows_per_leaf, min(gaps[t] / CELLS, ROWS_PER_CELL))
-        cuts, boxes, order, starts = _divide(x[donors], t, max(2.0 * k, rows * share), closed=False)
+        cuts, boxes, order, starts = _divide(x[donors], t, max(2.0 * k, cell_rows[t] * share), closed=False)
         at = donors[order]
         index = Index(boxes, starts, np.column_stack([x[at], x[at, t], copies[at]]))
         visits = np.zeros(len(starts) - 1)
         asks = x[_asks(x, t) & (places < asking)]
-        for s in range(0, len(asks), QUERIES_AT_ONCE):
-            visits += np.bincount(_cells(index, asks[s:s + QUERIES_AT_ONCE], k, nearest)[1], minlength=len(visits))
+        for part in _blocks(len(asks), index):
+            visits += np.bincount(_cells(index, asks[part], k, nearest)[1], minlength=len(visits))
         parts = np.ceil(visits / asking / np.maximum(VISITS_PER_PART, np.diff(starts) / share)).astype(int).clip(1)
         plans[t] = Plan(cuts, index, first + np.cumsum(parts) - parts, parts)
         first += int(parts.sum())
@@ -339,6 +341,12 @@ def _search(index: Index, asked: np.ndarray, k: int, nearest: Work) -> tuple[np.
     return row[kept], numbers[order[kept]], least
 
 
+def _blocks(n: int, index: Index) -> Iterator[slice]:
+    """Rows to search at once: as many as their bounds to all leaves leave room for."""
+    step = max(1, min(QUERIES_AT_ONCE, BOUNDS_AT_ONCE // len(index.boxes.some)))
+    return (slice(s, s + step) for s in range(0, n, step))
+
+
 def _cells(index: Index, asked: np.ndarray, k: int, nearest: Work) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, bound): the cells that may hold one of the k nearest donors of each row, which the sample's k-th bounds."""
     row, numbers, least = _search(index, np.column_stack([asked, np.full(len(asked), np.inf)]), k, nearest)
@@ -372,8 +380,8 @@ def _deal(shared, d: int, k: int, nearest: Work):
                 e = slice(s, s + ROWS_AT_ONCE)
                 yield from rows(part[e], False, np.zeros(len(at[e]), int), x[mine[at[e]]], copies[mine[at[e]]])
             asks = np.flatnonzero(_asks(x, t))
-            for s in range(0, len(asks), QUERIES_AT_ONCE):
-                some = asks[s:s + QUERIES_AT_ONCE]
+            for block in _blocks(len(asks), plan.sample):
+                some = asks[block]
                 at, cell, bound = _cells(plan.sample, x[some], k, nearest)
                 at = some[at]
                 yield from rows(plan.first[cell] + ids[at] % plan.parts[cell], True, ids[at], x[at], bound)
@@ -422,13 +430,12 @@ def _meet(targets: np.ndarray, d: int, k: int, rows_per_leaf: int, nearest: Work
                     index, donors, asking = grown(donors, targets[here]), [], True
                 if index is None:
                     continue
-                for s in range(a, b, QUERIES_AT_ONCE):
-                    e = min(b, s + QUERIES_AT_ONCE)
-                    row, numbers, _ = _search(index, x[s:e], k, nearest)
+                for block in _blocks(b - a, index):
+                    row, numbers, _ = _search(index, x[a:b][block], k, nearest)
                     begins = np.flatnonzero(np.diff(row, prepend=-1))
                     near = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in numbers.T], names=["distance", "value", "copies"])
                     yield pa.record_batch(
-                        [pa.array(ids[s:e][row[begins]]), pa.array(np.full(len(begins), targets[here]), pa.int32()),
+                        [pa.array(ids[a:b][block][row[begins]]), pa.array(np.full(len(begins), targets[here]), pa.int32()),
                          pa.ListArray.from_arrays(pa.array(np.append(begins, len(row)), pa.int32()), near)], names=["_id", "_target", "_near"])
 
     return run
