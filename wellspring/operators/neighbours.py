@@ -42,6 +42,7 @@ ROWS_AT_ONCE = 65536
 QUERIES_AT_ONCE = 16384  # at most
 BOUNDS_AT_ONCE = 2 ** 22  # of rows and boxes
 HOMES = 3
+COLUMNS_TO_FILTER = 4
 HASHES = 2 ** 30
 SLACK = 1 + 1e-9  # of a bound, for rounding
 _FOUND = "_id bigint, _target int, _near array<struct<distance: double, value: double, copies: double>>"
@@ -103,11 +104,13 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = 5, rows_per_leaf:
     filled = settle(_neighbour_values(values, {i: facts[f"k{i}"] for i in gaps}, facts["n"], len(columns), k, rows_per_leaf))
     patched = filled.groupBy("_id").agg(*[F.max(F.when(F.col("_target") == i, F.col("_value"))).alias(f"_fill_{i}") for i in gaps])
     table = settle(vectors.join(patched, "_id").select(*columns, "_copies", *[f"_fill_{i}" for i in gaps]))
-    gap = F.greatest(*[F.col(columns[i]).isNull() for i in gaps], F.lit(False))
-    joined = attach_by_key(clean.where(gap), table, columns, weight="_copies")
-    return joined.withColumns({
+    # with many columns the optimizer takes very long over a filter that names all of them
+    gap = F.greatest(*[F.col(columns[i]).isNull() for i in gaps], F.lit(False)) if len(gaps) <= COLUMNS_TO_FILTER else None
+    joined = attach_by_key(clean if gap is None else clean.where(gap), table, columns, weight="_copies")
+    done = joined.withColumns({
         columns[i]: F.coalesce(F.col(columns[i]), F.col(f"_fill_{i}"), F.lit(facts[f"m{i}"])) for i in gaps
-    }).drop("_copies", *[f"_fill_{i}" for i in gaps]).unionByName(clean.where(~gap))
+    }).drop("_copies", *[f"_fill_{i}" for i in gaps])
+    return done if gap is None else done.unionByName(clean.where(~gap))
 
 
 def _neighbour_values(values: DataFrame, gaps: dict[int, int], n: int, d: int, k: int, rows_per_leaf: int) -> DataFrame:
