@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wellspring.functions.nulls import nan_to_null, number, numeric_columns, text_columns
+from wellspring.operators.forest import fit_forest
 from wellspring.operators.imputation import column_medians, missing_counts
 from wellspring.operators.quantiles import column_percentiles
 from wellspring.session import settle
@@ -91,10 +92,17 @@ def training_rows(df: DataFrame, *columns: str) -> DataFrame:
 
 
 class SpreadForest(RandomForestClassifier):
-    """Fits on ``training_rows``."""
+    """Grown by ``fit_forest`` on ``training_rows``."""
 
     def _fit(self, dataset: DataFrame):
-        return super()._fit(training_rows(dataset, self.getFeaturesCol(), self.getLabelCol()))
+        return fit_forest(self, training_rows(dataset, self.getFeaturesCol(), self.getLabelCol()))
+
+
+class SpreadForestRegressor(RandomForestRegressor):
+    """Grown by ``fit_forest`` on ``training_rows``."""
+
+    def _fit(self, dataset: DataFrame):
+        return fit_forest(self, training_rows(dataset, self.getFeaturesCol(), self.getLabelCol()))
 
 
 class MergedOneVsRest(OneVsRest):
@@ -233,10 +241,9 @@ def _forest_guess(known: DataFrame, rows: DataFrame, target: str, as_text: bool,
     """``rows`` with the predictions of a forest fitted to ``known``, and the predicted value of ``target``."""
     setting = {"featuresCol": "_features", "predictionCol": "_guess", "numTrees": trees, "maxDepth": max_depth, "seed": seed}
     if not as_text:
-        fitted = RandomForestRegressor(labelCol="_y", featureSubsetStrategy="all", **setting).fit(
-            training_rows(known.withColumn("_y", F.col(target).cast("double")), "_features", "_y"))
+        fitted = SpreadForestRegressor(labelCol="_y", featureSubsetStrategy="all", **setting).fit(known.withColumn("_y", F.col(target).cast("double")))
         return fitted.transform(rows), F.col("_guess")
     indexer = StringIndexer(inputCol=target, outputCol="_y", stringOrderType="alphabetAsc").fit(known)
-    fitted = RandomForestClassifier(labelCol="_y", **setting).fit(training_rows(indexer.transform(known), "_features", "_y"))
+    fitted = SpreadForest(labelCol="_y", **setting).fit(indexer.transform(known))
     named = IndexToString(inputCol="_guess", outputCol="_text", labels=indexer.labels)
     return named.transform(fitted.transform(rows)), F.col("_text")
