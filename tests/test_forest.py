@@ -127,3 +127,13 @@ def test_a_fit_leaves_no_tree_to_spark_and_refuses_what_it_does_not_use(spark, m
             kind(minInstancesPerNode=5).fit(rows)
         with pytest.raises(ValueError, match="rows"):
             kind().fit(rows.limit(0))
+
+
+def test_a_split_writes_the_rows_to_learn_from_once(spark, monkeypatch):
+    written, rows = [], spark.range(500).withColumn("x", F.col("id") % 7)
+    settle = learning.settle
+    monkeypatch.setattr(learning, "settle", lambda table: written.append(table) or settle(table))
+    train, test = learning.split_rows(rows)
+    assert len(written) == 1 and train.inputFiles()
+    for got, want in zip((train, test), rows.randomSplit([0.8, 0.2], learning.SEED), strict=True):
+        assert got.exceptAll(want).isEmpty() and got.count() == want.count()

@@ -218,7 +218,8 @@ def _grow(blocks: DataFrame, cuts: Sequence[np.ndarray], classes: int, trees: in
     """All trees, level after level."""
     spark, d = blocks.sparkSession, len(cuts)
     size = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("n")).first()
-    tasks = min(size["blocks"], max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, math.ceil(size["n"] * d / TASK_BYTES)))
+    cores = spark.sparkContext.defaultParallelism
+    tasks = min(size["blocks"], cores * max(TASKS_PER_CORE, math.ceil(size["n"] * d / TASK_BYTES / cores)))  # whole waves
     bins, width = max(len(c) for c in cuts) + 1, classes or 3
     splits = np.array([len(c) for c in cuts])
     choice, grown = np.random.default_rng(seed & (1 << 64) - 1), [_Tree() for _ in range(trees)]

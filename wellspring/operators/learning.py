@@ -168,8 +168,9 @@ def training_selection(df: DataFrame, label: str, drop: Sequence[str] = NON_FEAT
 
 
 def split_rows(df: DataFrame, test_share: float = 0.2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The rows to learn from, which every stage of a fit passes over, are written once; each pass would sort the whole table again."""
     train, test = df.randomSplit([1 - test_share, test_share], seed)
-    return train, test
+    return settle(train), test
 
 
 def accuracy(predicted: DataFrame, label: str = "label_index") -> float:
